@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wiretally.operators.frames import attach
+from wiretally.session import settle
 
 SPLITS = 256
 
@@ -16,18 +16,16 @@ def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
-def alert_rates(scored: DataFrame, thresholds: DataFrame, score: str = "score",
-                by: Sequence[str] = ("evaluation_set",), on: Sequence[str] = ()) -> DataFrame:
-    """Alert rate of every evaluation set at every budget, in one pass over the scores. The
-    thresholds (a row per budget and channel) ride along as an array on a scalar subquery."""
-    fields = thresholds.columns
-    table = thresholds.agg(F.collect_list(F.struct(*fields)).alias("t")).scalar()
-    each = scored.withColumn("_t", F.explode(table))
-    for c in on:
-        each = each.where(F.col(c) == F.col("_t")[c])
-    keys = [*by, *[F.col("_t")[c].alias(c) for c in fields if c != "threshold"]]
-    return each.groupBy(*keys).agg(
-        F.count("*").alias("n"), share(F.col(score) >= F.col("_t")["threshold"]).alias("alert_rate"))
+def alert_rates(scored: DataFrame, thresholds: Sequence[tuple[str, float, float]], by: Sequence[str] = ("evaluation_set",)
+                ) -> DataFrame:
+    """Alert rate of every evaluation set for every (score column, budget, threshold), in one
+    pass over the scores."""
+    cases = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("channel"), F.lit(float(a)).alias("budget"), (F.col(c) >= F.lit(float(t))).alias("hit"))
+        for c, a, t in thresholds]))
+    each = scored.select(*by, cases.alias("_c"))
+    return each.groupBy(*by, F.col("_c.channel").alias("channel"), F.col("_c.budget").alias("budget")).agg(
+        F.count("*").alias("n"), share(F.col("_c.hit")).alias("alert_rate"))
 
 
 def recall_by_marker(df: DataFrame, ml_hit: Column, rule_hit: Column) -> DataFrame:
@@ -40,43 +38,42 @@ def recall_by_marker(df: DataFrame, ml_hit: Column, rule_hit: Column) -> DataFra
     return counts.select(part.alias("part"), "n", "ml_recall", "rule_recall")
 
 
-def _ranked(df: DataFrame, score: str, y: Column) -> DataFrame:
-    """One row per distinct score with the class counts at it and below it. Scores are cut into
-    about equally filled cells, so the running sums never pass through one task."""
-    at = df.groupBy(F.col(score).alias("_s")).agg(
-        F.sum(y.cast("bigint")).alias("pos"), F.sum((~y).cast("bigint")).alias("neg"))
+def _ranked(df: DataFrame, score: str, y: Column) -> tuple[DataFrame, int, int]:
+    """One row per distinct score with the class counts at it and below it, and both totals.
+    Scores are cut into about equally filled cells; what lies in lower cells is added as a number,
+    so the running sums never pass through one task."""
+    at = settle(df.groupBy(F.col(score).alias("_s")).agg(
+        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
     grid = [i / SPLITS for i in range(1, SPLITS)]
-    splits = at.agg(F.percentile_approx("_s", grid).alias("g")).scalar()
-    placed = at.withColumn("_g", splits).withColumn(
-        "_cell", F.size(F.filter("_g", lambda x: x < F.col("_s")))).drop("_g")
-    cells = placed.groupBy("_cell").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    ahead = W.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = cells.select(  # at most SPLITS rows
-        "_cell", F.coalesce(F.sum("_p").over(ahead), F.lit(0)).alias("_p0"),
-        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n0"))
+    splits = at.agg(F.percentile_approx("_s", grid)).first()[0] or []
+    cell = F.size(F.filter(F.array(*map(F.lit, sorted(set(splits)))), lambda x: x < F.col("_s"))) if splits else F.lit(0)
+    placed = at.withColumn("_cell", cell)
+    cells = placed.groupBy("_cell").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).collect()
+    ahead, p, n = {}, 0, 0
+    for row in sorted(cells, key=lambda r: r["_cell"]):  # at most SPLITS rows
+        ahead[row["_cell"]] = (p, n)
+        p, n = p + row.p, n + row.n
+    offset = lambda i: F.element_at(F.array(*[
+        F.lit(ahead.get(c, (0, 0))[i]).cast("bigint") for c in range(SPLITS)]), F.col("_cell") + 1)
     within = W.partitionBy("_cell").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    return placed.join(F.broadcast(offsets), "_cell").select(
-        "_s", "pos", "neg",
-        (F.col("_p0") + F.coalesce(F.sum("pos").over(within), F.lit(0))).alias("pos_below"),
-        (F.col("_n0") + F.coalesce(F.sum("neg").over(within), F.lit(0))).alias("neg_below"))
+    return placed.select(
+        "_s", "pos", "neg", (offset(0) + F.coalesce(F.sum("pos").over(within), F.lit(0))).alias("pos_below"),
+        (offset(1) + F.coalesce(F.sum("neg").over(within), F.lit(0))).alias("neg_below")), p, n
 
 
 def ranking_quality(df: DataFrame, score: str, y: Column) -> DataFrame:
     """ROC AUC (ties count half) and step-wise average precision; null when a class is absent."""
-    ranked = _ranked(df, score, y)
-    totals = ranked.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    r = attach(ranked, totals, ())
-    d = {c: F.col(c).cast("double") for c in ("pos", "neg", "pos_below", "neg_below", "P", "N")}
-    hits, false = d["P"] - d["pos_below"], d["N"] - d["neg_below"]
-    return r.agg(
-        F.max("P").cast("bigint").alias("positives"), F.max("N").cast("bigint").alias("negatives"),
-        F.sum(d["pos"] * (d["neg_below"] + d["neg"] / 2)).alias("_area"),
-        F.sum(d["pos"] * hits / (hits + false)).alias("_ap"),
-    ).select("positives", "negatives",
-             F.when((F.col("positives") > 0) & (F.col("negatives") > 0),
-                    F.col("_area") / (F.col("positives").cast("double") * F.col("negatives"))).alias("roc_auc"),
-             F.when((F.col("positives") > 0) & (F.col("negatives") > 0),
-                    F.col("_ap") / F.col("positives")).alias("pr_auc"))
+    ranked, positives, negatives = _ranked(df, score, y)
+    d = {c: F.col(c).cast("double") for c in ("pos", "neg", "pos_below", "neg_below")}
+    hits, false = float(positives) - d["pos_below"], float(negatives) - d["neg_below"]
+    both = positives > 0 and negatives > 0
+    sums = ranked.agg(F.sum(d["pos"] * (d["neg_below"] + d["neg"] / 2)).alias("area"),
+                      F.sum(d["pos"] * hits / (hits + false)).alias("ap"))
+    value = lambda c: c if both else F.lit(None).cast("double")
+    return sums.select(
+        F.lit(positives).cast("bigint").alias("positives"), F.lit(negatives).cast("bigint").alias("negatives"),
+        value(F.col("area") / (float(positives) * float(negatives) or 1.0)).alias("roc_auc"),
+        value(F.col("ap") / float(positives or 1)).alias("pr_auc"))
 
 
 def _ratio(a: Column, b: Column) -> Column:

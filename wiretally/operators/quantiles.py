@@ -1,41 +1,86 @@
 """Exact order statistics without a global sort.
 
-The value range of a group is cut into equal cells, the cells are counted, and only the cell
-that holds the wanted rank is looked into again. Two rounds leave about one row in sixteen
-million for the closing sort, whatever the size of the group; ties are merged beforehand, so a
-value shared by most rows is one row. Cells are a monotone function of the value, so the result
-is exact."""
+The value range is cut into equal cells, the cells are counted, and only the cell that holds the
+wanted rank is looked into again. Cells are a monotone function of the value, so the result is
+exact; ties are merged, so a value shared by most rows is one row.
+
+Over a whole table the rounds go on until a cell holds at most ``DIRECT`` distinct values, and
+only those reach the driver. Per group, two rounds run as aggregations over all groups at
+once and a closing window sees about one value in sixteen million of a group."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wiretally.operators.frames import attach
+from wiretally.session import settle
 
 CELLS = 4096
+DIRECT = 50_000
 Rank = Callable[[Column], Column]
 
 
-def _cell(v: str = "_v") -> Column:
-    """Cell of ``v`` between ``_lo`` and ``_hi``; one cell when the range is a point."""
-    value, lo, hi = (F.col(c).cast("double") for c in (v, "_lo", "_hi"))
-    at = F.floor((value - lo) / F.nullif(hi - lo, F.lit(0.0)) * CELLS)
+def _cell(v: Column, lo: Column, hi: Column) -> Column:
+    """Cell of ``v`` between ``lo`` and ``hi``; one cell when the range is a point."""
+    v, lo, hi = v.cast("double"), lo.cast("double"), hi.cast("double")
+    at = F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * CELLS)
     return F.coalesce(F.least(at, F.lit(CELLS - 1)), F.lit(0)).cast("int")
 
 
+def _pick(counts: DataFrame, rank: int):
+    """Value at a rank of a (value, count) table of at most ``DIRECT`` rows."""
+    table = counts.toArrow().sort_by("_v")
+    at = np.searchsorted(np.cumsum(table.column("_w").to_numpy()), rank, side="right")
+    return table.column("_v")[int(at)].as_py()
+
+
+def _at_rank(counts: DataFrame, rank: int, lo, hi, distinct: int):
+    """Value at a rank of a (value, count) table whose values lie in [lo, hi]."""
+    while distinct > DIRECT:
+        cell = _cell(F.col("_v"), F.lit(lo), F.lit(hi))
+        cells = (counts.groupBy(cell.alias("c"))
+                 .agg(F.sum("_w").alias("w"), F.count("*").alias("d"), F.min("_v").alias("a"), F.max("_v").alias("b"))
+                 .orderBy("c").collect())
+        for row in cells:
+            if rank < row.w:
+                break
+            rank -= row.w
+        counts = counts.where(F.col("_v").between(F.lit(row.a), F.lit(row.b)))
+        lo, hi, distinct = row.a, row.b, row.d
+    return _pick(counts, rank)
+
+
+def order_values(df: DataFrame, value: str | Column, ranks: Callable[[int], dict[str, int]]) -> dict:
+    """Values at 0-based ranks over the whole table, as plain numbers. ``ranks`` maps the number
+    of non-null values to the wanted ranks, which are clipped to the table; an empty table gives
+    None for each. The count itself is returned as ``n``."""
+    v = F.col(value) if isinstance(value, str) else value
+    counts = (df.select(v.alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v")
+              .agg(F.count("*").alias("_w")).persist())
+    try:
+        size = counts.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"), F.min("_v").alias("lo"),
+                          F.max("_v").alias("hi"), F.count("*").alias("d")).first()
+        out = {"n": size.n}
+        for name, rank in ranks(size.n).items():
+            out[name] = None if size.n == 0 else _at_rank(
+                counts, max(0, min(int(rank), size.n - 1)), size.lo, size.hi, size.d)
+        return out
+    finally:
+        counts.unpersist()
+
+
 def _before(by: Sequence[str], order: str) -> Column:
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    return F.sum("_w").over(w.orderBy(order)) - F.col("_w")
+    return F.sum("_w").over(W.partitionBy(*by).orderBy(order)) - F.col("_w")
 
 
 def _narrow(rows: DataFrame, span: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows of the wanted cells only, one copy per pick, equal values merged. ``rows`` has
     ``_v``, ``_w``; ``span`` has ``_lo``, ``_hi`` and the array ``_picks`` of (pick, rank)."""
-    placed = attach(rows, span, by).withColumn("_cell", _cell())
+    placed = rows.join(span, by).withColumn("_cell", _cell(F.col("_v"), F.col("_lo"), F.col("_hi")))
     cells = placed.groupBy(*by, "_cell").agg(F.sum("_w").alias("_w"))
-    cells = attach(cells.withColumn("_b", _before(by, "_cell")), span.select(*by, "_picks"), by)
+    cells = cells.withColumn("_b", _before(by, "_cell")).join(span.select(*by, "_picks"), by)
     inside = F.filter("_picks", lambda p: (p["rank"] >= F.col("_b"))
                       & (p["rank"] < F.col("_b") + F.col("_w")))
     hits = cells.select(*by, "_cell", "_b", F.explode(inside).alias("_p")).select(
@@ -45,49 +90,61 @@ def _narrow(rows: DataFrame, span: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, value: str | Column, ranks: dict[str, Rank],
-                     by: Sequence[str] = ()) -> DataFrame:
-    """Values at 0-based ranks of the non-null ``value`` (ranks are functions of the row count).
-
-    Result: the group columns, the count ``n`` and one column per rank. Ranks are clipped to the
-    group. Without groups there is always one row; its statistics are null for empty input."""
+                     by: Sequence[str]) -> DataFrame:
+    """Per group: the count ``n`` and the non-null ``value`` at each 0-based rank. Ranks are
+    functions of the count (they may also use the group columns) and are clipped to the group."""
     by = list(by)
     v = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*by, v.alias("_v"), F.lit(1).cast("bigint").alias("_w")).where(
-        F.col("_v").isNotNull())
-
-    def clipped(rank: Rank) -> Column:
-        return F.greatest(F.least(rank(F.col("n")).cast("bigint"), F.col("n") - 1), F.lit(0).cast("bigint"))
-
-    picks = F.array(*[F.struct(F.lit(k).alias("pick"), clipped(r).alias("rank"))
-                      for k, r in ranks.items()])
-    sizes = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    span = sizes.withColumn("_picks", picks)
-
-    first = _narrow(rows, span.drop("n"), by).withColumnRenamed("_pick", "_of")
-    groups = [*by, "_of"]
-    inner_span = first.groupBy(*groups).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.array(F.struct(F.lit("").alias("pick"), F.first("_rank").alias("rank"))).alias("_picks"))
-    second = _narrow(first.drop("_rank"), inner_span, groups)
-
-    b = F.col("_b")
-    final = (second.withColumn("_b", _before(groups, "_v"))
-             .where((F.col("_rank") >= b) & (F.col("_rank") < b + F.col("_w"))))
-    found = final.groupBy(*by).agg(*[
-        F.max(F.when(F.col("_of") == k, F.col("_v"))).alias(k) for k in ranks])
-    return attach(sizes.select(*by, "n"), found, by)
-
-
-def quantile_higher(df: DataFrame, value: str | Column, q: float, by: Sequence[str] = (),
-                    name: str = "quantile") -> DataFrame:
+    rows = (df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
+            .groupBy(*by, "_v").agg(F.count("*").alias("_w")).persist())
+    try:
+        sizes = rows.groupBy(*by).agg(
+            F.sum("_w").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        n = F.col("n")
+        picks = F.array(*[
+            F.struct(F.lit(k).alias("pick"),
+                     F.greatest(F.least(r(n).cast("bigint"), n - 1), F.lit(0).cast("bigint")).alias("rank"))
+            for k, r in ranks.items()])
+        sizes = settle(sizes.withColumn("_picks", picks))
+        first = settle(_narrow(rows, sizes.drop("n"), by).withColumnRenamed("_pick", "_of"))
+        groups = [*by, "_of"]
+        inner = first.groupBy(*groups).agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            F.array(F.struct(F.lit("").alias("pick"), F.first("_rank").alias("rank"))).alias("_picks"))
+        second = _narrow(first.drop("_rank"), inner, groups)
+        b = F.col("_b")
+        final = (second.withColumn("_b", _before(groups, "_v"))
+                 .where((F.col("_rank") >= b) & (F.col("_rank") < b + F.col("_w"))))
+        found = final.groupBy(*by).agg(*[
+            F.max(F.when(F.col("_of") == k, F.col("_v"))).alias(k) for k in ranks])
+        return settle(sizes.select(*by, "n").join(found, by))
+    finally:
+        rows.unpersist()
+
+
+def _higher_rank(n: int, q: float) -> int:
+    at = (n - 1) * q
+    return int(at) + (at > int(at))
+
+
+def quantile_higher(df: DataFrame, value: str | Column, q: float, empty: float | None = None) -> float | None:
     """The order statistic at ``ceil(q (n - 1))``."""
-    return order_statistics(df, value, {name: lambda n: F.ceil((n - 1) * F.lit(q))}, by)
+    found = order_values(df, value, lambda n: {"v": _higher_rank(n, q)})["v"]
+    return empty if found is None else found
 
 
-def quantile_linear(df: DataFrame, value: str | Column, q: float, by: Sequence[str] = (),
-                    name: str = "quantile") -> DataFrame:
+def quantile_linear(df: DataFrame, value: str | Column, q: float) -> float | None:
     """Linear interpolation between the two order statistics around ``q (n - 1)``."""
+    found = order_values(df, value, lambda n: {"low": int((n - 1) * q), "high": _higher_rank(n, q)})
+    if found["low"] is None:
+        return None
+    at = (found["n"] - 1) * q
+    return found["low"] + (found["high"] - found["low"]) * (at - int(at))
+
+
+def group_quantile_linear(df: DataFrame, value: str | Column, q: float, by: Sequence[str],
+                          name: str = "quantile") -> DataFrame:
+    """The same per group, with the group's count ``n``."""
     at = (F.col("n") - 1) * F.lit(q)
     found = order_statistics(df, value, {
         "_low": lambda n: F.floor((n - 1) * F.lit(q)), "_high": lambda n: F.ceil((n - 1) * F.lit(q))}, by)
@@ -95,21 +152,31 @@ def quantile_linear(df: DataFrame, value: str | Column, q: float, by: Sequence[s
     return found.withColumn(name, value_at).drop("_low", "_high")
 
 
-def budget_thresholds(scores: DataFrame, score: str | Column, budgets: Sequence[float] = (0.01, 0.05),
-                      by: Sequence[str] = ()) -> DataFrame:
+def budget_thresholds(scores: DataFrame, score: str | Column,
+                      budgets: Sequence[float] = (0.01, 0.05)) -> dict[float, float]:
     """Alert threshold per false-positive budget, from the scores of calibration benign rows:
-    the ``1 - budget`` quantile of kind "higher", 0.5 when there are none. One row per budget."""
+    the ``1 - budget`` quantile of kind "higher", 0.5 when there are none."""
+    found = order_values(scores, score, lambda n: {str(a): _higher_rank(n, 1 - a) for a in budgets})
+    return {a: 0.5 if found[str(a)] is None else found[str(a)] for a in budgets}
+
+
+def group_budget_thresholds(scores: DataFrame, score: str | Column, by: Sequence[str],
+                            budgets: Sequence[float] = (0.01, 0.05)) -> DataFrame:
+    """The same for many calibration sets at once: one row per group and budget."""
     names = {f"b{i}": a for i, a in enumerate(budgets)}
     found = order_statistics(scores, score, {
         k: (lambda n, a=a: F.ceil((n - 1) * F.lit(1 - a))) for k, a in names.items()}, by)
     rows = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("budget"), F.coalesce(F.col(k), F.lit(0.5)).alias("threshold"))
-        for k, a in names.items()]))
+        F.struct(F.lit(a).alias("budget"), F.col(k).alias("threshold")) for k, a in names.items()]))
     return found.select(*by, rows.alias("_t")).select(*by, "_t.budget", "_t.threshold")
 
 
-def smallest(df: DataFrame, value: str, n: int, by: Sequence[str] = ()) -> DataFrame:
+def smallest(df: DataFrame, value: str, n: int | Column, by: Sequence[str] = ()) -> DataFrame:
     """Rows whose ``value`` is among the ``n`` smallest (per group), found by a cut-off instead
     of a sort. Rows equal to the cut-off all stay, so pass a value without ties."""
-    cut = order_statistics(df, value, {"_cut": lambda _: F.lit(n - 1)}, by).drop("n")
-    return attach(df, cut, by).where(F.col(value) <= F.col("_cut")).drop("_cut")
+    if not by:
+        cut = order_values(df, value, lambda _: {"cut": n - 1})["cut"]
+        return df.where(F.col(value) <= F.lit(cut))
+    last = n - 1 if isinstance(n, Column) else F.lit(n - 1)
+    cut = order_statistics(df, value, {"_cut": lambda _: last}, by).drop("n")
+    return df.join(cut, list(by)).where(F.col(value) <= F.col("_cut")).drop("_cut")

@@ -3,14 +3,13 @@ key, so they do not depend on partitioning; they differ from a sequential genera
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wiretally.functions import hashing as H
 from wiretally.operators.dedup import first_per_key
-from wiretally.operators.frames import attach
-from wiretally.operators.quantiles import order_statistics, smallest
+from wiretally.operators.quantiles import order_values, smallest
 
 
 def top_alerts(df: DataFrame, score: str, threshold: float | Column, n: int = 100,
@@ -19,37 +18,31 @@ def top_alerts(df: DataFrame, score: str, threshold: float | Column, n: int = 10
     return df.where(F.col(score) >= threshold).orderBy(F.col(score).desc(), tie).limit(n)
 
 
-def _place(key: str | Column, seed: int) -> Column:
+def place(key: str | Column, seed: int) -> Column:
     return H.shuffle_rank_key((F.col(key) if isinstance(key, str) else key).cast("string"), seed)
 
 
 def seeded_sample(df: DataFrame, n: int, key: str | Column, by: Sequence[str] = (),
                   seed: int = H.SEED) -> DataFrame:
     """``n`` rows (per group) drawn by hash; everything where there are no more than ``n``."""
-    return smallest(df.withColumn("_place", _place(key, seed)), "_place", n, by).drop("_place")
+    return smallest(df.withColumn("_place", place(key, seed)), "_place", n, by).drop("_place")
 
 
-def seeded_slices(df: DataFrame, key: str | Column, calib_cap: int, train_cap: int,
-                  calib_share: float | None = None, calib_first: bool = True,
+def slice_cuts(places: DataFrame, place: str, first: Callable[[int], int], second: Callable[[int], int]
+               ) -> tuple[int, int]:
+    """Cut-offs of two consecutive runs of a shuffle, each given as a size in terms of the count."""
+    found = order_values(places, place, lambda n: {"a": first(n) - 1, "b": first(n) + second(n) - 1})
+    return (-1, -1) if found["n"] == 0 else (found["a"], found["b"])
+
+
+def seeded_slices(df: DataFrame, key: str | Column, first: tuple[str, int], second: tuple[str, int],
                   seed: int = H.SEED) -> DataFrame:
-    """Column ``slice``: two consecutive runs of a seeded shuffle, ``calib`` and ``train``; rows
-    beyond both get null. With ``calib_share`` calibration is ``min(cap, max(1, share n))``."""
-    def calib_size(n: Column) -> Column:
-        if calib_share is None:
-            return F.lit(calib_cap).cast("bigint")
-        return F.least(F.lit(calib_cap), F.greatest(F.lit(1), F.floor(n * F.lit(calib_share)))).cast("bigint")
-
-    placed = df.withColumn("_place", _place(key, seed))
-    if calib_first:
-        names = ("calib", "train")
-        ranks = {"_a": lambda n: calib_size(n) - 1, "_b": lambda n: calib_size(n) + train_cap - 1}
-    else:
-        names = ("train", "calib")
-        ranks = {"_a": lambda _: F.lit(train_cap - 1), "_b": lambda n: F.lit(train_cap - 1) + calib_size(n)}
-    cut = order_statistics(placed, "_place", ranks).drop("n")
-    out = attach(placed, cut, ())
-    which = F.when(F.col("_place") <= F.col("_a"), names[0]).when(F.col("_place") <= F.col("_b"), names[1])
-    return out.withColumn("slice", which).drop("_place", "_a", "_b")
+    """Column ``slice``: two consecutive runs of a seeded shuffle, given as (name, rows); rows
+    beyond both get null."""
+    placed = df.withColumn("_place", place(key, seed))
+    a, b = slice_cuts(placed, "_place", lambda _: first[1], lambda _: second[1])
+    which = F.when(F.col("_place") <= a, first[0]).when(F.col("_place") <= b, second[0])
+    return placed.withColumn("slice", which).drop("_place")
 
 
 def fraction(df: DataFrame, share: float, key: str | Column, flag: str = "sampled",
@@ -74,7 +67,7 @@ def quota_sample(df: DataFrame, group: str, total: int, key: str, seed: int = H.
     quotas = sizes.withColumn("_q", share).withColumn("_first", F.row_number().over(largest) == 1)
     gap = F.lit(total) - F.sum("_q").over(everything)
     quotas = quotas.withColumn("_quota", F.col("_q") + F.when(F.col("_first"), gap).otherwise(0))
-    drawn = first_per_key(df.withColumn("_place", _place(key, seed)), [group], "_place", total)
+    drawn = first_per_key(df.withColumn("_place", place(key, seed)), [group], "_place", total)
     rank = F.row_number().over(W.partitionBy(group).orderBy("_place"))
     return (drawn.withColumn("_rn", rank).join(quotas.select(group, "_quota"), group)
             .where(F.col("_rn") <= F.col("_quota")).drop("_rn", "_place", "_quota"))

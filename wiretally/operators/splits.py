@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wiretally.functions import clock, hashing as H, text as X
 from wiretally.operators.dedup import keep_first
-from wiretally.operators.frames import attach
-from wiretally.operators.quantiles import order_statistics, quantile_linear, smallest
-from wiretally.operators.ranking import seeded_sample, seeded_slices
+from wiretally.operators.quantiles import group_quantile_linear, order_values, quantile_linear, smallest
+from wiretally.operators.ranking import place, seeded_sample, slice_cuts
 from wiretally.schema import BEHAVIOURAL_FAMILIES, CONTENT_FAMILIES, CONTEXT_FAMILIES, SIGNATURE_FIELDS
 from wiretally.session import settle
 
@@ -97,16 +96,28 @@ class SliceSizes:
 IN_DOMAIN_SIZES = SliceSizes(150_000, 30_000, 150_000, None, False)
 
 
-def _slices(early: DataFrame, late: DataFrame, key: Column, sizes: SliceSizes) -> DataFrame:
-    cut = seeded_slices(early, key, sizes.calib, sizes.train, sizes.calib_share, sizes.calib_first)
-    cut = cut.where(F.col("slice").isNotNull()).withColumnRenamed("slice", "role")
-    test = seeded_sample(late, sizes.test, key).withColumn("role", F.lit("test"))
-    return cut.unionByName(test)
+def _calib_rows(sizes: SliceSizes, n: int) -> int:
+    if sizes.calib_share is None:
+        return sizes.calib
+    return min(sizes.calib, max(1, int(n * sizes.calib_share)))
 
 
-def temporal_boundary(df: DataFrame, ts: Column, q: float = 0.70, by: Sequence[str] = ()) -> DataFrame:
-    """Linear quantile of time in microseconds, one row (per group) with ``boundary`` and ``n``."""
-    return quantile_linear(df, F.unix_micros(ts).cast("double"), q, by, "boundary")
+def _roles(keys: DataFrame, early: Column, sizes: SliceSizes) -> Column:
+    """Role of a row from its shuffle place ``_place`` and whether it is early. The cut-offs are
+    found on ``keys`` (places only) and enter the plan as numbers, so the rows themselves are read
+    once and neither ranked nor joined."""
+    calib, train = (lambda n: _calib_rows(sizes, n)), (lambda _: sizes.train)
+    names = ("calib", "train") if sizes.calib_first else ("train", "calib")
+    runs = (calib, train) if sizes.calib_first else (train, calib)
+    a, b = slice_cuts(keys.where(early), "_place", *runs)
+    late = order_values(keys.where(~early), "_place", lambda _: {"cut": sizes.test - 1})["cut"]
+    place_ = F.col("_place")
+    return (F.when(early & (place_ <= a), names[0]).when(early & (place_ <= b), names[1])
+            .when(~early & (place_ <= F.lit(late)), "test"))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumn("_place", place(X.signature(), H.SEED))
 
 
 def with_time(df: DataFrame) -> DataFrame:
@@ -114,31 +125,43 @@ def with_time(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", clock.parse_iso("timestamp")).where(clock.is_usable(F.col("ts")))
 
 
+def temporal_boundary(df: DataFrame, q: float = 0.70) -> float | None:
+    """Linear quantile of ``ts`` in microseconds."""
+    return quantile_linear(df, F.unix_micros("ts").cast("double"), q)
+
+
 def temporal_split(df: DataFrame, q: float = 0.70, sizes: SliceSizes = SliceSizes(),
-                   deduplicate: bool = True) -> DataFrame:
+                   deduplicate: bool = True, boundary: float | None = None) -> DataFrame:
     """Early benign to ``train`` and ``calib``, later benign to ``test``; the boundary row is late."""
-    unique = with_time(keep_first(df) if deduplicate else df)
-    timed = attach(unique, temporal_boundary(unique, F.col("ts"), q).select("boundary"), ())
-    early = F.unix_micros("ts") < F.col("boundary")
-    return _slices(timed.where(early), timed.where(~early), X.signature(), sizes).drop("boundary")
+    rows = _placed(with_time(keep_first(df) if deduplicate else df))
+    keys = settle(rows.select("ts", "_place"))
+    boundary = temporal_boundary(keys, q) if boundary is None else boundary
+    early = F.unix_micros("ts") < F.lit(boundary)
+    role = _roles(keys, early, sizes)
+    return rows.withColumn("role", role).where(F.col("role").isNotNull()).drop("_place")
 
 
 def hash_split(df: DataFrame, share: int = 70, sizes: SliceSizes = SliceSizes(),
                deduplicate: bool = True) -> DataFrame:
     """The control without time: 70 of 100 hash buckets are early."""
-    unique = keep_first(df) if deduplicate else df
-    early = H.bucket(X.signature(), 100) < share
-    return _slices(unique.where(early), unique.where(~early), X.signature(), sizes)
+    rows = _placed(keep_first(df) if deduplicate else df).withColumn(
+        "_early", H.bucket(X.signature(), 100) < share)
+    keys = settle(rows.select("_early", "_place"))
+    role = _roles(keys, F.col("_early"), sizes)
+    return rows.withColumn("role", role).where(F.col("role").isNotNull()).drop("_place", "_early")
 
 
 def site_stratified_split(df: DataFrame, site: str = "site", q: float = 0.70, least: int = 10,
                           sizes: SliceSizes = SliceSizes()) -> DataFrame:
     """One time boundary per site, so every site is in train; tiny sites are early as a whole.
     ``df`` has ``ts`` already."""
-    bounds = temporal_boundary(df, F.col("ts"), q, [site])
-    timed = df.join(bounds, site)
-    early = (F.col("n") < least) | (F.unix_micros("ts") < F.col("boundary"))
-    return _slices(timed.where(early), timed.where(~early), X.signature(), sizes).drop("boundary", "n")
+    micros = F.unix_micros("ts").cast("double")
+    bounds = group_quantile_linear(df, micros, q, [site], "_boundary")
+    early = (F.col("n") < least) | (F.unix_micros("ts") < F.col("_boundary"))
+    rows = _placed(df.join(bounds, site)).withColumn("_early", early).drop("_boundary", "n")
+    keys = settle(rows.select("_early", "_place"))
+    role = _roles(keys, F.col("_early"), sizes)
+    return rows.withColumn("role", role).where(F.col("role").isNotNull()).drop("_place", "_early")
 
 
 def payload_split(attacks: DataFrame) -> DataFrame:
@@ -156,12 +179,10 @@ def benign_split(df: DataFrame, train: float = 0.7) -> DataFrame:
 
 def fit_and_calib(df: DataFrame, key: str | Column = "row_id", share: float = 0.2, least: int = 20) -> DataFrame:
     """A shuffled 80/20 cut: the first ``max(least, share n)`` rows calibrate."""
-    k = (F.col(key) if isinstance(key, str) else key).cast("string")
-    placed = df.withColumn("_place", H.shuffle_rank_key(k))
-    cut = order_statistics(placed, "_place", {
-        "_cut": lambda n: F.greatest(F.lit(least), F.floor(n * F.lit(share))) - 1}).drop("n")
-    return attach(placed, cut, ()).withColumn(
-        "role", F.when(F.col("_place") <= F.col("_cut"), "calib").otherwise("fit")).drop("_place", "_cut")
+    placed = df.withColumn("_place", place(key, H.SEED))
+    cut, _ = slice_cuts(placed, "_place", lambda n: max(least, int(n * share)), lambda _: 0)
+    return placed.withColumn(
+        "role", F.when(F.col("_place") <= cut, "calib").otherwise("fit")).drop("_place")
 
 
 def tool_holdout(attacks: DataFrame, tools_a: Sequence[str], tool_b: str, least: int = 40,
@@ -170,9 +191,9 @@ def tool_holdout(attacks: DataFrame, tools_a: Sequence[str], tool_b: str, least:
     Empty when either side has fewer than ``least`` rows."""
     side = F.when(F.col(tool).isin(*tools_a), "A").when(F.col(tool) == tool_b, "B")
     sided = attacks.withColumn("_side", side).where(F.col("_side").isNotNull())
-    support = sided.agg((F.count_if(F.col("_side") == "A") >= least).alias("a"),
-                        (F.count_if(F.col("_side") == "B") >= least).alias("b"))
-    sided = attach(sided, support, ()).where("a and b").drop("a", "b")
+    support = sided.agg(F.count_if(F.col("_side") == "A").alias("a"), F.count_if(F.col("_side") == "B").alias("b")).first()
+    if min(support.a, support.b) < least:
+        sided = sided.where(F.lit(False))
     parts = []
     for train, held in (("A", "B"), ("B", "A")):
         fit = fit_and_calib(sided.where(F.col("_side") == train))
@@ -249,13 +270,10 @@ def leave_one_source_out(df: DataFrame, folds: Sequence[Fold], sizes: FoldSizes
         "row_id", "source_id", "nature", "label", "signature_key", "_m.fold", "_m.pool")
     rows = rows.withColumn("_place", H.shuffle_rank_key(
         F.concat_ws("|", "source_id", F.col("row_id").cast("string"))))
-    caps = {"benign": sizes.benign_per_source, "attack": sizes.attack_per_source,
-            "heldout_benign": sizes.heldout_benign, "heldout_attack": sizes.heldout_attack}
-    parts = [smallest(rows.where(F.col("pool") == p), "_place", n, ["fold", "source_id"])
-             for p, n in caps.items()]
-    capped = parts[0]
-    for p in parts[1:]:
-        capped = capped.unionByName(p)
+    cap = (F.when(F.col("pool") == "benign", sizes.benign_per_source)
+           .when(F.col("pool") == "attack", sizes.attack_per_source)
+           .when(F.col("pool") == "heldout_benign", sizes.heldout_benign).otherwise(sizes.heldout_attack))
+    capped = smallest(settle(rows), "_place", cap, ["fold", "pool", "source_id"])
     share = H.unit(F.concat_ws("|", F.lit("calib"), F.col("source_id"), F.col("row_id").cast("string")))
     takes_part = (F.col("pool") == "attack") | ((F.col("pool") == "benign") & (F.col("nature") == "real"))
     role = (F.when(F.col("pool").startswith("heldout"), F.col("pool"))
