@@ -54,10 +54,11 @@ MANIFEST_SCHEMA = T.StructType([
 ]))])
 
 
-def conform(df: DataFrame, schema: T.StructType = UNIFIED_SCHEMA) -> DataFrame:
-    """Project onto ``schema`` in order, casting and adding absent columns as nulls."""
+def conform(df: DataFrame, schema: T.StructType = UNIFIED_SCHEMA, *keep: str) -> DataFrame:
+    """Project onto ``schema`` in order, casting and adding absent columns as nulls; ``keep`` goes
+    in front."""
     present = set(df.columns)
-    return df.select([
+    return df.select(*keep, *[
         (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ])
