@@ -34,7 +34,7 @@ def _pick(values: list[str], at: Column) -> Column:
 SQL_VIEWS = {
     "v_users": f"""
         SELECT *, user_id % 3 = 0 AS hostile, {_sql_list(FAMILIES)}[(user_id // 3) % 5 + 1] AS fam,
-               {_sql_list(TOOLS)}[(user_id // 15) % 3 + 1] AS tl
+               {_sql_list(TOOLS)}[(user_id // 3) % 3 + 1] AS tl
         FROM events""",
     "v_flows": f"""
         SELECT event_id AS row_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp,
@@ -111,7 +111,7 @@ class Tables:
     def flows(self) -> DataFrame:
         e, user = self.events, F.col("user_id")
         hostile = user % 3 == 0
-        fam, tool = _pick(FAMILIES, F.floor(user / 3) % 5), _pick(TOOLS, F.floor(user / 15) % 3)
+        fam, tool = _pick(FAMILIES, F.floor(user / 3) % 5), _pick(TOOLS, F.floor(user / 3) % 3)
         payload = _pick(WORDS, F.col("event_id") % 8)
         for family, texts in PAYLOADS.items():
             payload = F.when(hostile & (fam == family), _pick(texts, F.col("event_id") % 4)).otherwise(payload)

@@ -79,7 +79,7 @@ def domain(benign: DataFrame, pools: DataFrame, kind: str = "temporal", extra: d
            reference: float | None = None) -> tuple[dict, D.TextModel, DataFrame, dict[float, float]]:
     """One text model on a domain's own benign traffic: alert rate on its later traffic, recall on
     held-out attacks. Returns the numbers, the model, the slices and the thresholds."""
-    cut = _split(benign, kind, sizes)
+    cut, pools = _split(benign, kind, sizes), settle(pools)
     train = membership.concat_classes(_role(cut, "train"), _role(pools, "train"))
     model = D.fit_text(train, settings)
     thresholds = D.text_thresholds(model, _role(cut, "calib"))
@@ -104,7 +104,7 @@ def multi_domain(domains: dict[str, DataFrame], pools: DataFrame, **options) ->
 
 def in_domain_slices(benign: DataFrame, pools: DataFrame, sizes: splits.SliceSizes) -> tuple[DataFrame, DataFrame]:
     """Benign slices (train first) and attack pools without the hashed 15 % kept from the fit."""
-    cut = settle(splits.temporal_split(benign, sizes=sizes))
+    cut, pools = settle(splits.temporal_split(benign, sizes=sizes)), settle(pools)
     kept = ranking.fraction(_role(pools, "train"), 0.15, X.signature(), "_out").where(~F.col("_out")).drop("_out")
     return cut, kept.unionByName(pools.where(F.col("role") != "train"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -82,17 +83,15 @@ class TfIdf:
         """None when no term is frequent enough."""
         grams, tf = f"_grams_{self.text}", f"_{self.output}_counts"
         terms = df.select(X.ngrams(self.text).alias(grams))
-        if not self._has_terms(terms, grams):
+        try:
+            counts = CountVectorizer(inputCol=grams, outputCol=tf, vocabSize=self.max_terms, minDF=self.min_df).fit(terms)
+        except IllegalArgumentException as none:
+            if "vocabulary size" not in str(none):
+                raise
             return None
-        counts = CountVectorizer(inputCol=grams, outputCol=tf, vocabSize=self.max_terms, minDF=self.min_df).fit(terms)
         idf = IDF(inputCol=tf, outputCol="_idf").fit(counts.transform(terms))
         scale = Vectors.dense([x + 1.0 for x in idf.idf.toArray()])
         weigh = PipelineModel([
             ElementwiseProduct(inputCol=f"_{self.output}_tf", outputCol=f"_{self.output}_w", scalingVec=scale),
             Normalizer(inputCol=f"_{self.output}_w", outputCol=self.output, p=2.0)])
         return TfIdfModel(self.text, self.output, counts, weigh)
-
-    def _has_terms(self, terms: DataFrame, grams: str) -> bool:
-        frequent = (terms.select(F.explode(F.array_distinct(grams)).alias("g")).groupBy("g")
-                    .agg(F.count("*").alias("n")).where(F.col("n") >= self.min_df))
-        return not frequent.limit(1).isEmpty()
