@@ -49,7 +49,7 @@ def inline_comment(s: Column, seed: Column) -> Column:
     """Comments for blanks, and inside the first three runs of four or more letters."""
     out = F.replace(s, F.lit(" "), F.lit("/**/"))
     for _ in range(3):
-        out = F.regexp_replace(out, f"(?s)^(.*{_MARK}|)(.*?)([A-Za-z]{{2}})([A-Za-z]{{2,}})",
+        out = F.regexp_replace(out, f"(?s)^((?>.*{_MARK}|))(.*?)([A-Za-z]{{2}})([A-Za-z]{{2,}})",
                                f"$1$2$3/**/$4{_MARK}")
     return F.replace(out, F.lit(_MARK), F.lit(""))
 
