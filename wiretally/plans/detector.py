@@ -113,9 +113,21 @@ def _fit_linear(df: DataFrame, spaces: list[TfIdfModel], label: str, settings: S
     return PipelineModel([gather, fit])
 
 
+def _training_rows(df: DataFrame) -> DataFrame:
+    """Training rows in even partitions, at most one per core and at most twenty thousand rows
+    each: a fit passes over them many times, so one shuffle pays for itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    first = df.persist()
+    n = first.count()
+    spread = first.repartition(max(1, min(cores, n // 500 + 1), n // 20_000)).persist()
+    spread.count()
+    first.unpersist()
+    return spread
+
+
 def fit_text(df: DataFrame, settings: Settings = Settings(), label: str = "y") -> TextModel:
     """Fit on request rows with a 0/1 label."""
-    fields = X.with_detector_fields(df).select("field_a", "field_b", F.col(label).cast("double").alias(label)).persist()
+    fields = _training_rows(X.with_detector_fields(df).select("field_a", "field_b", F.col(label).cast("double").alias(label)))
     try:
         spaces = _fit_spaces(fields, settings, ("field_a", "field_b"))
         return TextModel(spaces, _fit_linear(fields, spaces, label, settings))
@@ -134,8 +146,8 @@ class ShapeModel:
 
 def fit_shape(df: DataFrame, settings: Settings = Settings(), label: str = "y") -> ShapeModel:
     gather = VectorAssembler(inputCols=shape.FEATURE_NAMES, outputCol="features")
-    rows = gather.transform(shape.with_shape_features(df)).select(
-        "features", F.col(label).cast("double").alias(label)).persist()
+    rows = _training_rows(gather.transform(shape.with_shape_features(df)).select(
+        "features", F.col(label).cast("double").alias(label)))
     try:
         trees = GBTClassifier(
             labelCol=label, maxIter=settings.boosting_rounds, stepSize=settings.boosting_rate,
@@ -253,7 +265,7 @@ class FamilyHead:
 def fit_family(attacks: DataFrame, settings: Settings = Settings(), family: str = "attack_family") -> FamilyHead:
     labels = [r[0] for r in attacks.select(family).distinct().orderBy(family).collect()]
     index = reduce(lambda w, i: w.when(F.col(family) == labels[i], float(i)), range(len(labels)), F.when(F.lit(False), 0.0))
-    rows = X.with_detector_fields(attacks).select("field_a", index.alias("_y")).persist()
+    rows = _training_rows(X.with_detector_fields(attacks).select("field_a", index.alias("_y")))
     try:
         space = TfIdf("field_a", "v_field_a", settings.terms_a, settings.min_df).fit(rows)
         linear = _fit_linear(rows, [space], "_y", settings, "multinomial")

@@ -57,7 +57,7 @@ def _reviewed(top: DataFrame, empty_share: float = 1.0) -> dict:
 def _split(benign: DataFrame, kind: str, sizes: splits.SliceSizes) -> DataFrame:
     """Capped slices, written once: every later step reads them again."""
     cut = splits.temporal_split(benign, sizes=sizes) if kind == "temporal" else splits.hash_split(benign, sizes=sizes)
-    return settle(cut)
+    return settle(cut, spread=True)
 
 
 def _role(df: DataFrame, role: str) -> DataFrame:
@@ -79,7 +79,7 @@ def domain(benign: DataFrame, pools: DataFrame, kind: str = "temporal", extra: d
            reference: float | None = None) -> tuple[dict, D.TextModel, DataFrame, dict[float, float]]:
     """One text model on a domain's own benign traffic: alert rate on its later traffic, recall on
     held-out attacks. Returns the numbers, the model, the slices and the thresholds."""
-    cut, pools = _split(benign, kind, sizes), settle(pools)
+    cut, pools = _split(benign, kind, sizes), settle(pools, spread=True)
     train = membership.concat_classes(_role(cut, "train"), _role(pools, "train"))
     model = D.fit_text(train, settings)
     thresholds = D.text_thresholds(model, _role(cut, "calib"))
@@ -104,7 +104,7 @@ def multi_domain(domains: dict[str, DataFrame], pools: DataFrame, **options) ->
 
 def in_domain_slices(benign: DataFrame, pools: DataFrame, sizes: splits.SliceSizes) -> tuple[DataFrame, DataFrame]:
     """Benign slices (train first) and attack pools without the hashed 15 % kept from the fit."""
-    cut, pools = settle(splits.temporal_split(benign, sizes=sizes)), settle(pools)
+    cut, pools = settle(splits.temporal_split(benign, sizes=sizes), spread=True), settle(pools, spread=True)
     kept = ranking.fraction(_role(pools, "train"), 0.15, X.signature(), "_out").where(~F.col("_out")).drop("_out")
     return cut, kept.unionByName(pools.where(F.col("role") != "train"))
 
@@ -158,7 +158,7 @@ def leave_one_out(requests: DataFrame, folds: Sequence[splits.Fold], settings: D
     for fold in folds:
         mine = roles.where(F.col("fold") == fold.name).select("source_id", "row_id", "role")
         rows = settle(requests.join(mine, ["source_id", "row_id"]).withColumn(
-            "y", (F.col("label") == "attack").cast("int")))
+            "y", (F.col("label") == "attack").cast("int")), spread=True)
         model = D.fit_detector(_role(rows, "fit"), _role(rows, "calib"), settings)
         scored = settle(model.score(_sets({"heldout_benign": _role(rows, "heldout_benign"),
                                            "heldout_attack": _role(rows, "heldout_attack")}, "row_id")))
@@ -187,7 +187,7 @@ def testbed(df: DataFrame, settings: D.Settings = D.Settings(), families: Sequen
     and the family head. ``df`` has ``row_id``."""
     assignment = splits.stratified_session_split(df)
     rows = settle(membership.assign(df, assignment, "session_id").withColumnRenamed("split", "role").withColumn(
-        "y", (F.col("label") == "attack").cast("int")))
+        "y", (F.col("label") == "attack").cast("int")), spread=True)
     membership.require_disjoint(rows, "session_id", "role")
     model = D.fit_detector(_role(rows, "train"), _role(rows, "calib"), settings)
     scored = settle(model.score(_role(rows, "test")))
@@ -365,13 +365,13 @@ def multi_site(benign: DataFrame, pools: DataFrame, model: D.TextModel, extra: d
     stratified by site."""
     sited = settle(sited_benign(benign))
     boundary = splits.temporal_boundary(dedup.keep_first(sited))
-    cut = settle(splits.temporal_split(sited, sizes=sizes, boundary=boundary))
+    cut = settle(splits.temporal_split(sited, sizes=sizes, boundary=boundary), spread=True)
     threshold = D.text_thresholds(model, _role(cut, "calib"))[D.PRIMARY]
     late = model.score(_role(cut, "test")).withColumn("alert", F.col("p_text") >= threshold)
     first_seen = sited.groupBy("site").agg(F.min("ts").alias("first_seen"))
     per_site = settle(metrics.site_attribution(
         late, _role(cut, "train"), first_seen, F.timestamp_micros(F.lit(int(boundary)))))
-    stratified = settle(splits.site_stratified_split(sited, sizes=sizes))
+    stratified = settle(splits.site_stratified_split(sited, sizes=sizes), spread=True)
     fit = membership.concat_classes(_role(stratified, "train"), _role(pools, "train"))
     again = D.fit_text(fit, settings)
     thresholds = D.text_thresholds(again, _role(stratified, "calib"))
@@ -393,7 +393,7 @@ def representation_coverage(train: DataFrame, calib: DataFrame, target: DataFram
     known = model.terms(train.select(*REQUEST)).select("terms", "weights")
 
     def measured(df: DataFrame, n: int) -> DataFrame:
-        rows = settle(ranking.seeded_sample(df, n, "row_id"))
+        rows = settle(ranking.seeded_sample(df, n, "row_id"), spread=True)
         near = neighbours.nearest_sparse(model.terms(rows).select("row_id", "terms", "weights"), known, "row_id")
         scored = model.score(rows).select(F.col("row_id").alias("query_id"), F.col("p_text").alias("score"))
         return settle(near.join(scored, "query_id").withColumn("distance", 1 - F.col("similarity")))

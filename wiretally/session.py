@@ -44,7 +44,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written once and later plans start from the files."""
-    shared_folder(df.sparkSession)
+SPREAD = 200
+
+
+def settle(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Reliable checkpoint: the rows are written once and later plans start from the files.
+    ``spread`` deals them out evenly first, for capped sets that feed model fits and scoring: they
+    are small in bytes, so they would end up in few partitions, but costly per row."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    if spread:
+        df = df.repartition(min(spark.sparkContext.defaultParallelism, SPREAD))
     return df.checkpoint(eager=True)
