@@ -69,6 +69,19 @@ def unique_flow_counts(t):
     return first.groupBy("label", "attack_family").agg(F.count("*").alias("n"))
 
 
+@query("P1 P3 P6 P19 D1 X1 F2 A1", f"""
+    WITH u AS (SELECT min(row_id) AS row_id FROM v_flows GROUP BY {SQL_SIG}),
+      s AS (SELECT {sql_unit(SQL_SIG)} AS h, {sql_any_rule(sql_decode(sql_text()))} AS flagged FROM v_flows JOIN u USING (row_id))
+    SELECT CASE WHEN h < 0.6 THEN 'train' WHEN h < 0.8 THEN 'calib' ELSE 'test' END AS split,
+           count(*) AS n, count(*) FILTER (flagged) AS flagged FROM s GROUP BY 1""")
+def flagged_by_split(t):
+    """Unique requests, split by the hash of their signature, flagged by the rules, counted."""
+    unique = dedup.keep_first(t.flows)
+    marked = unique.select(splits.three_way(X.signature()).alias("split"),
+                           rules.any_rule(X.decode(X.request_text())).alias("hit"))
+    return marked.groupBy("split").agg(F.count("*").alias("n"), F.count_if("hit").alias("flagged"))
+
+
 @query("J4 J5", f"""
     SELECT row_id FROM v_flows WHERE {SQL_SIG} NOT IN
       (SELECT {SQL_SIG} FROM v_flows WHERE timestamp < '2024-01-20')""")
