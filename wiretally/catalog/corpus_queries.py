@@ -255,7 +255,7 @@ def payload_split(t):
       SELECT row_id, side || '_to_' || CASE WHEN side = 'A' THEN 'B' ELSE 'A' END AS direction,
              CASE WHEN rn <= greatest(20, floor(n * 0.2)) THEN 'calib' ELSE 'fit' END AS role FROM k
       UNION ALL SELECT row_id, CASE WHEN side = 'A' THEN 'B' ELSE 'A' END || '_to_' || side, 'heldout' FROM k)
-    WHERE (SELECT min(n) FROM k) >= 40""")
+    WHERE (SELECT count(*) FROM a WHERE side = 'A') >= 40 AND (SELECT count(*) FROM a WHERE side = 'B') >= 40""")
 def tool_holdout_split(t):
     return splits.tool_holdout(t.flows.where(F.col("attack_family") == "sqli"), ["ffuf", "sqlmap"], "custom").select(
         "row_id", "direction", "role")
