@@ -5,13 +5,13 @@ neighbouring ones. Band j joins sets of interval j with those of intervals j and
 enough differ in at most k = floor((1 - t) / (1 + t) * 2 hi) elements. The domain (hashes of shingles) is dealt into
 k + 1 + e parts: the sets agree in e + 1 parts at least. A signature is the content of one part with its band and number.
 
-A part in which a set has no element would put sets together that have nothing in common. A set that has at most e empty
-parts leaves their signatures out: its partners still share one of the other e + 1 parts with it. A set with more empty
-parts keeps all its signatures, so that two such sets meet as well. So no pair is lost.
+A part in which a set has fewer than LEAST_HELD elements would put sets together that have little in common. A set that has at
+most e such parts leaves their signatures out: agreeing parts are equal, so its partners still share one of the other e + 1
+with it. A set with more of them keeps all its signatures, so that two such sets meet as well. So no pair is lost.
 
 Equal sets are one node. A signature's sets are first compared with the least of them only (a star, never all pairs);
-verified links give components; signatures whose sets then still lie in different components are compared further, pair
-by pair across components, until none is left unexplained.
+verified links give components; where a signature's sets then still lie in different components, those that parity bits can't tell
+apart are verified, too.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from wiretally.llm.common import U64, batches, mixed, shingle_hashes, text_bytes, tokens, written
 from wiretally.llm.components import components
 
-SETS = "doc_id long, n_shingles long, set_key long, signatures binary"
-#: A signature with more sets of different components than this is cut again by a second, independent partition.
-WIDE_GROUP = 64
+SETS = "doc_id long, n_shingles long, set_key long"
+LEAST_HELD = 2
+#: Sets of a signature that are compared with each other, or with as many others, in one task.
+BLOCK_ROWS = 2048
 
 
 class Bands:
@@ -43,20 +44,20 @@ class Bands:
         return bisect_left(self.tops, size)
 
     def parts(self, band: int) -> tuple[int, int]:
-        """How many parts the domain has in a band, and how many of them may be left out when empty."""
+        """How many parts the domain has in a band, and how many of them may be left out for having few elements."""
         self.interval(1)
         while len(self.tops) <= band:
             self.interval(self.tops[-1] + 1)
         differ = (self.den - self.num) * 2 * self.tops[band] // (self.den + self.num)
-        spare = 0 if differ < 2 else 1 + differ // 30
+        spare = 0 if differ < 2 else 1 + differ // 10
         return differ + 1 + spare, spare
 
 
-def signatures(elements: np.ndarray, bands: Bands, seed: int = 0) -> np.ndarray:
+def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """The signatures of a set of 64-bit hashes in its two bands."""
     if not len(elements):
         return np.empty(0, U64)
-    place, own, found = mixed(elements ^ U64(2 * seed + 1)), bands.interval(len(elements)), []
+    place, own, found = mixed(elements ^ U64(1)), bands.interval(len(elements)), []
     content = mixed(place)
     for band in (own, own + 1):
         parts, spare = bands.parts(band)
@@ -64,9 +65,9 @@ def signatures(elements: np.ndarray, bands: Bands, seed: int = 0) -> np.ndarray:
         held = np.bincount(part, minlength=parts)
         sums = np.zeros(parts, U64)
         np.add.at(sums, part, content)
-        keep = held > 0 if (held == 0).sum() <= spare else np.ones(parts, bool)
+        keep = held >= LEAST_HELD if (held < LEAST_HELD).sum() <= spare else np.ones(parts, bool)
         with np.errstate(over="ignore"):
-            code = mixed(sums + mixed(np.arange(parts, dtype=U64) + U64(band << 40) + U64(seed << 56)))
+            code = mixed(sums + mixed(np.arange(parts, dtype=U64) + U64(band << 40)))
         found.append(code[keep])
     return np.concatenate(found)
 
@@ -76,27 +77,29 @@ def set_key(elements: np.ndarray) -> int:
         return int(mixed(np.array([mixed(elements).sum() + U64(len(elements))], U64)).view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(threshold)
         for batch in batches(rows, 512):
             sets = [shingle_hashes(tokens(x.lower()), size) for x in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()),
-                 pa.array([signatures(s, bands).tobytes() for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key", "signatures"])
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())],
+                ["doc_id", "n_shingles", "set_key"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
 
-def _spread(sets: DataFrame) -> DataFrame:
-    """(signature, set_key): one row for each signature of each set."""
+def _spread(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """(signature, set_key): one row for each signature of each document's set."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 256):
-            found = [np.frombuffer(x, np.int64) for x in batch.column("signatures").to_pylist()]
-            keys = np.repeat(np.array(batch.column("set_key").to_pylist(), np.int64), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.int64)])), pa.array(keys)], ["signature", "set_key"])
+        bands = Bands(threshold)
+        for batch in batches(rows, 128):
+            sets = [s for s in (shingle_hashes(tokens(x.lower()), size) for x in text_bytes(batch)) if len(s)]
+            if sets:
+                found = [signatures(s, bands) for s in sets]
+                keys = np.repeat(np.array([set_key(s) for s in sets], np.int64), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys)], ["signature", "set_key"])
 
-    return sets.select("set_key", "signatures").mapInArrow(run, "signature long, set_key long")
+    return docs.select("text").mapInArrow(run, "signature long, set_key long")
 
 
 def _stars(spread: DataFrame) -> DataFrame:
@@ -160,12 +163,12 @@ def _elements(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
 
 
 def _unexplained(stars: DataFrame, shared: DataFrame, sizes: DataFrame, label: DataFrame, elements: DataFrame,
-                 threshold: tuple[int, int], seed: int = 1) -> DataFrame:
+                 threshold: tuple[int, int]) -> DataFrame:
     """Pairs (u, v) of sets that share a signature and lie in different components, by size possible.
 
-    A signature is looked at again only where one of its stars crosses components. One with more than WIDE_GROUP members
-    is cut by the signatures of an independent partition of the domain (similar sets share one there, too), again and again
-    with further partitions; no pair of such a group is left out, and only what agrees in all of them is paired."""
+    A signature is looked at again only where one of its stars crosses components. Its members are dealt into blocks of
+    BLOCK_ROWS, and each pair of blocks is compared in a task of its own by parities (see there), which tell most pairs apart
+    without their elements; only pairs that may be similar leave the task."""
     at = sizes.select("set_key", "n").join(label.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "set_key", "n", F.coalesce("component", "set_key").alias("c"))
     at = written(at, "labels")
@@ -175,34 +178,60 @@ def _unexplained(stars: DataFrame, shared: DataFrame, sizes: DataFrame, label: D
     theirs = stars.join(of_interest, "signature")
     members = written(theirs.select("signature", F.col("other").alias("set_key")).union(
         theirs.select("signature", F.col("first").alias("set_key")).distinct()).join(at, "set_key"), "members")
-    done = None
-    while True:
-        count = members.groupBy("signature").agg(F.count("*").alias("m"), (F.min("c") != F.max("c")).alias("mixed")).where("mixed")
-        narrow = members.join(count.where(f"m <= {WIDE_GROUP}").select("signature"), "signature")
-        x, y = (narrow.select("signature", F.col("set_key").alias(k), F.col("n").alias("n" + k), F.col("c").alias("c" + k)) for k in "uv")
-        pairs = x.join(y, "signature").where("u < v and cu <> cv").where(_fits("nu", "nv", threshold)).select("u", "v").distinct()
-        done = pairs if done is None else done.union(pairs)
-        wide = members.join(count.where(f"m > {WIDE_GROUP}").select("signature"), "signature")
-        if wide.isEmpty():
-            return done.distinct()
-        members = written(_cut_again(wide, elements, threshold, seed), "members")
-        seed += 1
-
-
-def _cut_again(members: DataFrame, elements: DataFrame, threshold: tuple[int, int], seed: int) -> DataFrame:
-    """The members with each signature of partition ``seed`` mixed into the one they have."""
+    count = members.groupBy("signature").agg(F.count("*").alias("m"), (F.min("c") != F.max("c")).alias("mixed")).where("mixed")
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    dealt = members.join(count, "signature").join(_parities(elements, threshold), "set_key").withColumns(
+        {"own": F.pmod(F.xxhash64("set_key"), blocks), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    return dealt.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "n", "c", "parity").groupBy(
+        "signature", "i", "j").applyInArrow(_near_by_parity(threshold), "u long, v long").distinct()
+
+
+def _parities(elements: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(set_key, parity): bit b tells whether an odd number of elements falls on b. Two sets differ in at least as many
+    elements as their parities differ in bits; a longer parity folds to a shorter one."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(threshold)
         for batch in batches(rows, 256):
-            for r in batch.to_pylist():
-                mine = signatures(np.frombuffer(r["elements"], U64), bands, seed)
-                code = mixed(mine ^ mixed(np.array([r["signature"]], np.int64).view(U64))).view(np.int64)
-                n = len(code)
-                yield pa.RecordBatch.from_arrays([pa.array(code), *(pa.array(np.full(n, r[c], np.int64)) for c in ("set_key", "n", "c"))],
-                                                 ["signature", "set_key", "n", "c"])
+            made = []
+            for x in batch.column("elements").to_pylist():
+                x = np.frombuffer(x, U64)
+                bits = max(64, 1 << (len(x) * 4 * (threshold[1] - threshold[0]) // threshold[1]).bit_length())
+                odd = np.bincount((mixed(x ^ U64(0x5BD1E995)) % U64(bits)).astype(np.int64), minlength=bits) & 1
+                made.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(made, pa.binary())], ["set_key", "parity"])
+
+    return elements.mapInArrow(run, "set_key long, parity binary")
+
+
+def _near_by_parity(threshold: tuple[int, int]):
+    """For one block pair of a signature: pairs across components that size and parity allow to be similar enough."""
+    num, den = threshold
 
-    return members.join(elements, "set_key").select("signature", "set_key", "n", "c", "elements").mapInArrow(
-        run, "signature long, set_key long, n long, c long")
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, key, n, c = (table.column(x).to_numpy() for x in ("own", "set_key", "n", "c"))
+        raw = table.column("parity").to_pylist()
+        least = min(map(len, raw)) // 8
+
+        def folded(x: bytes) -> np.ndarray:
+            words = np.frombuffer(x, U64)
+            while len(words) > least:
+                words = words[:len(words) // 2] ^ words[len(words) // 2:]
+            return words
+
+        parity = np.stack([folded(x) for x in raw])
+        right = np.flatnonzero(own == j)
+        us, vs = [], []
+        for a in np.flatnonzero(own == i):
+            b = right[key[right] > key[a]] if i == j else right
+            b = b[(c[b] != c[a]) & (np.minimum(n[b], n[a]) * den >= np.maximum(n[b], n[a]) * num)]
+            if len(b):
+                b = b[np.bitwise_count(parity[b] ^ parity[a]).sum(1) <= (den - num) * (n[b] + n[a]) // (den + num)]
+                us.append(np.minimum(key[a], key[b]))
+                vs.append(np.maximum(key[a], key[b]))
+        empty = [np.empty(0, np.int64)]
+        return pa.table({"u": np.concatenate(us or empty), "v": np.concatenate(vs or empty)})
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -212,10 +241,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     A text of fewer words is one shingle; null or wordless texts have none and stand alone. Repeated doc_ids count as one
     node for each row; rows with a null doc_id take part and have a null component only where no other id is reachable.
     An empty table gives no rows; other columns are ignored."""
-    spark = docs.sparkSession
-    sets = written(_sets(docs, size, threshold), "sets")
-    meta = sets.select("doc_id", "n_shingles", "set_key")
-    stars = written(_stars(_spread(sets.where("n_shingles > 0"))), "stars")
+    meta = written(_sets(docs, size), "sets")
+    stars = written(_stars(_spread(docs, size, threshold)), "stars")
 
     sizes = meta.where("n_shingles > 0").groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
     met = stars.select(F.col("first").alias("set_key")).union(stars.select(F.col("other").alias("set_key"))).distinct()
