@@ -11,13 +11,13 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.llm.common import batches, text_bytes, written
 
 #: Bounds of the fit, in labelled rows and lexicon entries; scoring covers every row.
-MOST_LABELLED = 60_000
+MOST_LABELLED = 30_000
 MOST_ENTRIES = 4_000
 STEM = 5
 #: An entry is found in so many toxic documents at least, and its log odds are at least so high.
@@ -108,17 +108,20 @@ def with_features(docs: DataFrame, odds: dict[str, float], keep: list[str]) -> D
 
 
 class Toxicity:
-    """Lexicon, trees and calibration, fitted on labelled rows (doc_id, text, toxic).
+    """Lexicon, trees and calibration, fitted on the documents that ``labels`` (doc_id, toxic) marks where ``allowed`` holds; a
+    document labelled twice counts as its higher label.
 
-    At most MOST_LABELLED rows are used, chosen by hash; half of them give the lexicon, three tenths the trees, two tenths
+    About MOST_LABELLED rows are used, chosen by hash; half of them give the lexicon, three tenths the trees, two tenths
     the calibration, so that no part judges rows it has learned from. Without both labels every score is the share of
     toxic rows (0 without rows)."""
 
-    def __init__(self, labelled: DataFrame, most: int = MOST_LABELLED):
-        n = labelled.count()
-        turn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000.0
-        sample = written(labelled.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).alias("part"))
-                         .where(turn < min(1.0, most / max(n, 1))), "labelled")
+    def __init__(self, docs: DataFrame, labels: DataFrame, allowed: Column, most: int = MOST_LABELLED):
+        marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & allowed).groupBy("doc_id").agg(
+            F.max("toxic").cast("long").alias("toxic"))
+        # Chosen by hash on both sides, so that only the texts that are learned from are shuffled.
+        chosen = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < 1_000_000 * min(1.0, most / max(marks.count(), 1))
+        sample = written(docs.select("doc_id", "text").where(chosen).join(marks.where(chosen), "doc_id").withColumn(
+            "part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10))), "labelled")
         self.rate = float(sample.agg(F.avg("toxic")).first()[0] or 0.0)
         self.odds, self.trees = {}, None
         if not 0 < self.rate < 1:
@@ -142,19 +145,13 @@ class Toxicity:
         return self.steps.transform(margins).select(*keep, F.col("prediction").alias("score"))
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, allowed) -> DataFrame:
-    """Documents with a toxicity label, where ``allowed`` holds; a document labelled twice counts as its higher label."""
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks.where(allowed), "doc_id")
-
-
 def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
 
 
 def judge_toxicity(docs: DataFrame, labels: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """Per document row held_out, score and predicted; labels are learned only from rows that are not held out."""
-    model = Toxicity(labelled_documents(docs, labels, ~held_out()))
+    model = Toxicity(docs, labels, ~held_out())
     keep = kept or ["doc_id"]
     return model.score(docs, keep).select(*keep, F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                                           (F.col("score") >= 0.5).cast("int").alias("predicted"))
