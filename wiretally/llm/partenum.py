@@ -267,3 +267,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     least = by_set.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return (by_set.join(least, "root").select("doc_id", "n_shingles", "component_id")
             .union(meta.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of their component. A row that repeats another's doc_id and text stays
+    once; rows with a null doc_id stay, as nothing tells them apart."""
+    stays = jaccard_components(docs, size, threshold).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.union(docs.where("doc_id is null"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import edit_match, html_text, packing, partenum, quality, suffix_tree, token_files, toxicity, url_filter
+from wiretally.llm import edit_match, html_text, packing, partenum, quality, suffix_dedup, suffix_tree, token_files, toxicity, url_filter
 from wiretally.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -96,15 +96,16 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
 def with_features(docs: DataFrame, odds: dict[str, float], keep: list[str]) -> DataFrame:
     """The columns ``keep`` and a row of dense features for each text (null: empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(odds)  # MOST_ENTRIES entries at most
-    kinds = [f for f in docs.select(*keep).schema]
-    names = [f"{f.name} {f.dataType.simpleString()}" for f in kinds] + [f"{c} double" for c in FEATURES]
+    schema = docs.select(*keep).schema
+    for c in FEATURES:
+        schema = schema.add(c, "double")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 512):
             made = np.array([dense(x, shared.value) for x in _strings(batch)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(made[:, k]) for k in range(len(FEATURES)))], [*keep, *FEATURES])
 
-    return docs.select(*keep, *[c for c in ["text"] if c not in keep]).mapInArrow(run, ", ".join(names))
+    return docs.select(*keep, *[c for c in ["text"] if c not in keep]).mapInArrow(run, schema)
 
 
 class Toxicity:
@@ -155,3 +156,11 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame, kept: list[str] | None =
     keep = kept or ["doc_id"]
     return model.score(docs, keep).select(*keep, F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                                           (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, all_docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score under 0.5, with all their columns; learned from the labelled rows of ``all_docs``."""
+    model = Toxicity(all_docs, labels, ~held_out())
+    inner = {c: f"_{k}" for k, c in enumerate(docs.columns) if c != "text"}  # so that no column clashes with a feature
+    scored = model.score(docs.select("text", *[F.col(f"`{c}`").alias(x) for c, x in inner.items()]), ["text", *inner.values()])
+    return scored.where("score < 0.5").select(*[F.col(inner.get(c, c)).alias(c) for c in docs.columns])
