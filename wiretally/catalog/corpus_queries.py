@@ -200,13 +200,13 @@ SQL_UNIQUE = f"""
     q AS (SELECT min(row_id) AS row_id FROM v_flows GROUP BY {SQL_SIG}),
     uf AS (SELECT row_id, {SQL_SIG} AS sig, url_path_raw, label, epoch_us(strptime(timestamp, '%Y-%m-%dT%H:%M:%S.%fZ')) AS us
            FROM v_flows JOIN q USING (row_id))"""
-SQL_SHARE = "least(25000, greatest(1, CAST(floor(n * 0.15) AS BIGINT)))"
+SQL_SHARE = "greatest(1, CAST(floor(n * 0.15) AS BIGINT))"
 
 
 @query("X4 A14 T4 T3", f"""
     WITH {SQL_UNIQUE}, b AS (SELECT quantile_cont(CAST(us AS DOUBLE), 0.7) AS b FROM uf),
       early AS (SELECT * FROM uf WHERE us < (SELECT b FROM b)), late AS (SELECT * FROM uf WHERE us >= (SELECT b FROM b))
-    {_sql_slices('early', 'late', SQL_SHARE, 120_000, 100_000)}""")
+    {_sql_slices('early', 'late', SQL_SHARE, 120_000, splits.ALL_ROWS)}""")
 def temporal_split(t):
     return splits.temporal_split(t.flows).select("row_id", "role")
 
@@ -214,16 +214,16 @@ def temporal_split(t):
 @query("X5", f"""
     WITH {SQL_UNIQUE}, b AS (SELECT quantile_cont(CAST(us AS DOUBLE), 0.7) AS b FROM uf),
       early AS (SELECT * FROM uf WHERE us < (SELECT b FROM b)), late AS (SELECT * FROM uf WHERE us >= (SELECT b FROM b))
-    {_sql_slices('early', 'late', '300', 900, 400, False)}""")
+    {_sql_slices('early', 'late', str(splits.ALL_ROWS), 900, splits.ALL_ROWS, False)}""")
 def temporal_split_train_first(t):
-    """The single-domain order (train, then calibration) with caps that bite on small tables."""
-    return splits.temporal_split(t.flows, sizes=splits.SliceSizes(900, 300, 400, None, False)).select("row_id", "role")
+    """The single-domain order: train up to its bound, all other early rows calibrate, all late rows test."""
+    return splits.temporal_split(t.flows, sizes=splits.SliceSizes(900, calib_share=None, calib_first=False)).select("row_id", "role")
 
 
 @query("X6", f"""
     WITH {SQL_UNIQUE}, early AS (SELECT * FROM uf WHERE {sql_bucket('sig', 100)} < 70),
       late AS (SELECT * FROM uf WHERE {sql_bucket('sig', 100)} >= 70)
-    {_sql_slices('early', 'late', SQL_SHARE, 120_000, 100_000)}""")
+    {_sql_slices('early', 'late', SQL_SHARE, 120_000, splits.ALL_ROWS)}""")
 def hash_control_split(t):
     return splits.hash_split(t.flows).select("row_id", "role")
 
@@ -232,7 +232,7 @@ def hash_control_split(t):
     WITH {SQL_UNIQUE}, b AS (SELECT url_path_raw, quantile_cont(CAST(us AS DOUBLE), 0.7) AS b, count(*) AS n FROM uf GROUP BY 1),
       e AS (SELECT uf.*, b.n < 10 OR us < b.b AS is_early FROM uf JOIN b USING (url_path_raw)),
       early AS (SELECT * FROM e WHERE is_early), late AS (SELECT * FROM e WHERE NOT is_early)
-    {_sql_slices('early', 'late', SQL_SHARE, 120_000, 100_000)}""")
+    {_sql_slices('early', 'late', SQL_SHARE, 120_000, splits.ALL_ROWS)}""")
 def site_stratified_split(t):
     unique = splits.with_time(dedup.keep_first(t.flows)).withColumn("site", F.col("url_path_raw"))
     return splits.site_stratified_split(unique).select("row_id", "role")
@@ -262,7 +262,7 @@ def tool_holdout_split(t):
 
 
 FOLDS = [splits.Fold("src0", "src1"), splits.Fold("src2", "src3"), splits.Fold("src4", "src1", "en")]
-FOLD_SIZES = splits.FoldSizes(20, 6, 15, 5, 0.15)
+FOLD_SIZES = splits.FoldSizes(20, 6)
 
 
 def _sql_folds(sizes: splits.FoldSizes) -> str:
@@ -293,7 +293,7 @@ def _sql_folds(sizes: splits.FoldSizes) -> str:
 
 @query("X10 J4 T3 T5", _sql_folds(FOLD_SIZES))
 def leave_one_source_out(t):
-    """All folds in one table, with caps small enough to bite."""
+    """All folds in one table; training is bounded per source, held-out sets are whole."""
     return splits.leave_one_source_out(t.posts, FOLDS, FOLD_SIZES).drop("signature_key")
 
 
@@ -307,13 +307,13 @@ def benign_hash_split(t):
     WITH a AS (SELECT row_id, {SQL_SIG} AS sig FROM v_docs WHERE label = 'attack'),
       h AS (SELECT *, {sql_bucket('sig', 10)} < 7 AS tr FROM a),
       r AS (SELECT *, row_number() OVER (PARTITION BY tr ORDER BY {sql_place('sig')}) AS rn FROM h)
-    SELECT row_id, CASE WHEN tr THEN 'train' ELSE 'test' END AS role FROM r WHERE rn <= CASE WHEN tr THEN 60 ELSE 30 END
+    SELECT row_id, CASE WHEN tr THEN 'train' ELSE 'test' END AS role FROM r WHERE NOT tr OR rn <= 60
     UNION ALL SELECT -1 - row_id, CASE WHEN attack_tool = 'custom' THEN 'tool_test' ELSE 'train' END FROM v_flows WHERE label = 'attack'""")
 def attack_pools(t):
     """Hashed pools of unique attack texts plus a second source with one tool held out."""
     main = dedup.keep_first(t.posts.where(F.col("label") == "attack"))
     other = t.flows.where(F.col("label") == "attack").withColumn("row_id", -1 - F.col("row_id"))
-    return splits.attack_pools(main, other, train_cap=60, test_cap=30).select("row_id", "role")
+    return splits.attack_pools(main, other, train_cap=60).select("row_id", "role")
 
 
 @query("X3 A6", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wiretally.catalog.registry import query
 from wiretally.functions import text as X
-from wiretally.operators import dedup, metrics, splits
+from wiretally.operators import dedup, membership, metrics, splits
 from wiretally.plans import detector as D, jobs
 from wiretally.sources.sinks import metrics_frame
 
@@ -14,10 +14,13 @@ QUICK = D.Settings(text_iterations=15, boosting_rounds=3, boosting_depth=3, boos
 
 
 def _pools(t) -> DataFrame:
-    """Document texts as the main attack source, flows as the source with a held-out tool."""
+    """Document texts as the main attack source, flows as the source with a held-out tool. Nothing that trains is held out:
+    the sources differ, and requests of the held-out tool leave training wherever they occur."""
     other = t.flows.where(F.col("label") == "attack").withColumn("source_id", F.lit("testbed"))
-    half = t.flows.where((F.col("label") == "attack") & (F.col("row_id") % 2 == 0))
-    return splits.attack_pools(dedup.keep_first(half).withColumn("source_id", F.lit("main")), other)
+    main = dedup.keep_first(t.posts.where(F.col("label") == "attack")).withColumn("source_id", F.lit("main"))
+    pools = splits.attack_pools(main, other)
+    held = pools.where("role <> 'train'")
+    return membership.exclude_seen(pools.where("role = 'train'"), held).unionByName(held)
 
 
 def _benign(t) -> DataFrame:
@@ -55,7 +58,8 @@ def family_head(t):
 @query("W9 M10 M11 V0 V2 V9")
 def mutation_robustness(t):
     """Recall of model, probe and rules under every payload rewrite."""
-    train = t.flows.withColumn("y", (F.col("label") == "attack").cast("int"))
+    train = t.flows.where(~F.coalesce((F.col("label") == "attack") & (F.col("attack_tool") == "custom"), F.lit(False)))
+    train = train.withColumn("y", (F.col("label") == "attack").cast("int"))  # without the tool that is held out
     cut = splits.session_split(dedup.keep_first(train), "src_ip")
     model = D.fit_text(cut.where("split = 'train'"), QUICK)
     threshold = D.text_thresholds(model, cut.where("split = 'calib' AND y = 0"))[D.PRIMARY]

@@ -55,7 +55,8 @@ def rule_hits(decoded: Column) -> Column:
     """Names of the firing rules in dictionary order; null when none does."""
     fired = F.array_compact(F.array(*[
         F.when(matches(decoded, p), F.lit(name)) for name, p in RULES.items()]))
-    return F.when(F.size(fired) > 0, fired)
+    # Named once, through a lambda: each pattern is matched once per row.
+    return F.transform(F.array(fired), lambda names: F.when(F.size(names) > 0, names))[0]
 
 
 def ordered_label(line: Column, rules: Sequence[tuple[str, Sequence[str]]],

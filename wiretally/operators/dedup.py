@@ -38,7 +38,10 @@ def first_occurrence(df: DataFrame, wanted: DataFrame, keys: Sequence[str],
                      order: str = "row_id", position: str = "row_index") -> DataFrame:
     """For each wanted key its first row in ``df``, in the order of ``wanted``. ``found`` is
     false where a key has no row; callers require that there are none."""
-    relevant = df.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
-    first = relevant.groupBy(*keys).agg(F.min(order).alias(order))
-    return (wanted.join(first, list(keys), "left")
+    # The keys may be whole texts, so their digest is shuffled; a null key matches nothing.
+    known = F.when(~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)),
+                   F.sha2(F.to_json(F.struct(*keys)), 256)).alias("_key")
+    relevant = df.select(known, order).join(wanted.select(known).distinct(), "_key", "left_semi")
+    first = relevant.groupBy("_key").agg(F.min(order).alias(order))
+    return (wanted.withColumn("_key", known).join(first, "_key", "left").drop("_key")
             .withColumn("found", F.col(order).isNotNull()).orderBy(position))

@@ -19,7 +19,9 @@ def exclude_seen(df: DataFrame, train: DataFrame, columns: Sequence[str] = SIGNA
 
 
 def exclude_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys.select(key).distinct(), key, "left_anti")
+    """Rows whose ``key`` is not among ``keys``. What is shuffled is a digest of the key, which may be a whole text."""
+    digest = F.sha2(F.col(key).cast("string"), 256).alias("_key")
+    return df.withColumn("_key", digest).join(keys.select(digest).distinct(), "_key", "left_anti").drop("_key")
 
 
 def recover_family(df: DataFrame, labelled: DataFrame, family: str = "attack_family",
@@ -34,7 +36,7 @@ def recover_family(df: DataFrame, labelled: DataFrame, family: str = "attack_fam
 
 def drop_shared_payloads(df: DataFrame, key: Column, tool: str, first: str, second: str) -> DataFrame:
     """Without the payloads that two tools both sent."""
-    keyed = df.withColumn("_key", key)
+    keyed = df.withColumn("_key", F.sha2(key.cast("string"), 256))
     shared = (keyed.where(F.col(tool).isin(first, second)).groupBy("_key")
               .agg(F.bool_or(F.col(tool) == first).alias("a"), F.bool_or(F.col(tool) == second).alias("b"))
               .where("a and b").select("_key"))

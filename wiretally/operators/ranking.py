@@ -73,10 +73,12 @@ def quota_sample(df: DataFrame, group: str, total: int, key: str, seed: int = H.
             .where(F.col("_rn") <= F.col("_quota")).drop("_rn", "_place", "_quota"))
 
 
-def first_distinct(df: DataFrame, value: str, group: str, n: int = 120, order: str = "row_id") -> DataFrame:
-    """The first ``n`` different non-empty values per group, in row order."""
-    distinct = df.where(F.col(value) != "").groupBy(group, value).agg(F.min(order).alias(order))
-    return first_per_key(distinct, [group], order, n)
+def first_distinct(df: DataFrame, value: str, group: str, n: int | None = 120, order: str = "row_id") -> DataFrame:
+    """The first ``n`` different non-empty values per group in row order, or all of them. A value's digest is shuffled as
+    its key."""
+    distinct = (df.where(F.col(value) != "").groupBy(group, F.sha2(value, 256).alias("_key"))
+                .agg(F.first(value).alias(value), F.min(order).alias(order)).drop("_key"))
+    return distinct if n is None else first_per_key(distinct, [group], order, n)
 
 
 def collapse_small(df: DataFrame, group: str, least: int, bucket: str = "(small)") -> DataFrame:

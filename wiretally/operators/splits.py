@@ -82,18 +82,23 @@ def stratified_session_split(df: DataFrame, session: str = "session_id", order:
     return direct.select(session, "split").unionByName(placed.select(session, "split"))
 
 
+#: More rows than any table has: no cap.
+ALL_ROWS = 1 << 62
+
+
 @dataclass(frozen=True)
 class SliceSizes:
-    """Row caps of a benign split. Defaults are the multi-domain protocol's."""
+    """Row bounds of a benign split. Only what a model is fitted on is bounded by default; calibration and test take all
+    rows. Defaults are otherwise the multi-domain protocol's."""
     train: int = 120_000
-    calib: int = 25_000
-    test: int = 100_000
+    calib: int = ALL_ROWS
+    test: int = ALL_ROWS
     calib_share: float | None = 0.15
     calib_first: bool = True
 
 
-# The single-domain protocol cuts train first and has larger caps.
-IN_DOMAIN_SIZES = SliceSizes(150_000, 30_000, 150_000, None, False)
+# The single-domain protocol cuts train first, with a larger bound.
+IN_DOMAIN_SIZES = SliceSizes(150_000, calib_share=None, calib_first=False)
 
 
 def _calib_rows(sizes: SliceSizes, n: int) -> int:
@@ -110,10 +115,12 @@ def _roles(keys: DataFrame, early: Column, sizes: SliceSizes) -> Column:
     names = ("calib", "train") if sizes.calib_first else ("train", "calib")
     runs = (calib, train) if sizes.calib_first else (train, calib)
     a, b = slice_cuts(keys.where(early), "_place", *runs)
-    late = order_values(keys.where(~early), "_place", lambda _: {"cut": sizes.test - 1})["cut"]
     place_ = F.col("_place")
+    tested = F.lit(True)
+    if sizes.test < ALL_ROWS:
+        tested = place_ <= F.lit(order_values(keys.where(~early), "_place", lambda _: {"cut": sizes.test - 1})["cut"])
     return (F.when(early & (place_ <= a), names[0]).when(early & (place_ <= b), names[1])
-            .when(~early & (place_ <= F.lit(late)), "test"))
+            .when(~early & tested, "test"))
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -203,12 +210,13 @@ def tool_holdout(attacks: DataFrame, tools_a: Sequence[str], tool_b: str, least:
 
 
 def attack_pools(attacks: DataFrame, holdout_source: DataFrame | None = None, holdout_tool: str = "custom",
-                 train_cap: int = 60_000, test_cap: int = 40_000) -> DataFrame:
+                 train_cap: int = 60_000, test_cap: int | None = None) -> DataFrame:
     """Role of every attack: 70 % of the hashed payloads of the main source train, the rest
     test; a second source trains except for one tool, which is held out."""
     h = H.bucket(X.signature(), 10) < 7
     train = seeded_sample(attacks.where(h), train_cap, X.signature()).withColumn("role", F.lit("train"))
-    test = seeded_sample(attacks.where(~h), test_cap, X.signature()).withColumn("role", F.lit("test"))
+    held = attacks.where(~h)
+    test = (held if test_cap is None else seeded_sample(held, test_cap, X.signature())).withColumn("role", F.lit("test"))
     pools = train.unionByName(test)
     if holdout_source is None:
         return pools
@@ -233,8 +241,8 @@ class Fold:
 class FoldSizes:
     benign_per_source: int = 30_000
     attack_per_source: int = 30_000
-    heldout_benign: int = 80_000
-    heldout_attack: int = 40_000
+    heldout_benign: int = ALL_ROWS
+    heldout_attack: int = ALL_ROWS
     calib_share: float = 0.15
 
 
@@ -256,7 +264,7 @@ def _fold_pool(fold: Fold) -> Column:
 def leave_one_source_out(df: DataFrame, folds: Sequence[Fold], sizes: FoldSizes = FoldSizes()) -> DataFrame:
     """Narrow table (fold, role, label, source_id, row_id, signature_key) of all folds at once.
 
-    Training pools and held-out sets are capped per source by hash cut-offs, calibration takes a
+    Training pools are bounded per source by hash cut-offs (held-out sets only on demand), calibration takes a
     hashed share of real benign and of attacks, and held-out rows whose request also occurs in
     training of that fold are dropped. Only keys move, never bodies."""
     if "attack_tool" not in df.columns:

@@ -297,7 +297,7 @@ def ablation(benign: DataFrame, pools: DataFrame, labelled: DataFrame, settings:
 # --- payload rewrites ------------------------------------------------------------------------
 
 def mutation_robustness(model: D.TextModel, threshold: float, testbed: DataFrame, settings: D.Settings = D.Settings(),
-                        per_family: int = 120, tool: str = "custom", disjoint_threshold: bool = True) -> dict:
+                        per_family: int | None = None, tool: str = "custom", disjoint_threshold: bool = True) -> dict:
     """Recall on held-out payloads and on each rewrite of them, for the deployed model, for a probe
     trained on the testbed (with and without decoding) and for the rules; per family and as the
     mean over families."""
@@ -385,15 +385,15 @@ def multi_site(benign: DataFrame, pools: DataFrame, model: D.TextModel, extra: d
 
 
 def representation_coverage(train: DataFrame, calib: DataFrame, target: DataFrame, attacks: DataFrame,
-                            settings: D.Settings = D.Settings(), n_target: int = 3000, n_calib: int = 3000) -> dict:
+                            settings: D.Settings = D.Settings(), n_target: int | None = None, n_calib: int | None = None) -> dict:
     """Distance of target requests to the training set in the model's own space, and whether the
     alert rate stays within the share outside the calibration radius."""
     model = D.fit_text(membership.concat_classes(train.select(*REQUEST), attacks.select(*REQUEST)), settings)
     thresholds = D.text_thresholds(model, calib)
     known = model.terms(train.select(*REQUEST)).select("terms", "weights")
 
-    def measured(df: DataFrame, n: int) -> DataFrame:
-        rows = settle(ranking.seeded_sample(df, n, "row_id"), spread=True)
+    def measured(df: DataFrame, n: int | None) -> DataFrame:
+        rows = settle(df if n is None else ranking.seeded_sample(df, n, "row_id"), spread=True)
         near = neighbours.nearest_sparse(model.terms(rows).select("row_id", "terms", "weights"), known, "row_id")
         scored = model.score(rows).select(F.col("row_id").alias("query_id"), F.col("p_text").alias("score"))
         return settle(near.join(scored, "query_id").withColumn("distance", 1 - F.col("similarity")))

@@ -47,10 +47,10 @@ def access_log(spark: SparkSession, path: str, app: str = "zanbil", host: str =
     return conform(rows, UNIFIED_SCHEMA, "row_id")
 
 
-def archive_log(spark: SparkSession, path: str, source_id: str, cap: int | None = 400_000,
+def archive_log(spark: SparkSession, path: str, source_id: str, cap: int | None = None,
                 partitions: int | None = None) -> DataFrame:
     """Common log lines, also gzipped (one task per file, so the rows are spread right after):
-    unique benign requests, at most the first ``cap`` parsed lines."""
+    unique benign requests, of the first ``cap`` parsed lines if a cap is given."""
     lines = read_lines(spark, path, latin1=True)
     if partitions:
         lines = lines.repartition(partitions)
