@@ -10,8 +10,8 @@ most e such parts leaves their signatures out: agreeing parts are equal, so its
 with it. A set with more of them keeps all its signatures, so that two such sets meet as well. So no pair is lost.
 
 Equal sets are one node. A signature's sets are first compared with the least of them only (a star, never all pairs);
-verified links give components; where a signature's sets then still lie in different components, those that parity bits can't tell
-apart are verified, too.
+verified links give components; where a signature's sets then still lie in different components, further stars with other
+centres follow, and at last those pairs across components that parity bits can't tell apart are verified, too.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from wiretally.llm.components import components
 
 SETS = "doc_id long, n_shingles long, set_key long"
 LEAST_HELD = 2
+#: Further stars, each with other centres, before sets of different components are compared with each other.
+STAR_ROUNDS = 4
 #: Sets of a signature that are compared with each other, or with as many others, in one task.
 BLOCK_ROWS = 2048
 
@@ -162,23 +164,40 @@ def _elements(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("named"))).select("set_key", "text").mapInArrow(run, "set_key long, elements binary")
 
 
-def _unexplained(stars: DataFrame, shared: DataFrame, sizes: DataFrame, label: DataFrame, elements: DataFrame,
-                 threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (u, v) of sets that share a signature and lie in different components, by size possible.
+def _labelled(sets: DataFrame, label: DataFrame) -> DataFrame:
+    return sets.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
+        "c", F.coalesce("component", "set_key")).drop("component")
 
-    A signature is looked at again only where one of its stars crosses components. Its members are dealt into blocks of
-    BLOCK_ROWS, and each pair of blocks is compared in a task of its own by parities (see there), which tell most pairs apart
-    without their elements; only pairs that may be similar leave the task."""
-    at = sizes.select("set_key", "n").join(label.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-        "set_key", "n", F.coalesce("component", "set_key").alias("c"))
-    at = written(at, "labels")
+
+def _mixed_members(stars: DataFrame, shared: DataFrame, sizes: DataFrame, label: DataFrame) -> DataFrame:
+    """(signature, set_key, n, c) of all signatures whose stars cross components."""
+    at = written(_labelled(sizes.select("set_key", "n"), label), "labels")
     u, v = at.select(F.col("set_key").alias("first"), F.col("c").alias("cu")), at.select(F.col("set_key").alias("other"), F.col("c").alias("cv"))
     crossing = written(shared.select(F.col("u").alias("first"), F.col("v").alias("other")).join(u, "first").join(v, "other").where("cu <> cv"), "crossing")
-    of_interest = stars.join(crossing, ["first", "other"]).select("signature").distinct()
-    theirs = stars.join(of_interest, "signature")
-    members = written(theirs.select("signature", F.col("other").alias("set_key")).union(
-        theirs.select("signature", F.col("first").alias("set_key")).distinct()).join(at, "set_key"), "members")
-    count = members.groupBy("signature").agg(F.count("*").alias("m"), (F.min("c") != F.max("c")).alias("mixed")).where("mixed")
+    theirs = stars.join(stars.join(crossing, ["first", "other"]).select("signature").distinct(), "signature")
+    return written(theirs.select("signature", F.col("other").alias("set_key")).union(
+        theirs.select("signature", F.col("first").alias("set_key")).distinct()).join(at, "set_key").select("signature", "set_key", "n", "c"), "members")
+
+
+def _still_mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    now = _labelled(members.drop("c"), label)
+    mixed = now.groupBy("signature").agg((F.min("c") != F.max("c")).alias("mixed")).where("mixed").select("signature")
+    return written(now.join(mixed, "signature").select("signature", "set_key", "n", "c"), "members")
+
+
+def _star_pairs(members: DataFrame, turn: int, threshold: tuple[int, int]) -> DataFrame:
+    """Each signature's sets beside one of them, by size possible and of another component; every turn has other centres."""
+    centre = members.groupBy("signature").agg(F.min_by(F.struct("set_key", "n", "c"), F.xxhash64("set_key", F.lit(turn))).alias("o"))
+    return members.join(centre, "signature").where("c <> o.c").where(_fits("n", "o.n", threshold)).select(
+        F.least("set_key", "o.set_key").alias("u"), F.greatest("set_key", "o.set_key").alias("v")).distinct()
+
+
+def _unexplained(members: DataFrame, elements: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (u, v) of sets that share a signature and lie in different components, as far as they may be similar.
+
+    A signature's members are dealt into blocks of BLOCK_ROWS, and each pair of blocks is compared in a task of its own by
+    parities (see there), which tell most pairs apart without their elements."""
+    count = members.groupBy("signature").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
     dealt = members.join(count, "signature").join(_parities(elements, threshold), "set_key").withColumns(
         {"own": F.pmod(F.xxhash64("set_key"), blocks), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
@@ -256,13 +275,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
 
     # Each set with the star's centre it shares most signatures with: enough to tie most groups together.
     shared = written(stars.groupBy("first", "other").agg(F.count("*").alias("n")).select(F.col("first").alias("u"), F.col("other").alias("v"), "n"), "shared")
-    best = sized(shared.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v"))
+    best = written(sized(shared.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")), "best")
     links = written(_verified(best, elements, threshold), "links")
-    label = written(components(links), "label")
-    open_pairs = written(_unexplained(stars, shared, sizes, label, elements, threshold).join(best, ["u", "v"], "left_anti"), "open")
-    more = written(_verified(open_pairs, elements, threshold), "links")
-    if not more.isEmpty():
-        label = written(components(links.union(more)), "label")
+    label, tried = written(components(links), "label"), best
+    members = None
+    for turn in range(STAR_ROUNDS + 1):
+        members = _mixed_members(stars, shared, sizes, label) if members is None else _still_mixed(members, label)
+        if members.isEmpty():
+            break
+        pairs = (_star_pairs(members, turn, threshold) if turn < STAR_ROUNDS else _unexplained(members, elements, threshold))
+        pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "open")
+        more = written(_verified(pairs, elements, threshold), "links")
+        tried = tried.union(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            label = written(components(links), "label")
     by_set = meta.where("n_shingles > 0").join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("component", "set_key"))
     least = by_set.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return (by_set.join(least, "root").select("doc_id", "n_shingles", "component_id")
