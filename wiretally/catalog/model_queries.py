@@ -8,19 +8,21 @@ from wiretally.catalog.registry import query
 from wiretally.functions import text as X
 from wiretally.operators import dedup, membership, metrics, splits
 from wiretally.plans import detector as D, jobs
+from wiretally.session import settle
 from wiretally.sources.sinks import metrics_frame
 
 QUICK = D.Settings(text_iterations=15, boosting_rounds=3, boosting_depth=3, boosting_bins=32)
 
 
 def _pools(t) -> DataFrame:
-    """Document texts as the main attack source, flows as the source with a held-out tool. Nothing that trains is held out:
-    the sources differ, and requests of the held-out tool leave training wherever they occur."""
-    other = t.flows.where(F.col("label") == "attack").withColumn("source_id", F.lit("testbed"))
-    main = dedup.keep_first(t.posts.where(F.col("label") == "attack")).withColumn("source_id", F.lit("main"))
-    pools = splits.attack_pools(main, other)
+    """Every second attack as the main source, the others as the source with a held-out tool. Requests that are held out
+    leave training wherever they occur."""
+    attacks = t.flows.where(F.col("label") == "attack")
+    main = dedup.keep_first(attacks.where(F.col("row_id") % 2 == 0)).withColumn("source_id", F.lit("main"))
+    other = attacks.where(F.col("row_id") % 2 == 1).withColumn("source_id", F.lit("testbed"))
+    pools = settle(splits.attack_pools(main, other))
     held = pools.where("role <> 'train'")
-    return membership.exclude_seen(pools.where("role = 'train'"), held).unionByName(held)
+    return settle(membership.exclude_seen(pools.where("role = 'train'"), held).unionByName(held))
 
 
 def _benign(t) -> DataFrame:
