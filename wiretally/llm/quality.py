@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.llm.common import batches, text_bytes, tokens, window_hashes, word_hashes, written
@@ -83,11 +83,18 @@ def _vectors(stats: DataFrame) -> DataFrame:
         "capitals": F.sqrt(F.col("n_capitals") / chars), "marks": F.sqrt(F.col("n_marks") / chars)})
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Per group n, sums and products, combined before the shuffle."""
+def _nearest_moments(rows: DataFrame) -> DataFrame:
+    """Per group n, sums and products of the KEPT_SHARE of its rows with the least ``distance``, up to the end of a bin. Rows are
+    combined by (group, bin) before the only shuffle they take part in; a group has a few hundred bins whatever its size."""
     x = [F.col(c) for c in FEATURES]
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.array(*[F.sum(a) for a in x]).alias("sums"),
-                                   F.array(*[F.sum(x[i] * x[j]) for i in range(P) for j in range(i + 1)]).alias("products"))
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    parts = {f"s{i}": F.sum(x[i]) for i in range(P)} | {f"p{i}_{j}": F.sum(x[i] * x[j]) for i, j in pairs}
+    bins = rows.groupBy("grp", _bin().alias("bin")).agg(F.count("*").alias("n"), *[v.alias(k) for k, v in parts.items()])
+    by = Window.partitionBy("grp")
+    near = bins.withColumns({"before": F.sum("n").over(by.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(by)}).where(
+        F.col("before") < F.col("all") * KEPT_SHARE)
+    return near.groupBy("grp").agg(F.sum("n").alias("n"), F.array(*[F.sum(f"s{i}") for i in range(P)]).alias("sums"),
+                                   F.array(*[F.sum(f"p{i}_{j}") for i, j in pairs]).alias("products"))
 
 
 def _ellipsoids(moments: DataFrame) -> DataFrame:
@@ -116,9 +123,8 @@ def _distances(rows: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame, share: float) -> DataFrame:
-    """(grp, bin, low, high): the bin of log distance that holds the wanted rank of each group. Counts of bins are combined
+    """(grp, cut): the bin of log distance that holds the wanted rank of each group. Counts of bins are combined
     before the shuffle; a group has a few hundred bins whatever its size."""
-    from pyspark.sql import Window
     bins = rows.groupBy("grp", _bin().alias("bin")).agg(F.count("*").alias("n"))
     by = Window.partitionBy("grp")
     ranked = bins.withColumns({"upto": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)})
@@ -134,7 +140,7 @@ def robust_distances(stats: DataFrame) -> DataFrame:
 
     Groups are language and source; those with fewer than LEAST_ROWS rows are judged together. The estimate starts from
     medians and absolute deviations and is concentrated ROUNDS times on the KEPT_SHARE of rows nearest to it; each round is
-    two aggregations over all rows. Distances are scaled so that their median is that of the chi-square distribution."""
+    one aggregation over all rows. Distances are scaled so that their median is that of the chi-square distribution."""
     rows = _vectors(stats).withColumn("own", F.to_json(F.struct("lang", "source")))
     small = rows.groupBy("own").agg((F.count("*") < LEAST_ROWS).alias("small"))
     rows = written(rows.join(small, "own").withColumn("grp", F.when(F.col("small"), "").otherwise(F.col("own"))).drop("own", "small"), "vectors")
@@ -145,8 +151,7 @@ def robust_distances(stats: DataFrame) -> DataFrame:
         "grp", F.array(*[F.col(f"m_{c}").cast("double") for c in FEATURES]).alias("centre"),
         F.array(*[1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("precision")), "shapes")
     for _ in range(ROUNDS):
-        now = _distances(rows, shapes)
-        shapes = written(_ellipsoids(_moments(now.join(_cut(now, KEPT_SHARE), "grp").where(_bin() <= F.col("cut")))), "shapes")
+        shapes = written(_ellipsoids(_nearest_moments(_distances(rows, shapes))), "shapes")
     now = _distances(rows, shapes)
     median = _cut(now, 0.5).select("grp", F.pow(F.lit(2.0), (F.col("cut") + 0.5) / BINS).alias("median"))
     return now.join(median, "grp").withColumn("distance", F.col("distance") * chi_square(0.5, P) / F.greatest("median", F.lit(1e-3)))
