@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +32,28 @@ FEATURES = ("strong_rate", "strong_count", "weak_rate", "best_odds", "sum_odds",
 _WORD = re.compile(r"[^\W\d_]+(?:['*@$!0-9.\-_]+[^\W\d_]+)*", re.UNICODE)
 _STRETCH = re.compile(r"(.)\1\1", re.UNICODE)
 _SPACED = re.compile(r"\b(?:[^\W\d_][ .*_-]){3,}[^\W\d_]\b", re.UNICODE)
+# The same for texts of ASCII characters only, which read faster.
+_WORD_ASCII = re.compile(r"[A-Za-z]+(?:['*@$!0-9.\-_]+[A-Za-z]+)*", re.ASCII)
+_SPACED_ASCII = re.compile(r"\b(?:[A-Za-z][ .*_-]){3,}[A-Za-z]\b", re.ASCII)
 _LOOKALIKE = str.maketrans("@$013457", "asoieast")  # fixed values: signs that stand for letters
 
 
+@lru_cache(maxsize=200_000)
 def plain(word: str) -> str:
     """A word as the lexicon holds it: lower case, disguising signs undone or removed, stretched letters shortened."""
     word = re.sub(r"[^\w]|_", "", word.lower().translate(_LOOKALIKE))
     return re.sub(r"(.)\1{2,}", r"\1", word)
 
 
+def written_words(text: str) -> tuple[list[str], list[str]]:
+    """The words of a text, and the words that it spells with a sign between letters."""
+    word, spaced = (_WORD_ASCII, _SPACED_ASCII) if text.isascii() else (_WORD, _SPACED)
+    return word.findall(text), spaced.findall(text)
+
+
 def words_of(text: str) -> list[str]:
-    return [plain(w) for w in _WORD.findall(text)] + [plain(x) for x in _SPACED.findall(text)]
+    raw, spaced = written_words(text)
+    return [plain(w) for w in raw + spaced]
 
 
 def entries(words: list[str]) -> set[str]:
@@ -49,23 +61,65 @@ def entries(words: list[str]) -> set[str]:
     return set(words) | {"^" + w[:STEM] for w in words if len(w) > STEM}
 
 
-def dense(text: str, odds: dict[str, float]) -> list[float]:
-    words = words_of(text)
+class WordFacts(dict):
+    """Row of a written word in ``facts``: its odds, its stem's odds, and whether it is second person, holds one of *@$!, holds a
+    digit, is stretched. Words seen before cost a lookup; ``trim`` forgets all once there are more than ``limit``."""
+
+    limit = 400_000
+
+    def __init__(self, odds: dict[str, float]):
+        super().__init__()
+        self.odds, self.facts = odds, np.zeros((1024, 6))
+
+    def __missing__(self, written: str) -> int:
+        lower, at = written.lower(), len(self)
+        if at == len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        if lower.isascii() and lower.isalpha() and not _STRETCH.search(lower):  # most words: nothing to undo
+            word = lower
+        else:
+            word = plain(written)
+            self.facts[at, 3:] = any(c in "*@$!" for c in written), any(map(str.isdigit, written)), _STRETCH.search(written) is not None
+        if word in self.odds:
+            self.facts[at, 0] = self.odds[word]
+        if len(word) > STEM and (stem := "^" + word[:STEM]) in self.odds:
+            self.facts[at, 1] = self.odds[stem]
+        if word in SECOND_PERSON:
+            self.facts[at, 2] = 1.0
+        self[written] = at
+        return at
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.clear()
+            self.facts[:] = 0.0
+
+
+def _characters(text: str) -> tuple[int, int, int]:
+    """How many capitals, exclamation marks and other marks a text has."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    low = np.bincount(codes[codes < 128], minlength=128)
+    high, times = np.unique(codes[codes >= 128], return_counts=True)
+    capitals = int(low[65:91].sum()) + sum(int(k) for c, k in zip(high.tolist(), times, strict=True) if chr(c).isupper())
+    return capitals, int(low[ord("!")]), sum(int(low[ord(c)]) for c in ".,;:?")
+
+
+def dense(text: str, known: WordFacts) -> list[float]:
+    known.trim()
+    raw, spaced = written_words(text)
+    words = raw + spaced
     n, chars = max(1, len(words)), max(1, len(text))
-    score = [odds.get(w, 0.0) for w in words]
-    stem = [odds.get("^" + w[:STEM], 0.0) if len(w) > STEM else 0.0 for w in words]
-    both = np.maximum(score, stem) if words else np.zeros(1)
-    strong = np.flatnonzero(both >= STRONG)
-    second = np.array([k for k, w in enumerate(words) if w in SECOND_PERSON])
+    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    facts = known.facts[at]
+    stem, written = facts[:, 1], facts[:len(raw), 3:].sum(0) / n
+    both = facts[:, :2].max(1) if words else np.zeros(1)
+    strong, second = np.flatnonzero(both >= STRONG), np.flatnonzero(facts[:, 2])
     near = float(1 / (1 + np.abs(strong[:, None] - second[np.clip(np.searchsorted(second, strong)[:, None] + [-1, 0], 0, len(second) - 1)]).min())) \
         if len(strong) and len(second) else 0.0
-    capitals = sum(map(str.isupper, text))
-    raw = _WORD.findall(text)
+    capitals, exclamations, marks = _characters(text)
     return [100.0 * len(strong) / n, float(len(strong)), 100.0 * float((both >= WEAK).sum()) / n, float(both.max()),
-            float(np.sort(both)[-3:].sum()), near, capitals / chars, 100.0 * text.count("!") / n,
-            sum(text.count(c) for c in ".,;:?") / chars, sum(any(c in "*@$!" for c in w) for w in raw) / n,
-            sum(any(c.isdigit() for c in w) for w in raw) / n, sum(_STRETCH.search(w) is not None for w in raw) / n,
-            float(len(_SPACED.findall(text))), float(np.log(n)), float(max(stem, default=0.0))]
+            float(np.sort(both)[-3:].sum()), near, capitals / chars, 100.0 * exclamations / n, marks / chars, *map(float, written),
+            float(len(spaced)), float(np.log(n)), float(stem.max(initial=0.0))]
 
 
 def _strings(batch: pa.RecordBatch) -> list[str]:
@@ -101,8 +155,9 @@ def with_features(docs: DataFrame, odds: dict[str, float], keep: list[str]) -> D
         schema = schema.add(c, "double")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordFacts(shared.value)
         for batch in batches(rows, 512):
-            made = np.array([dense(x, shared.value) for x in _strings(batch)], float).reshape(-1, len(FEATURES))
+            made = np.array([dense(x, known) for x in _strings(batch)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(made[:, k]) for k in range(len(FEATURES)))], [*keep, *FEATURES])
 
     return docs.select(*keep, *[c for c in ["text"] if c not in keep]).mapInArrow(run, schema)
