@@ -40,6 +40,15 @@ def test_access_log(spark, tmp_path):
     assert (stats.source_lines, stats.parsed_rows, stats.parse_error_rate) == (2, 1, 0.5)
 
 
+def test_access_log_ids_and_cut_bytes(spark, tmp_path):
+    line = '1.2.3.4 - - [22/Jan/2019:03:56:14 +0330] "GET /p HTTP/1.1" 200 - "http://r" "{}"\n'
+    for name in "abc":
+        write(tmp_path / f"{name}.log", line.format("x") * 3 + line.format("\x01\x02a\x02b\x01") + "bad\x01" * 9 + "\n")
+    rows = logs.access_log(spark, str(tmp_path)).collect()
+    assert len(rows) == len({r.capture_id for r in rows}) == 12
+    assert sorted({json.loads(r.headers)["User-Agent"] for r in rows}) == ["\x01\x02a\x02b\x01", "x"]
+
+
 def test_archive_log_keeps_the_first_lines(spark, tmp_path):
     text = "".join(f'h - - [t] "GET {p} HTTP/1.0" 200 1\n' for p in ("/a", "b?q", "/a", "/c")) + '"bad"\n'
     path = write(tmp_path / "x.gz", text, gzip.open)

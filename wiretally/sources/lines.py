@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from wiretally.functions.text import split_target
 
-_CUT = "\x01"
+_CUT, _ESCAPE = "\x01", "\x02"
 
 
 def number_rows(df: DataFrame) -> DataFrame:
@@ -43,11 +43,20 @@ def from_latin1(c: str) -> Column:
 
 def captured(df: DataFrame, pattern: str, names: Sequence[str], value: str = "value") -> DataFrame:
     """Groups of a whole-line pattern as columns; ``parsed`` tells whether it matched. The line is
-    matched once and cut, not once per group."""
+    matched once and cut, not once per group. A line may hold the byte it is cut at: that byte is
+    written as an escape before the match and restored in the groups."""
     joined = _CUT.join(f"${i + 1}" for i in range(len(names)))
-    parts = F.split(F.regexp_replace(value, pattern, joined), _CUT, -1)
+    parts = F.split(F.regexp_replace(_escaped(F.col(value)), pattern, joined), _CUT, -1)
     staged = df.withColumn("_g", parts).withColumn("parsed", F.size("_g") == len(names))
-    return staged.withColumns({n: F.when(F.col("parsed"), F.get("_g", F.lit(i))) for i, n in enumerate(names)}).drop("_g")
+    return staged.withColumns({n: F.when(F.col("parsed"), _restored(F.get("_g", F.lit(i)))) for i, n in enumerate(names)}).drop("_g")
+
+
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_CUT), F.lit(_ESCAPE + "a"))
+
+
+def _restored(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit(_ESCAPE + "a"), F.lit(_CUT)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
 
 
 def with_target(df: DataFrame, target: Column) -> DataFrame:

@@ -36,7 +36,8 @@ def access_log(spark: SparkSession, path: str, app: str = "zanbil", host: str =
         parsed = prefix(parsed, max_rows)
     rows = with_target(parsed, F.col("_target"))
     rows = rows.withColumns({
-        "capture_id": identity.uuid5(identity.ACCESS_LOG_NAMESPACE, F.concat(F.lit(f"{app}:"), F.col("line_no").cast("string"))),
+        # Counted over all files, so that ids don't repeat; of one file it is the line number.
+        "capture_id": identity.uuid5(identity.ACCESS_LOG_NAMESPACE, F.concat(F.lit(f"{app}:"), (F.col("row_id") + 1).cast("string"))),
         "timestamp": clock.clf_local_iso(F.col("_ts")), "src_port": F.lit(0),
         "url_path": X.percent_decode(F.col("url_path_raw"), plus_is_space=False), "host": F.lit(host),
         "headers": F.to_json(F.create_map(F.lit("User-Agent"), "_ua", F.lit("Referer"), "_referer")),
