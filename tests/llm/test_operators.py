@@ -5,7 +5,9 @@ import collections
 import hashlib
 import html
 import math
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -205,6 +207,17 @@ def test_removed_bytes(spark, odd, docs, none):
 
 # 6
 
+
+def test_a_passage_repeated_inside_the_later_document(spark):
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choices(string.ascii_letters, k=n))
+    shared, before, behind = text(60), text(100), text(100)
+    rows = [(1, text(40) + shared + text(70)), (2, before + shared + behind + text(33) + before + shared + behind), (2, text(9) + before + shared + behind)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats([(d, x.encode()) for d, x in rows]))
+    assert sorted(r.n_removed for r in got) == [0, 60, 120]
+
 def brute_components(rows, size, num, den):
     sets, parent = [], list(range(len(rows)))
     for _, x in rows:

@@ -5,7 +5,7 @@
    same wherever the string occurs. Anchors of one document only are dropped.
 3. Equal strings have equal anchors. So the text around an anchor (the starts that belong to it, and LENGTH bytes from
    each) goes to the shard of the anchor's hash; occurrences with equal surroundings are one, whose least
-   doc_id counts.
+   doc_id counts. What is found for that one goes to all its places in the least document.
 4. Each shard sorts its suffixes by the difference cover {1, 2} mod 3: sampled suffixes get names by triples of 8-byte
    symbols, then by triples of names (72 bytes, more than LENGTH, are told apart, so the recursion ends), the others are
    merged by their first bytes and the rank that follows. Neighbours in that order are compared over LENGTH bytes: a run of
@@ -188,23 +188,23 @@ def _surrounding_rows(docs: DataFrame) -> DataFrame:
         run, "anchor long, row long, doc long, first long, starts long, bytes binary")
 
 
-SPAN = "row long, first long, end long"
+SPAN = "row long, first long, end long, part long"
 
 
-def _spans(row: list, first: list, end: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (row, first, end)], ["row", "first", "end"])
+def _spans(row: list, first: list, end: list, part: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (row, first, end, part)], ["row", "first", "end", "part"])
 
 
 def _sorted_shards(parts: DataFrame) -> DataFrame:
-    """Covered spans (row, first, end) of distinct surroundings, sorted shard by shard."""
+    """Covered spans (row, first, end) of distinct surroundings, sorted shard by shard; part: where those begin."""
     def judge(rows: list[dict]) -> pa.RecordBatch:
-        out = ([], [], [])
+        out = ([], [], [], [])
         found = repeated_starts([r["bytes"] for r in rows], [r["starts"] for r in rows], np.array([r["doc"] for r in rows]))
         for r, at in zip(rows, found, strict=True):
             if len(at):
                 cuts = np.flatnonzero(np.diff(at) > LENGTH)
                 for a, b in zip(at[np.append(0, cuts + 1)].tolist(), at[np.append(cuts, len(at) - 1)].tolist(), strict=True):
-                    for column, value in zip(out, (r["row"], r["first"] + a, r["first"] + b + LENGTH), strict=True):
+                    for column, value in zip(out, (r["row"], r["first"] + a, r["first"] + b + LENGTH, r["first"]), strict=True):
                         column.append(value)
         return _spans(*out)
 
@@ -239,12 +239,18 @@ def covered_spans(rows: DataFrame) -> DataFrame:
     key = ["anchor", F.xxhash64("bytes").alias("code"), F.length("bytes").alias("size"), "starts"]
     least = parts.groupBy(*key).agg(F.min(F.struct("doc", "row", "first")).alias("least"), F.first("bytes").alias("bytes"))
     least = written(least, "distinct")
-    named = parts.withColumns({"code": F.xxhash64("bytes"), "size": F.length("bytes")}).drop("bytes").join(
-        least.select("anchor", "code", "size", "starts", F.col("least.doc").alias("least_doc")), ["anchor", "code", "size", "starts"])
-    copies = named.where("doc > least_doc").select("row", "first", (F.col("first") + F.col("starts") - 1 + LENGTH).alias("end"))
-    # What is found for the least document's surroundings doesn't reach the others, but those are covered already.
-    found = _sorted_shards(least.select("anchor", "least.row", "least.doc", "least.first", "starts", "bytes"))
-    return copies.union(found).groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    # All other places of the same surroundings. In a greater document they are covered throughout; in the least document
+    # (another place in it, or another row with its doc_id) by what is found for the one place that the shard looks at.
+    others = written(parts.withColumns({"code": F.xxhash64("bytes"), "size": F.length("bytes")}).drop("bytes").join(
+        least.select("anchor", "code", "size", "starts", "least"), ["anchor", "code", "size", "starts"]).where(
+        "row != least.row or first != least.first").select("row", "first", "starts", F.expr("doc > least.doc").alias("greater"),
+                                                           F.col("least.row").alias("of_row"), F.col("least.first").alias("of_first")), "others")
+    copies = others.where("greater").select("row", "first", (F.col("first") + F.col("starts") - 1 + LENGTH).alias("end"))
+    found = written(_sorted_shards(least.select("anchor", "least.row", "least.doc", "least.first", "starts", "bytes")), "found")
+    again = found.select(F.col("row").alias("of_row"), F.col("part").alias("of_first"), F.col("first").alias("a"), F.col("end").alias("b")).join(
+        others.where("not greater"), ["of_row", "of_first"]).select(
+        "row", (F.col("first") + F.col("a") - F.col("of_first")).alias("first"), (F.col("first") + F.col("b") - F.col("of_first")).alias("end"))
+    return copies.union(found.drop("part")).union(again).groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
