@@ -205,9 +205,6 @@ def test_removed_bytes(spark, odd, docs, none):
     assert suffix_dedup.remove_repeats(odd).count() == odd.count()
 
 
-# 6
-
-
 def test_a_passage_repeated_inside_the_later_document(spark):
     draw = random.Random(5)
     text = lambda n: "".join(draw.choices(string.ascii_letters, k=n))
@@ -218,6 +215,33 @@ def test_a_passage_repeated_inside_the_later_document(spark):
     assert sorted(map(tuple, got)) == sorted(brute_repeats([(d, x.encode()) for d, x in rows]))
     assert sorted(r.n_removed for r in got) == [0, 60, 120]
 
+
+def test_a_phrase_with_very_many_neighbours_is_no_single_task(spark, monkeypatch):
+    draw = random.Random(6)
+    text = lambda n: "".join(draw.choices(string.ascii_letters, k=n))
+    pool = text(20_000)  # the phrase around its least hash is the anchor of nearly all strings it is in
+    places, codes, _, _ = suffix_dedup.anchors(pool.encode())
+    phrase = pool[places[codes.argmin()]:][:24]
+    before, behind = ([text(18) for _ in range(70)] for _ in range(2))
+    place = lambda: text(40) + draw.choice(before) + phrase + draw.choice(behind) + text(40)
+    rows = [(k // 2, place() + (place() if k % 5 == 0 else "")) for k in range(6000)]
+    sorted_shards, sizes = suffix_dedup._sorted_shards, []
+
+    def seen(parts):
+        sizes.append(parts.groupBy("anchor").agg({"bytes": "count"}).agg({"count(bytes)": "max"}).first()[0] or 0)
+        return sorted_shards(parts)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", seen)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    expected = brute_repeats([(d, x.encode()) for d, x in rows])
+    assert sum(e[1] for e in expected) > 100_000
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert max(sizes) * suffix_dedup.LENGTH <= 256 << 10
+
+
+# 6
+
 def brute_components(rows, size, num, den):
     sets, parent = [], list(range(len(rows)))
     for _, x in rows:

@@ -10,6 +10,9 @@
    symbols, then by triples of names (72 bytes, more than LENGTH, are told apart, so the recursion ends), the others are
    merged by their first bytes and the rank that follows. Neighbours in that order are compared over LENGTH bytes: a run of
    equal prefixes is one string, and every start but those of the least doc_id is covered.
+5. An anchor with more than ANCHOR_BYTES of distinct surroundings (a phrase with ever other neighbours) goes to no shard:
+   its strings, 31 at most for each surroundings, are grouped by a 128-bit hash wherever they are, and the least doc_id of
+   each string is joined back.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from wiretally.llm.common import U64, batches, mixed, text_bytes, written
 LENGTH = 50
 ANCHOR = 20
 WINDOW = LENGTH - ANCHOR + 1
-#: Bytes of surroundings that a task sorts at once (more only where one anchor alone has more).
+#: Bytes of surroundings that a task sorts at once.
 SHARD_BYTES = 4 << 20
+#: Bytes of distinct surroundings from which on an anchor is not sorted in one task.
+ANCHOR_BYTES = 256 << 10
 LAST = (1 << 63) - 1
 
 
@@ -230,6 +235,32 @@ def _sorted_shards(parts: DataFrame) -> DataFrame:
     return parts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, SPAN)
 
 
+def _string_rows(parts: DataFrame) -> DataFrame:
+    """Of surroundings (row, doc, first, starts, bytes): each string of LENGTH bytes that belongs to the anchor, by hash."""
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        for batch in batches(rows, 2048):
+            starts = batch.column("starts").to_numpy()
+            codes = [xxhash.xxh3_128_digest(x[k:k + LENGTH]) for x, n in zip(batch.column("bytes").to_pylist(), starts.tolist(), strict=True) for k in range(n)]
+            ends = np.cumsum(starts)
+            at = np.arange(len(codes)) - np.repeat(ends - starts, starts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(codes, pa.binary()), *(pa.array(np.repeat(batch.column(c).to_numpy(), starts)) for c in ("row", "doc", "first")),
+                 pa.array(at.astype(np.int32))], ["code", "row", "doc", "part", "at"])
+
+    return parts.select("row", "doc", "first", "starts", "bytes").mapInArrow(run, "code binary, row long, doc long, part long, at int")
+
+
+def _hashed_strings(parts: DataFrame) -> DataFrame:
+    """The same spans as _sorted_shards gives, for anchors of any number of surroundings."""
+    strings = _string_rows(parts)
+    least = written(strings.groupBy("code").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("high > low"), "strings")
+    # The starts of one part lie closer than LENGTH, so what they cover is one span.
+    return strings.join(least.select("code", "low"), "code").where("doc > low").groupBy("row", "part").agg(
+        F.min("at").alias("a"), F.max("at").alias("b")).select(
+        "row", (F.col("part") + F.col("a")).alias("first"), (F.col("part") + F.col("b") + LENGTH).alias("end"), "part")
+
+
 def covered_spans(rows: DataFrame) -> DataFrame:
     """(row, spans): the covered spans of each distinct text (row, doc, text) that has any, unmerged, in no order."""
     shared = written(_shared(_anchor_rows(rows)), "shared")
@@ -246,7 +277,11 @@ def covered_spans(rows: DataFrame) -> DataFrame:
         "row != least.row or first != least.first").select("row", "first", "starts", F.expr("doc > least.doc").alias("greater"),
                                                            F.col("least.row").alias("of_row"), F.col("least.first").alias("of_first")), "others")
     copies = others.where("greater").select("row", "first", (F.col("first") + F.col("starts") - 1 + LENGTH).alias("end"))
-    found = written(_sorted_shards(least.select("anchor", "least.row", "least.doc", "least.first", "starts", "bytes")), "found")
+    heavy = written(least.groupBy("anchor").agg(F.sum("size").alias("of_anchor")).where(F.col("of_anchor") > ANCHOR_BYTES), "heavy").select("anchor")
+    distinct = least.select("anchor", "least.row", "least.doc", "least.first", "starts", "bytes")
+    found = written(_sorted_shards(distinct.join(heavy, "anchor", "left_anti")), "found")
+    if not heavy.isEmpty():
+        found = found.union(written(_hashed_strings(written(distinct.join(heavy, "anchor", "left_semi"), "frequent")), "found"))
     again = found.select(F.col("row").alias("of_row"), F.col("part").alias("of_first"), F.col("first").alias("a"), F.col("end").alias("b")).join(
         others.where("not greater"), ["of_row", "of_first"]).select(
         "row", (F.col("first") + F.col("a") - F.col("of_first")).alias("first"), (F.col("first") + F.col("b") - F.col("of_first")).alias("end"))
