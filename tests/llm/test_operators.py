@@ -111,6 +111,16 @@ def test_base_scores_and_better_model(spark, odd, docs, none):
     assert suffix_tree.score_documents(odd).count() == odd.count() and suffix_tree.score_documents(none).count() == 0
 
 
+def test_the_tree_does_not_shrink_as_the_corpus_grows(spark):
+    rare = "one rare pair here"
+    filler = " ".join(f"w{k}" for k in range(500)) + " "
+    train = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    rows = [(held, rare)] + [(k, rare) for k in train[:2]] + [(train[3], filler * 5000)]  # 2.5 million tokens more
+    got = suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).where("held_out").first()
+    assert got.train_tokens > 2_000_000 and got.score > got.base_score + 10
+
+
 def test_next_token_probabilities_sum_to_one(spark):
     rng = np.random.default_rng(5)
     text = " ".join(rng.choice(["a", "b", "c"], 3000, p=[.6, .3, .1]))
