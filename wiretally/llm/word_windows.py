@@ -1,11 +1,12 @@
 """Removal of repeated word windows: a count-min sketch tells which windows may repeat, and only those are grouped exactly.
 
-1. Documents are dealt into chunks of about CHUNK bytes of text, written once. A chunk settles by itself what repeats in it.
+1. Documents are dealt into chunks of about CHUNK bytes of text, written once (compressed in pieces, as a chunk moves twice).
+   A chunk settles by itself what repeats in it.
 2. Each chunk gives its partial sketch: its distinct windows, cut by hash into blocks of the sketch, each a sorted list of cell
    numbers. One task per block adds the partial sketches up to counters (ROWS rows of at least eight cells to a window), so
    neither the sketch nor a block of it grows in one place. A window's estimate is the least of its counters, never less than
    the number of chunks that hold it; what is estimated at two or more goes back to its chunks.
-3. Second pass: each chunk hands in a row for every window so named (its 128-bit hash and its least doc_id in the chunk).
+3. Second pass: each chunk hands in a row for every window so named (its 96-bit hash and its least doc_id in the chunk).
    Windows with one hash are put together exactly, and the chunks learn which of theirs start in a lesser document elsewhere.
    A window that a third of all documents share is one row a chunk.
 """
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import U64, mixed, text_bytes, tokens, word_hashes, written
+from wiretally.llm.common import U64, mixed, tokens, written
 
 SIZE = 20
 #: Bytes of text in a chunk; a longer document is one by itself.
 CHUNK = 8 << 20
 #: Windows to a block of the sketch. On corpora of many TB, raise both so that a chunk has some windows for each block.
 BLOCK = 2 << 20
+#: Bytes of text compressed together.
+PIECE = 64 << 10
 CELL_BITS = 26
 ROWS = 2
 LAST = (1 << 63) - 1
@@ -68,24 +71,63 @@ def window_codes(hashes: np.ndarray, size: int) -> np.ndarray:
             width *= 2
 
 
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd: each power has an inverse
+_BYTES = [mixed(np.arange(256, dtype=U64) + U64(1000 * k)) for k in range(2)]
+_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The powers 0 .. n - 1 of a base modulo 2 ** 64, remembered up to the greatest n of usual size."""
+    size = 1 << max(10, (n - 1).bit_length())
+    known = _powers.get((base, size))
+    if known is None:
+        with np.errstate(over="ignore"):
+            known = np.cumprod(np.append(U64(1), np.full(size - 1, base, U64)), dtype=U64)
+        if size <= 1 << 21:
+            _powers[base, size] = known
+    return known[:n]
+
+
+def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word of some texts, and how many words each text has. A word's hash is its part of a
+    running sum of byte values times powers of a base, moved back to power 0."""
+    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    space = _IS_SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    out = []
+    with np.errstate(over="ignore"):
+        for base, values in zip(_BASES, _BYTES, strict=True):
+            total = np.cumsum(values[data] * _power(base, len(data)), dtype=U64)
+            out.append(mixed((total[end - 1] - total[start - 1]) * _power(pow(base, -1, 1 << 64), len(data))[start]))
+    begins = np.cumsum([1, *(len(x) + 1 for x in texts)])
+    return out[0], out[1], np.diff(np.searchsorted(start, begins))
+
+
 class Chunk:
-    """The windows of some documents, which come in the order of their doc_ids: high and low half of each hash, the place in
-    the joined words, and the document (its place in the chunk)."""
+    """The windows of some documents, which come in the order of their doc_ids: both halves of each hash, the place in the
+    joined words, and the document (its place in the chunk)."""
 
     def __init__(self, texts: list[bytes], size: int):
-        self.words = [tokens(x) for x in texts]
-        lengths = np.fromiter(map(len, self.words), np.int64, len(texts))
+        parts, held, bulk = [], [], 0
+        for k, x in enumerate(texts):
+            held.append(x)
+            bulk += len(x)
+            if bulk >= 1 << 20 or k == len(texts) - 1:
+                parts.append(word_codes(held))
+                held, bulk = [], 0
+        high, low, lengths = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, U64), np.empty(0, U64), np.empty(0, np.int64))
         self.begins = np.append(0, np.cumsum(lengths))
-        codes = word_hashes([w for x in self.words for w in x])
-        document = np.repeat(np.arange(len(texts)), lengths)
-        n = max(0, len(codes) - size + 1)
+        document = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        n = max(0, len(high) - size + 1)
         self.place = np.flatnonzero(document[:n] == document[size - 1:]) if n else np.empty(0, np.int64)
         self.document = document[self.place]
-        self.high, self.low = window_codes(codes, size)[self.place], window_codes(mixed(codes ^ U64(size)), size)[self.place]
+        self.high, self.low = window_codes(high, size)[self.place], (window_codes(low, size)[self.place] >> U64(32)).astype(np.uint32)
 
     def cells(self, blocks: int) -> np.ndarray:
         """Block and cell of each window, as one number."""
-        return ((self.high % U64(blocks)) << U64(CELL_BITS)) | (self.low >> U64(64 - CELL_BITS))
+        return ((self.high % U64(blocks)) << U64(CELL_BITS)) | (self.low >> np.uint32(32 - CELL_BITS)).astype(U64)
 
     def order(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the windows sorted by hash, equal ones in page order, and where a new hash begins."""
@@ -120,21 +162,53 @@ def estimates(lists: list[np.ndarray]) -> np.ndarray:
 
 
 def _chunks(docs: DataFrame, most: int) -> DataFrame:
-    """(chunk, doc, text) of all rows."""
+    """(chunk, piece, docs, sizes, texts) of all rows: some consecutive documents, their texts compressed together."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-        for batch in rows:
-            numbers = []
-            for x in batch.column("text"):
-                numbers.append(chunk)
-                size += len(x.as_buffer()) if x.is_valid else 0
-                if size >= most:
-                    chunk, size = chunk + 1, 0
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], ["chunk", "doc", "text"])
+        codec = pa.Codec("zstd", 3)
+        state = {"chunk": TaskContext.get().partitionId() << 32, "piece": 0, "bulk": 0}
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            row = {**{k: state[k] for k in ("chunk", "piece")}, "docs": list(ids), "sizes": [len(x) for x in texts],
+                   "texts": codec.compress(b"".join(texts), asbytes=True)}
+            state["piece"] += 1
+            state["bulk"] += held
+            if state["bulk"] >= most:
+                state.update(chunk=state["chunk"] + 1, piece=0, bulk=0)
+            ids.clear()
+            texts.clear()
+            return pa.RecordBatch.from_pylist([row], schema)
 
+        for batch in rows:
+            for doc, x in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids.append(doc)
+                texts.append(x or b"")
+                held += len(texts[-1])
+                if held >= min(most, PIECE) or len(ids) >= 4096:
+                    yield made()
+                    held = 0
+        if ids:
+            yield made()
+
+    schema = pa.schema([("chunk", pa.int64()), ("piece", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
     return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "chunk long, doc long, text binary")
+        run, "chunk long, piece int, docs array<long>, sizes array<long>, texts binary")
+
+
+def _texts(parts: list[pa.RecordBatch]) -> tuple[list[int | None], list[bytes]]:
+    """doc_ids and texts of a chunk by doc_id; null counts as the greatest."""
+    rows = []
+    for p in parts:
+        for docs, sizes, packed_texts in zip(p.column("docs").to_pylist(), p.column("sizes").to_pylist(), p.column("texts").to_pylist(), strict=True):
+            data, at = pa.Codec("zstd").decompress(packed_texts, sum(sizes), asbytes=True) if sum(sizes) else b"", 0
+            for doc, n in zip(docs, sizes, strict=True):
+                rows.append((doc, data[at:at + n]))
+                at += n
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    return [r[0] for r in rows], [r[1] for r in rows]
 
 
 def _partial_sketches(chunks: DataFrame, size: int, blocks: int) -> DataFrame:
@@ -142,13 +216,13 @@ def _partial_sketches(chunks: DataFrame, size: int, blocks: int) -> DataFrame:
     may only raise an estimate."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, parts in groups(rows, "chunk"):
-            cells = np.unique(Chunk([x for p in parts for x in text_bytes(p)], size).cells(blocks))
+            cells = np.unique(Chunk(_texts(parts)[1], size).cells(blocks))
             block, first = np.unique(cells >> U64(CELL_BITS), return_index=True)
             lists = np.split(cells & U64((1 << CELL_BITS) - 1), first[1:]) if len(cells) else []
             yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(np.full(len(block), chunk)),
                                               pa.array([packed(x) for x in lists], pa.binary())], ["block", "chunk", "cells"])
 
-    return chunks.select("chunk", "text").mapInArrow(run, "block int, chunk long, cells binary")
+    return chunks.mapInArrow(run, "block int, chunk long, cells binary")
 
 
 def _named(sketches: DataFrame, partitions: int) -> DataFrame:
@@ -167,9 +241,9 @@ def _named(sketches: DataFrame, partitions: int) -> DataFrame:
 
 
 def _chunk_by_chunk(chunks: DataFrame, told: DataFrame, partitions: int) -> DataFrame:
-    """Rows of both, chunk by chunk: what was told it, then its documents in the order of doc_id."""
+    """Rows of both, chunk by chunk: what was told it, then its documents."""
     both = told.withColumn("kind", F.lit(0)).unionByName(chunks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    return both.repartition(partitions, "chunk").sortWithinPartitions("chunk", "kind", F.col("doc").asc_nulls_last())
+    return both.repartition(partitions, "chunk").sortWithinPartitions("chunk", "kind", "piece")
 
 
 def _split(parts: list[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
@@ -182,13 +256,13 @@ def _split(parts: list[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.R
     return [p for p in told if p.num_rows], [p for p in own if p.num_rows]
 
 
-def _documents(parts: list[pa.RecordBatch]) -> np.ndarray:
-    """The doc_ids; null counts as the greatest."""
-    return np.concatenate([p.column("doc").fill_null(LAST).to_numpy() for p in parts])
+def _numbers(docs: list[int | None]) -> np.ndarray:
+    return np.array([LAST if d is None else d for d in docs], np.int64)
 
 
 def _repeat_rows(chunks: DataFrame, named: DataFrame, size: int, blocks: int, partitions: int) -> DataFrame:
-    """(high, low, chunk, doc): each distinct window that may repeat in other chunks, with its least document in this one."""
+    """(high, low, chunk, doc, at): each distinct window that may repeat in other chunks, with its least document in this one and
+    the number of its first place there."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, parts in groups(rows, "chunk"):
             told, own = _split(parts)
@@ -196,10 +270,10 @@ def _repeat_rows(chunks: DataFrame, named: DataFrame, size: int, blocks: int, pa
                 continue
             cells = np.unique(np.concatenate([unpacked(x) + (b << CELL_BITS) for p in told for b, x in zip(
                 p.column("block").to_pylist(), p.column("cells").to_pylist(), strict=True)])).astype(U64)
-            chunk = Chunk([x for p in own for x in text_bytes(p)], size)
+            docs, texts = _texts(own)
+            chunk, doc = Chunk(texts, size), _numbers(docs)
             if not len(chunk.place):
                 continue
-            doc = _documents(own)
             order, new = chunk.order()
             firsts = order[new]
             wanted = chunk.cells(blocks)[firsts]
@@ -208,10 +282,10 @@ def _repeat_rows(chunks: DataFrame, named: DataFrame, size: int, blocks: int, pa
             for k in range(0, len(firsts), 100_000):
                 part = firsts[k:k + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(chunk.high[part].view(np.int64)), pa.array(chunk.low[part].view(np.int64)), pa.array(np.full(len(part), number)),
-                     pa.array(doc[chunk.document[part]])], ["high", "low", "chunk", "doc"])
+                    [pa.array(chunk.high[part].view(np.int64)), pa.array(chunk.low[part].view(np.int32)), pa.array(np.full(len(part), number)),
+                     pa.array(doc[chunk.document[part]]), pa.array(part.astype(np.int32))], ["high", "low", "chunk", "doc", "at"])
 
-    return _chunk_by_chunk(chunks, named, partitions).mapInArrow(run, "high long, low long, chunk long, doc long")
+    return _chunk_by_chunk(chunks, named, partitions).mapInArrow(run, "high long, low int, chunk long, doc long, at int")
 
 
 def _cut(chunks: DataFrame, covered: DataFrame, size: int, partitions: int) -> DataFrame:
@@ -220,8 +294,8 @@ def _cut(chunks: DataFrame, covered: DataFrame, size: int, partitions: int) -> D
             told, own = _split(parts)
             if not own:
                 continue
-            chunk = Chunk([x for p in own for x in text_bytes(p)], size)
-            doc = _documents(own)
+            docs, texts = _texts(own)
+            chunk, doc = Chunk(texts, size), _numbers(docs)
             order, new = chunk.order()
             goes = np.zeros(len(order), bool)
             if len(order):
@@ -230,30 +304,26 @@ def _cut(chunks: DataFrame, covered: DataFrame, size: int, partitions: int) -> D
                 again = np.append(False, chunk.document[order][1:] == chunk.document[order][:-1]) & ~new
                 hit = (of > of[np.flatnonzero(new)][group]) | again
                 if told:
-                    high = np.concatenate([p.column("high").to_numpy() for p in told]).view(U64)
-                    low = np.concatenate([p.column("low").to_numpy() for p in told]).view(U64)
-                    firsts = order[new]
-                    at = np.searchsorted(chunk.high[firsts], high)
-                    while (wrong := chunk.low[firsts][at] != low).any():
-                        at[wrong] += 1  # the next hash with an equal half
-                    elsewhere = np.zeros(len(firsts), bool)
-                    elsewhere[at] = True
+                    place = np.empty(len(order), np.int64)
+                    place[order] = group
+                    elsewhere = np.zeros(int(group[-1]) + 1, bool)
+                    elsewhere[place[np.concatenate([p.column("at").flatten().to_numpy() for p in told])]] = True
                     hit |= elsewhere[group]
                 goes[order] = hit
             total = int(chunk.begins[-1])
             edge = np.bincount(chunk.place[goes], minlength=total + 1) - np.bincount(chunk.place[goes] + size, minlength=total + 1)
             removed = np.cumsum(edge)[:-1] > 0
             n, gone, kept = np.diff(chunk.begins), [], []
-            for words, a, b in zip(chunk.words, chunk.begins[:-1].tolist(), chunk.begins[1:].tolist(), strict=True):
-                out = removed[a:b]
+            for text, a, b in zip(texts, chunk.begins[:-1].tolist(), chunk.begins[1:].tolist(), strict=True):
+                words, out = tokens(text), removed[a:b]
                 gone.append(int(out.sum()))
                 kept.append(b" ".join(words if not gone[-1] else [words[k] for k in np.flatnonzero(~out).tolist()]))
-            at = 0
-            for p in own:
-                part = slice(at, at := at + p.num_rows)
+            for k in range(0, len(docs), 1000):
+                part = slice(k, k + 1000)
                 yield pa.RecordBatch.from_arrays(
-                    [p.column("doc"), pa.array([x.decode() for x in kept[part]], pa.string()), pa.array(n[part]), pa.array(gone[part], pa.int64()),
-                     pa.array([hashlib.sha256(x).hexdigest() for x in kept[part]], pa.string())], ["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
+                    [pa.array(docs[part], pa.int64()), pa.array([x.decode() for x in kept[part]], pa.string()), pa.array(n[part]),
+                     pa.array(gone[part], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept[part]], pa.string())],
+                    ["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
 
     return _chunk_by_chunk(chunks, covered, partitions).mapInArrow(
         run, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
@@ -268,10 +338,10 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK, block: in
     as the greatest. Extra columns are not carried, whatever their names. An empty table gives no rows."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = written(_chunks(docs, chunk), "chunks")
-    bulk = chunks.agg(F.sum(F.length("text"))).first()[0] or 0
+    bulk = chunks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, b) -> a + b)"))).first()[0] or 0
     blocks = max(1, math.ceil(bulk / 6 / block))  # a word takes about six bytes
     named = written(_named(_partial_sketches(chunks, size, blocks), partitions), "named")
     rows = _repeat_rows(chunks, named, size, blocks, partitions)
     least = F.min("doc").over(Window.partitionBy("high", "low"))
-    covered = rows.withColumn("least", least).where("doc > least").select("high", "low", "chunk")
+    covered = rows.withColumn("least", least).where("doc > least").groupBy("chunk").agg(F.collect_list("at").alias("at"))  # bounded by the chunk
     return _cut(chunks, covered, size, partitions)
