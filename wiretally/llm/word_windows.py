@@ -32,7 +32,7 @@ BLOCK = 2 << 20
 #: Bytes of text compressed together.
 PIECE = 64 << 10
 CELL_BITS = 26
-ROWS = 2
+ROWS = 3
 LAST = (1 << 63) - 1
 
 
@@ -278,7 +278,7 @@ def _repeat_rows(chunks: DataFrame, named: DataFrame, size: int, blocks: int, pa
             firsts = order[new]
             wanted = chunk.cells(blocks)[firsts]
             at = np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)
-            firsts = firsts[cells[at] == wanted]
+            firsts = np.sort(firsts[cells[at] == wanted])  # in page order, doc_ids compress
             for k in range(0, len(firsts), 100_000):
                 part = firsts[k:k + 100_000]
                 yield pa.RecordBatch.from_arrays(
