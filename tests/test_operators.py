@@ -155,3 +155,57 @@ def test_metric_differences(spark):
     g = spark.createDataFrame([("a", 1.0000001, None), ("b", 2.1, None), ("c", None, "y"), ("e", 1.0, None)], schema)
     assert {r.path: r.difference for r in quality.metric_differences(e, g).collect()} == {
         "b": "value", "c": "value", "d": "missing", "e": "unexpected"}
+
+
+def test_elementary_windows_match_brute_force():
+    draw = np.random.default_rng(11)
+    for _ in range(300):
+        n = int(draw.integers(0, 12))
+        spans = [(int(a), int(a + draw.integers(0, 15)), int(r), f"c{k}") for k, (a, r) in enumerate(zip(draw.integers(0, 40, n), draw.permutation(n)))]
+        found = labelling.sweep(sorted(spans))
+        assert all(a[1] < b[0] for a, b in zip(found, found[1:])) and all(a <= b for a, b, _ in found)
+        for t in range(60):
+            wins = min(((r, c) for a, b, r, c in spans if a <= t <= b), default=(None, None))[1]
+            assert next((c for a, b, c in found if a <= t <= b), None) == wins
+
+
+def _campaign_rows(spark, rows):
+    return spark.createDataFrame(rows, "ord string, src_ip string, start_ts string, end_ts string").selectExpr(
+        "*", "ord AS campaign_id", "'app' AS app", "'attack' AS label", "'sqli' AS attack_family", "'ffuf' AS attack_tool")
+
+
+def _iso(us):
+    import datetime
+    return (datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=int(us))).strftime("%Y-%m-%dT%H:%M:%S.%f") + "Z"
+
+
+@pytest.mark.parametrize("seconds,piece_rows", [(86_400, 1_000_000), (7, 3), (600, 20), (86_400, 5)])
+def test_first_campaign_wins_in_any_slots_and_pieces(spark, seconds, piece_rows):
+    draw = np.random.default_rng(seconds + piece_rows)
+    spans = [(f"c{k:03d}", f"10.0.0.{draw.integers(3)}", int(a), int(a + draw.choice([0, 1, 5_000_000, 400_000_000, -1])))
+             for k, a in enumerate(draw.integers(0, 300_000_000, 60))]
+    at = [(i, f"10.0.0.{draw.integers(4)}", int(t)) for i, t in enumerate(np.append(draw.integers(0, 400_000_000, 300), [s[2] for s in spans] + [s[3] for s in spans]))]
+    flows = spark.createDataFrame([(i, s, _iso(t)) for i, s, t in at] + [(-1, None, _iso(5)), (-2, "10.0.0.1", "bad"), (-3, "10.0.0.1", None)],
+                                  "row_id long, src_ip string, timestamp string")
+    got = {r.row_id: r.match.campaign_id if r.match else None for r in labelling.match_campaigns(
+        flows, _campaign_rows(spark, [(o, s, _iso(a), _iso(b)) for o, s, a, b in spans]), seconds, piece_rows).collect()}
+    expected = {i: min((o for o, s, a, b in spans if s == src and a <= t <= b), default=None) for i, src, t in at}
+    assert got == expected | {-1: None, -2: None, -3: None}
+    empty = labelling.match_campaigns(flows, _campaign_rows(spark, []))
+    assert empty.where("match IS NULL").count() == len(at) + 3 == empty.count()
+    assert labelling.match_campaigns(flows.limit(0), _campaign_rows(spark, [(o, s, _iso(a), _iso(b)) for o, s, a, b in spans])).isEmpty()
+
+
+def test_a_hundred_thousand_campaigns_of_one_source_in_one_day(spark):
+    n = 100_000
+    campaigns = spark.range(n).selectExpr("lpad(id, 6, '0') AS ord", "'10.0.0.1' AS src_ip", "id * 500000 AS a", "id * 500000 + 2000000 AS b")
+    stamp = "date_format(timestamp_micros(1704067200000000 + {}), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
+    campaigns = campaigns.selectExpr("ord", "src_ip", stamp.format("a") + " AS start_ts", stamp.format("b") + " AS end_ts", "ord AS campaign_id",
+                                     "'app' AS app", "'attack' AS label", "'x' AS attack_family", "'y' AS attack_tool")
+    flows = spark.range(50_000).selectExpr("id AS row_id", "'10.0.0.1' AS src_ip", stamp.format("id * 1000000 + 1") + " AS timestamp")
+    matched = labelling.match_campaigns(flows, campaigns, piece_rows=20_000)
+    plan = matched._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "_entries" not in plan
+    # At a second s the open campaigns are those that began in the two seconds before: the first of them is 2 s - 3.
+    assert matched.where("match.ord = lpad(greatest(2 * row_id - 3, 0), 6, '0')").count() == 50_000
+    assert labelling._plan(flows.withColumn("_at", F.lit(1)), campaigns.withColumn("_start", F.lit(1)), 10 ** 12, 20_000).first().pieces == 8

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from wiretally.catalog.corpus_queries import SQL_MATCHED
 from wiretally.catalog.registry import query
 from wiretally.catalog.text_queries import LABEL_RULES, SQL_SIG
+from wiretally.operators import dedup
+from wiretally.plans import detector as D
 from wiretally.schema import CAPTURE_SCHEMA, conform
 from wiretally.session import scratch_path
 from wiretally.sources import lines, logs, sinks, tables
 from wiretally.streaming import flows as streams
 
 
+QUICK = D.Settings(text_iterations=15)
+
+
 def _target():
     return F.concat("url_path_raw", F.lit("?"), "url_query")
 
@@ -152,15 +157,43 @@ def _capture_files(t) -> tuple[str, str]:
     return captures, manifests
 
 
-@query("S9 J1 R1", f"""
+@query("S9 J1", f"""
     WITH {SQL_MATCHED} SELECT CAST(row_id AS VARCHAR) AS capture_id, session_id, label, campaign_id FROM lab""")
 def label_capture_stream(t):
     """Capture lines labelled as a stream."""
     captures, campaigns = _capture_files(t)
-    stream = streams.label_and_score(streams.capture_stream(t.spark, captures), t.spark.read.parquet(campaigns).withColumn(
-        "ord", F.col("campaign_id")))
-    out = streams.run_to_end(stream.select("capture_id", "session_id", "label", "campaign_id"), "labelled")
-    return t.spark.read.parquet(out)
+    out, state = scratch_path(t.spark, "labelled"), scratch_path(t.spark, "labelled-state")
+    streams.label_batches(streams.capture_stream(t.spark, captures), lambda: _stored_campaigns(t, campaigns), out, state,
+                          columns=["capture_id", "session_id", "label", "campaign_id"]).awaitTermination()
+    return streams.committed(t.spark, out)
+
+
+def _stored_campaigns(t, path: str):
+    return t.spark.read.parquet(path).withColumn("ord", F.col("campaign_id"))
+
+
+@query("R1 S9 J1 K7 M7 M14", f"""
+    WITH {SQL_MATCHED} SELECT label, count(*) AS n, count(*) AS equal_scores, TRUE AS later_campaigns_seen FROM lab GROUP BY 1""")
+def score_capture_stream(t):
+    """Capture lines labelled and scored as a stream by a stored model, in two runs: more lines and more campaigns arrive before the
+    second one, which goes on from the checkpoint. Scores are held against those of the model over the same lines as a batch."""
+    rows = dedup.keep_first(t.flows).withColumn("y", (F.col("label") == "attack").cast("int"))
+    where = scratch_path(t.spark, "model")
+    D.fit_text(rows, QUICK).save(where)
+    model = D.TextModel.load(where)
+    captures, campaigns, out, state = (scratch_path(t.spark, x) for x in ("capture", "manifests", "scored", "scored-state"))
+    lines = conform(t.flows.drop("label", "attack_family", "attack_tool").withColumn("capture_id", F.col("row_id").cast("string")), CAPTURE_SCHEMA)
+    late = F.pmod(F.xxhash64("src_ip"), F.lit(2)) == 1  # sources that come with the second run, campaigns and lines
+    for part in (~late, late):
+        t.campaigns.drop("ord").where(part).write.mode("append").parquet(campaigns)
+        lines.where(part).write.mode("append").json(captures)
+        streams.label_batches(streams.capture_stream(t.spark, captures), lambda: _stored_campaigns(t, campaigns), out, state, model.score,
+                              ["capture_id", "src_ip", "label", "p_text"]).awaitTermination()
+    once = model.score(conform(t.spark.read.schema(CAPTURE_SCHEMA).json(captures), CAPTURE_SCHEMA)).select("capture_id", F.col("p_text").alias("expected"))
+    found = streams.committed(t.spark, out).withColumn("_late", late).join(once, "capture_id")
+    return found.groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if(F.abs(F.col("p_text") - F.col("expected")) < 1e-12).alias("equal_scores"),
+        F.bool_or("_late").alias("later_campaigns_seen"))
 
 
 @query("R2 A8", """

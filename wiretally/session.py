@@ -44,6 +44,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def tabled(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder. Unlike a checkpoint it has a measured size, so Spark broadcasts it in a
+    join if it is small and not otherwise."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SPREAD = 200
 
 

@@ -18,12 +18,23 @@ def capture_stream(spark: SparkSession, folder: str, files_per_trigger: int = 10
     return spark.readStream.schema(CAPTURE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
 
-def label_and_score(stream: DataFrame, campaigns: DataFrame, score: Callable[[DataFrame], DataFrame] | None = None,
-                    seconds: int = labelling.SLOT_SECONDS) -> DataFrame:
-    """Stream-static labelling; a row finds its first campaign inside an array, so no state is kept.
-    ``score`` is a fitted model's transform."""
-    labelled = labelling.label_flows(stream, campaigns, seconds)
-    return labelled if score is None else score(labelled)
+def label_batches(stream: DataFrame, campaigns: Callable[[], DataFrame], out: str, checkpoint: str,
+                  score: Callable[[DataFrame], DataFrame] | None = None, columns: Sequence[str] = ()) -> StreamingQuery:
+    """Label (and score) what has arrived and stop. ``campaigns`` is called for each micro-batch, so campaigns that were added meanwhile count
+    from the next one on; ``score`` is a stored model's scoring function, loaded once. A batch is written to a folder named by its number,
+    in place of what an earlier try left there: after a crash or a restart from ``checkpoint`` no row is missing or twice.
+    Read the result with :func:`committed`."""
+    def save(batch: DataFrame, number: int) -> None:
+        labelled = labelling.label_flows(batch, campaigns())
+        rows = labelled if score is None else score(labelled)
+        (rows.select(*columns) if columns else rows).write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all batches under a folder of :func:`label_batches`."""
+    return spark.read.parquet(path).drop("batch")
 
 
 def session_window_counts(stream: DataFrame, keys: Sequence[str] = ("session_id",), ts: str = "ts",
