@@ -149,6 +149,54 @@ def test_nearest_takes_all_blocks(spark, monkeypatch):
     assert [got[i] for i in range(20)] == pytest.approx(list(expected))
 
 
+def _clustered(draw, clusters, size, dim, spread):
+    centres = draw.normal(size=(clusters, dim))
+    return (centres[:, None] + spread * draw.normal(size=(clusters, size, dim))).reshape(-1, dim)
+
+
+def test_blocks_that_cannot_win_get_no_copy(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    draw = np.random.default_rng(12)
+    train, queries = _clustered(draw, 30, 100, 24, .05), _clustered(np.random.default_rng(12), 30, 40, 24, .05)
+    seen, met = [], neighbours._met
+
+    def counted(visits, rows, kind):
+        n = visits.groupBy("block").agg(F.ceil(F.count("*") / neighbours.BLOCK_ROWS).alias("groups"))
+        seen.append(visits.count() + (rows.join(n, "block").agg(F.sum("groups")).first()[0] or 0))
+        return met(visits, rows, kind)
+
+    monkeypatch.setattr(neighbours, "_met", counted)
+    frame = lambda m: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id bigint, v array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = {r.query_id: r.similarity for r in neighbours.nearest_dense(frame(queries), frame(train), "v", "id").collect()}
+    expected = (unit(queries) @ unit(train).T).max(axis=1)
+    assert len(got) == len(queries) and np.allclose([got[i] for i in range(len(queries))], expected)
+    assert sum(seen) < len(queries) * len(train) / neighbours.BLOCK_ROWS / 4
+    # Zero vectors, opposite vectors, nulls, no training rows.
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 1.0])], "id bigint, v array<double>")
+    against = lambda *rows: {r.query_id: round(r.similarity, 9) for r in neighbours.nearest_dense(
+        odd, spark.createDataFrame([(list(x),) for x in rows], "v array<double>"), "v", "id").collect()}
+    assert against((-1.0, 0.0)) == {1: 0.0, 2: -1.0} and against((-1.0, 0.0), (0.0, 0.0)) == {1: 0.0, 2: 0.0}
+    assert against((0.0, 0.0)) == {1: 0.0, 2: 0.0} and against() == {}
+
+
+def test_sparse_rows_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    draw = np.random.default_rng(13)
+    base = draw.random((12, 300)) * (draw.random((12, 300)) < .15)
+    near = lambda n: base[draw.integers(0, 12, n)] * (draw.random((n, 300)) < .9) + draw.random((n, 300)) * (draw.random((n, 300)) < .01)
+    train, queries = near(300), np.vstack([near(120), np.zeros((1, 300))])
+    rows = lambda m: spark.createDataFrame([(i, np.flatnonzero(x).tolist(), x[x != 0].tolist()) for i, x in enumerate(m)],
+                                           "id bigint, terms array<int>, weights array<double>")
+    got = {r.query_id: r.similarity for r in neighbours.nearest_sparse(rows(queries), rows(train), "id").collect()}
+    unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) > 0, np.linalg.norm(m, axis=1, keepdims=True), 1)
+    assert np.allclose([got[i] for i in range(len(queries))], (unit(queries) @ unit(train).T).max(axis=1))
+    signed = train[:50] * draw.choice([-1, 1], (50, 300))
+    both = neighbours._Postings(*neighbours._sparse(rows(signed).select("terms", "weights").toArrow()))
+    found = both.best(*neighbours._sparse(rows(queries).select("terms", "weights").toArrow()))
+    assert np.allclose(found, np.maximum(0, (unit(queries) @ unit(signed).T).max(axis=1)))
+
+
 def test_metric_differences(spark):
     schema = "path string, value double, str string"
     e = spark.createDataFrame([("a", 1.0, None), ("b", 2.0, None), ("c", None, "x"), ("d", 1.0, None)], schema)
