@@ -3,7 +3,7 @@
 1. Documents are dealt into chunks of about CHUNK bytes of text, written once (compressed in pieces, as a chunk moves twice).
    A chunk settles by itself what repeats in it.
 2. Each chunk gives its partial sketch: its distinct windows, cut by hash into blocks of the sketch, each a sorted list of cell
-   numbers. One task per block adds the partial sketches up to counters (ROWS rows of at least eight cells to a window), so
+   numbers. One task per block adds the partial sketches up to counters (ROWS rows of at least four cells to a window), so
    neither the sketch nor a block of it grows in one place. A window's estimate is the least of its counters, never less than
    the number of chunks that hold it; what is estimated at two or more goes back to its chunks.
 3. Second pass: each chunk hands in a row for every window so named (its 96-bit hash and its least doc_id in the chunk).
@@ -153,7 +153,7 @@ def unpacked(data: bytes) -> np.ndarray:
 def estimates(lists: list[np.ndarray]) -> np.ndarray:
     """Count-min estimate of each listed cell number over all lists, in the order of the lists."""
     values = np.concatenate(lists).astype(U64)
-    width = 1 << max(10, math.ceil(math.log2(8 * max(1, len(values)))))
+    width = 1 << max(10, math.ceil(math.log2(4 * max(1, len(values)))))
     least = np.full(len(values), np.iinfo(np.int64).max)
     for row in range(ROWS):
         cell = (mixed(values ^ (U64(row + 1) << U64(40))) & U64(width - 1)).astype(np.int64)
