@@ -43,6 +43,38 @@ def test_group_statistics_with_one_hot_group(spark):
         assert got[g].n == len(v) and got[g]["quantile"] == pytest.approx(np.quantile(v, 0.7))
 
 
+def test_group_with_outliers_on_two_scales(spark, monkeypatch):
+    draw = np.random.default_rng(14)
+    values = np.concatenate([draw.normal(size=100_000), [1e8] * 3, draw.normal(size=50) * 1e8, [1e300, -1e300], np.zeros(5000)])
+    small = draw.integers(0, 9, 700).astype(float)
+    df = spark.createDataFrame([("big", float(x)) for x in values] + [("small", float(x)) for x in small] + [("one", 2.5), ("none", None)], "g string, v double")
+    left, bracketed = [], quantiles._bracketed
+
+    def seen(*args):
+        out = bracketed(*args)
+        left.append(out[0].groupBy("_pick").agg(F.count_distinct("_v").alias("n")).agg(F.max("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(quantiles, "_bracketed", seen)
+    monkeypatch.setattr(quantiles, "LAST", 900)
+    ranks = {"low": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "p99": lambda n: F.floor(n * 0.99), "top": lambda n: n}
+    got = {r.g: r for r in quantiles.order_statistics(df, "v", ranks, ["g"]).collect()}
+    assert set(got) == {"big", "small", "one"}
+    for g, x in (("big", values), ("small", small), ("one", np.array([2.5]))):
+        x = np.sort(x)
+        assert [got[g][k] for k in ranks] == [x[0], x[len(x) // 2], x[int(np.floor(len(x) * 0.99))], x[-1]] and got[g].n == len(x)
+    assert left and left[-1] < len(values) / 100
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), float("-inf")])
+def test_values_without_a_place_are_refused(spark, odd):
+    df = spark.createDataFrame([("a", 1.0), ("a", odd), ("b", 2.0)], "g string, v double")
+    with pytest.raises(ValueError):
+        quantiles.order_statistics(df, "v", {"k": lambda n: n}, ["g"])
+    with pytest.raises(ValueError):
+        quantiles.order_values(df, "v", lambda n: {"k": 0})
+
+
 def test_ranking_quality_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     s, y = rng.integers(0, 40, 400) / 40, rng.random(400) < 0.3

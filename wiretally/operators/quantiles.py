@@ -5,8 +5,9 @@ wanted rank is looked into again. Cells are a monotone function of the value, so
 exact; ties are merged, so a value shared by most rows is one row.
 
 Over a whole table the rounds go on until a cell holds at most ``DIRECT`` distinct values, and
-only those reach the driver. Per group, two rounds run as aggregations over all groups at
-once and a closing window sees about one value in sixteen million of a group."""
+only those reach the driver. Per group, the cells are not of equal width, which outliers on several scales would leave
+nearly full: a mergeable quantile summary of each group proposes them, they are counted exactly, and that is repeated over all groups
+at once until what is left around a wanted rank is ``LAST`` values at most."""
 
 from __future__ import annotations
 
@@ -15,10 +16,14 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wiretally.session import settle
+from wiretally.session import settle, tabled
 
 CELLS = 4096
 DIRECT = 50_000
+#: Per group: bounds that a summary proposes, its accuracy, and how many different values are ranked at once.
+GRID = 512
+ACCURACY = 20_000
+LAST = 10_000
 Rank = Callable[[Column], Column]
 
 
@@ -61,7 +66,8 @@ def order_values(df: DataFrame, value: str | Column, ranks: Callable[[int], dict
               .agg(F.count("*").alias("_w")).persist())
     try:
         size = counts.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"), F.min("_v").alias("lo"),
-                          F.max("_v").alias("hi"), F.count("*").alias("d")).first()
+                          F.max("_v").alias("hi"), F.count("*").alias("d"), _non_finite(counts, "_v").alias("odd")).first()
+        _refuse_non_finite(str(value), size.odd)
         out = {"n": size.n}
         for name, rank in ranks(size.n).items():
             out[name] = None if size.n == 0 else _at_rank(
@@ -71,55 +77,72 @@ def order_values(df: DataFrame, value: str | Column, ranks: Callable[[int], dict
         counts.unpersist()
 
 
-def _before(by: Sequence[str], order: str) -> Column:
-    return F.sum("_w").over(W.partitionBy(*by).orderBy(order)) - F.col("_w")
-
-
-def _narrow(rows: DataFrame, span: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows of the wanted cells only, one copy per pick, equal values merged. ``rows`` has
-    ``_v``, ``_w``; ``span`` has ``_lo``, ``_hi`` and the array ``_picks`` of (pick, rank)."""
-    placed = rows.join(span, by).withColumn("_cell", _cell(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    cells = placed.groupBy(*by, "_cell").agg(F.sum("_w").alias("_w"))
-    cells = cells.withColumn("_b", _before(by, "_cell")).join(span.select(*by, "_picks"), by)
-    inside = F.filter("_picks", lambda p: (p["rank"] >= F.col("_b"))
-                      & (p["rank"] < F.col("_b") + F.col("_w")))
-    hits = cells.select(*by, "_cell", "_b", F.explode(inside).alias("_p")).select(
-        *by, "_cell", F.col("_p.pick").alias("_pick"), (F.col("_p.rank") - F.col("_b")).alias("_rank"))
-    return (placed.select(*by, "_v", "_w", "_cell").join(hits, [*by, "_cell"])
-            .groupBy(*by, "_pick", "_rank", "_v").agg(F.sum("_w").alias("_w")))
+def _refuse_non_finite(column: str, found: int | None) -> None:
+    if found:
+        raise ValueError(f"order statistics of {column} need finite values; {found} are NaN or infinite")
+
+
+def _non_finite(df: DataFrame, column: str) -> Column:
+    """How many values of a floating-point column have no place on the number line; 0 for other types."""
+    if dict(df.dtypes)[column] not in ("double", "float"):
+        return F.lit(0)
+    c = F.col(column)
+    return F.count_if(F.isnan(c) | (F.abs(c) == float("inf")))
+
+
+def _bracketed(cells: DataFrame, wanted: DataFrame, by: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One round: a mergeable quantile summary per cell proposes ``GRID`` + 1 bounds, the three steps around each wanted rank are
+    counted exactly, and the values between them are the new cells. ``cells`` has the columns ``keys`` and ``_v``; ``wanted`` has
+    ``by``, ``_pick``, ``_rank``, the rank within the cell. Returns both, narrowed."""
+    grid = F.percentile_approx("_v", [k / GRID for k in range(GRID + 1)], ACCURACY)
+    summary = tabled(cells.groupBy(*keys).agg(grid.alias("_g"), F.count("*").alias("_size")), "summary")
+    at = F.floor(F.col("_rank") / F.col("_size") * GRID).cast("int")
+    spans = wanted.join(summary, list(keys)).select(
+        *by, "_pick", "_rank", F.get("_g", F.greatest(at - 1, F.lit(0))).alias("_lo"), F.get("_g", F.least(at + 2, F.lit(GRID))).alias("_hi"))
+    spans = tabled(spans, "spans")
+    placed = cells.join(spans, list(keys))
+    counts = placed.groupBy(*by, "_pick").agg(
+        F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_inside"))
+    narrowed = tabled(spans.join(counts, [*by, "_pick"]).withColumn("_rank", F.col("_rank") - F.col("_below")), "ranks")
+    lost = narrowed.where("_rank < 0 OR _rank >= _inside").count()
+    if lost:
+        raise ArithmeticError(f"{lost} summaries missed their rank")  # their error is bounded by 1 / ACCURACY, far less than a step
+    inside = placed.where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).select(*by, "_pick", "_v")
+    return tabled(inside, "cells"), narrowed.select(*by, "_pick", "_rank")
 
 
 def order_statistics(df: DataFrame, value: str | Column, ranks: dict[str, Rank],
                      by: Sequence[str]) -> DataFrame:
-    """Per group: the count ``n`` and the non-null ``value`` at each 0-based rank. Ranks are
-    functions of the count (they may also use the group columns) and are clipped to the group."""
+    """Per group: the count ``n`` and the non-null ``value`` at each 0-based rank. Ranks are functions of the count (they may also use the
+    group columns) and are clipped to the group. Groups with at most ``LAST`` different values are ranked at once; those with
+    more are narrowed, all together, until what is left around each rank is that small. NaN and infinity raise ValueError."""
     by = list(by)
     v = F.col(value) if isinstance(value, str) else value
-    rows = (df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
-            .groupBy(*by, "_v").agg(F.count("*").alias("_w")).persist())
-    try:
-        sizes = rows.groupBy(*by).agg(
-            F.sum("_w").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        n = F.col("n")
-        picks = F.array(*[
-            F.struct(F.lit(k).alias("pick"),
-                     F.greatest(F.least(r(n).cast("bigint"), n - 1), F.lit(0).cast("bigint")).alias("rank"))
-            for k, r in ranks.items()])
-        sizes = settle(sizes.withColumn("_picks", picks))
-        first = settle(_narrow(rows, sizes.drop("n"), by).withColumnRenamed("_pick", "_of"))
-        groups = [*by, "_of"]
-        inner = first.groupBy(*groups).agg(
-            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-            F.array(F.struct(F.lit("").alias("pick"), F.first("_rank").alias("rank"))).alias("_picks"))
-        second = _narrow(first.drop("_rank"), inner, groups)
-        b = F.col("_b")
-        final = (second.withColumn("_b", _before(groups, "_v"))
-                 .where((F.col("_rank") >= b) & (F.col("_rank") < b + F.col("_w"))))
-        found = final.groupBy(*by).agg(*[
-            F.max(F.when(F.col("_of") == k, F.col("_v"))).alias(k) for k in ranks])
-        return settle(sizes.select(*by, "n").join(found, by))
-    finally:
-        rows.unpersist()
+    rows = tabled(df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull()), "values")
+    merged = tabled(rows.groupBy(*by, "_v").agg(F.count("*").alias("_w")), "merged")
+    sizes = tabled(merged.groupBy(*by).agg(F.sum("_w").alias("n"), F.count("*").alias("_d"), _non_finite(rows, "_v").alias("_odd")), "sizes")
+    seen = sizes.agg(F.max("_d").alias("d"), F.sum("_odd").alias("odd")).first()
+    _refuse_non_finite(str(value), seen.odd)
+    n = F.col("n")
+    picks = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("pick"), F.greatest(F.least(r(n).cast("bigint"), n - 1), F.lit(0).cast("bigint")).alias("rank"))
+        for k, r in ranks.items()]))
+    wanted = tabled(sizes.select(*by, "_d", picks.alias("_p")).select(*by, "_d", F.col("_p.pick").alias("_pick"), F.col("_p.rank").alias("_rank")), "picks")
+    small = merged.join(wanted.where(F.col("_d") <= LAST), by).select(*by, "_pick", "_rank", "_v", "_w")
+    if (seen.d or 0) > LAST:
+        large = wanted.where(F.col("_d") > LAST).select(*by, "_pick", "_rank")
+        cells, keys = rows.join(sizes.where(F.col("_d") > LAST).select(*by), by), by
+        while True:
+            cells, large = _bracketed(cells, large, by, keys)
+            keys = [*by, "_pick"]
+            left = tabled(cells.groupBy(*keys, "_v").agg(F.count("*").alias("_w")), "merged")
+            if (left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= LAST:
+                break
+        small = small.unionByName(left.join(large, keys).select(*by, "_pick", "_rank", "_v", "_w"))
+    upto = F.sum("_w").over(W.partitionBy(*by, "_pick").orderBy("_v"))
+    final = small.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_w")))
+    found = final.groupBy(*by).agg(*[F.max(F.when(F.col("_pick") == k, F.col("_v"))).alias(k) for k in ranks])
+    return settle(sizes.select(*by, "n").join(found, by))
 
 
 def _higher_rank(n: int, q: float) -> int:
