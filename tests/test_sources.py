@@ -1,6 +1,9 @@
 import gzip
 import json
+import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from wiretally.schema import UNIFIED_FIELDS
@@ -65,6 +68,44 @@ def test_audit_log(spark, tmp_path):
     assert rows["/only"].request_body == "" and rows["/only"].source_id == "modsec"
 
 
+def plain_sections(text):
+    out, mode, held = [], None, []
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        m = re.match(r"^--[0-9a-fA-F]+-([A-Z])--\s*$", line)
+        if m:
+            if mode == "B" and held:
+                out.append("\n".join(held))
+            mode, held = m[1], []
+        elif mode == "B":
+            held.append(line)
+    return out
+
+
+@pytest.mark.parametrize("split", ["300b", "64m"])
+def test_audit_sections_run_over_splits(spark, tmp_path, split):
+    """CRLF, records without a closing line, two B sections in a row, an unclosed last one, boundaries cut by splits."""
+    draw = random.Random(len(split))
+    expected = []
+    for name in ("a", "b", "c"):
+        text = ""
+        for k in range(40):
+            end = draw.choice(["\n", "\r\n"])
+            text += f"--{k:02x}f-A--{end}stamp{end}--{k:02x}f-B--{end}GET /{name}{k} HTTP/1.1{end}H: {'x' * draw.choice([0, 3, 200])}{end}"
+            text += draw.choice(["", f"{end}body {k}{end}", f"{end}a{end}{end}--not a boundary--{end}"])
+            text += draw.choice([f"--{k:02x}f-Z--{end}", f"--{k:02x}f-F--{end}HTTP/1.1 403{end}", "", f"--{k:02x}f-B--  {end}"])
+        expected += plain_sections(text)
+        write(tmp_path / f"{name}.log", text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = logs._numbered(logs.audit_sections(spark, str(tmp_path))).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.value for r in rows] == expected and [r.row_id for r in rows] == list(range(len(expected)))
+    write(tmp_path / "d.txt", "no boundary\n" * 5)
+    assert logs.audit_log(spark, str(tmp_path / "d.txt")).isEmpty()
+
+
 def test_semi_synthetic_urls(spark, tmp_path):
     path = write(tmp_path / "c.csv", 'Method,User-Agent,URL,content,classification\n'
                  'GET,ua,http://h:80/a?b=1#f HTTP/1.1,,0\nPOST,ua,/x y HTTP/1.1,"k=1\nz",1\n')
