@@ -11,6 +11,8 @@ from wiretally.catalog.registry import CATALOG
 
 SF_DIR = entry_module.SMOKE_DIR
 TWINS = entry_module.oracle_sql()
+#: Jobs that train several models; test_jobs runs them, and their twins are held against them at a larger scale.
+JOBS = {n for n in TWINS if n.endswith("_counts")} - {"unique_flow_counts", "session_split_counts", "stream_window_counts", "corpus_build_counts"}
 SLOW = {"domain_evaluation", "detector_scores", "family_head", "mutation_robustness"}
 
 
@@ -28,7 +30,7 @@ def rows_of(columns, data):
     return sorted((tuple(r[i] for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(TWINS))
+@pytest.mark.parametrize("name", sorted(set(TWINS) - JOBS))
 def test_query_equals_its_twin(spark, duck, name):
     df = entry_module.queries()[name](spark, SF_DIR)
     cursor = duck.execute(TWINS[name])

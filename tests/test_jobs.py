@@ -117,7 +117,7 @@ def test_mutation_robustness(domain, flows):
 
 def test_further_domains(domain, flows, benign, pools):
     _, model, _, thresholds = domain
-    result = jobs.further_domains(flows, benign, pools, model, thresholds, settings=QUICK, sizes=SIZES)
+    result = jobs.further_domains(flows, benign, pools, model, thresholds, settings=QUICK, sizes=SIZES, stated_threshold=0.5)
     assert set(result["filing_cross_domain"]["rates"]) == {
         "filing@stated", "filing@own", "multi_tenant@stated", "multi_tenant@own"}
 

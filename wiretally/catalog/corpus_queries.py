@@ -28,7 +28,7 @@ def _labelled(t):
         t.flows.drop("label", "attack_family", "attack_tool"), t.campaigns)
 
 
-@query("J1 P16 S9 S8", f"""
+@query("J1 P16", f"""
     WITH {SQL_MATCHED} SELECT row_id, session_id, label, attack_family, attack_tool, campaign_id, label_source FROM lab""")
 def label_flows(t):
     """First campaign of the same source whose closed window holds the flow."""
@@ -106,7 +106,7 @@ def recover_families(t):
         "row_id", "attack_family")
 
 
-@query("J7 J15 U4 Q12", f"""
+@query("J7 U4 Q12", f"""
     WITH d AS (SELECT row_id, http_method, {sql_decode(sql_text())} AS dec FROM v_flows),
          w AS (SELECT max(row_id) AS row_index, http_method, dec FROM d WHERE row_id % 2 = 0 GROUP BY 2, 3)
     SELECT w.row_index, min(d.row_id) AS row_id, TRUE AS found FROM w JOIN d USING (http_method, dec) GROUP BY 1""")
@@ -152,7 +152,7 @@ def site_membership(t):
     return n.join(first_seen, "site", "left")
 
 
-@query("U1 U2 U5", """
+@query("U1 U5", """
     SELECT DISTINCT label FROM (SELECT DISTINCT lang AS label FROM documents UNION ALL SELECT DISTINCT role FROM conversations)""")
 def class_labels(t):
     return membership.class_labels(t.documents.select("lang"), t.conversations.select("role"))

@@ -140,7 +140,7 @@ def macro_recall(t):
     return metrics.macro_mean(per, "recall", ["attack_tool"]).withColumn("recall", r6("recall"))
 
 
-@query("A10 A11 J11 J12 T2 W11", """
+@query("A10 A11 J11 J12", """
     WITH f AS (SELECT *, 'u' || CAST(user_id AS VARCHAR) AS site, row_id % 10 < 3 AS alert FROM v_flows),
       tr AS (SELECT DISTINCT site FROM f WHERE timestamp < '2024-01-21' AND user_id % 4 <> 0), fs AS (SELECT site, min(timestamp) AS first_seen FROM f GROUP BY 1),
       g AS (SELECT site, count(*) AS n_test, count(*) FILTER (alert) AS alerts FROM f WHERE timestamp >= '2024-01-21' GROUP BY 1)
@@ -160,7 +160,7 @@ def _sited(t):
                                 "alert": F.col("row_id") % 10 < 3})
 
 
-@query("A11 W11", """
+@query("A11", """
     WITH f AS (SELECT *, 'u' || CAST(user_id AS VARCHAR) AS site, row_id % 10 < 3 AS alert FROM v_flows),
       tr AS (SELECT DISTINCT site FROM f WHERE timestamp < '2024-01-21' AND user_id % 4 <> 0),
       g AS (SELECT site, count(*) AS n, count(*) FILTER (alert) AS a, bool_or(user_id % 4 <> 0) AS cov FROM f WHERE timestamp >= '2024-01-21' GROUP BY 1)

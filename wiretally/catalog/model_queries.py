@@ -29,7 +29,7 @@ def _benign(t) -> DataFrame:
     return t.flows.where(F.col("label") == "benign")
 
 
-@query("M1 M2 M6 M7 W5 W8")
+@query("M1 M2 M6 M7")
 def domain_evaluation(t):
     """Text model on early benign flows, rates on late ones and on held-out attacks."""
     return metrics_frame(t.spark, jobs.domain(_benign(t), _pools(t), settings=QUICK)[0])

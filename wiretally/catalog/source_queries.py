@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wiretally.catalog.corpus_queries import SQL_MATCHED
 from wiretally.catalog.registry import query
 from wiretally.catalog.text_queries import LABEL_RULES, SQL_SIG
-from wiretally.operators import dedup
+from wiretally.operators import dedup, labelling
 from wiretally.plans import detector as D
 from wiretally.schema import CAPTURE_SCHEMA, conform
 from wiretally.session import scratch_path
@@ -157,6 +157,40 @@ def _capture_files(t) -> tuple[str, str]:
     return captures, manifests
 
 
+@query("S8", """
+    SELECT campaign_id, app, label, src_ip, start_ts, end_ts, TRUE AS placed FROM v_campaigns WHERE campaign_id NOT LIKE 'c%'""")
+def read_manifests(t):
+    """Campaigns of whole sources, one multi-line JSON file each; every one gets a place from its own file name."""
+    path = scratch_path(t.spark, "manifests")
+    whole = t.campaigns.where("campaign_id NOT LIKE 'c%'").select("campaign_id", "app", "label", "attack_family", "attack_tool", "src_ip", "start_ts", "end_ts")
+    whole.write.option("maxRecordsPerFile", 1).json(path)
+    rows = tables.manifests(t.spark, path)
+    alone = rows.groupBy("ord").agg(F.count("*").alias("_n"))
+    return rows.join(alone, "ord").select("campaign_id", "app", "label", "src_ip", "start_ts", "end_ts", (F.col("_n") == 1).alias("placed"))
+
+
+@query("S9 U2", f"""
+    WITH {SQL_MATCHED}, k AS (SELECT row_id % 97 = 0 AS torn, row_id % 89 = 0 AS undated, row_id FROM v_flows)
+    SELECT CASE WHEN torn THEN 'torn' WHEN undated THEN 'no timestamp' WHEN lab.row_id IS NULL THEN 'unmatched' ELSE lab.label END AS outcome, count(*) AS n,
+           sum(k.row_id)::BIGINT AS ids
+    FROM k LEFT JOIN lab USING (row_id) GROUP BY 1""")
+def read_captures(t):
+    """Two capture files read together and labelled; torn and undated lines are kept aside and counted."""
+    path = scratch_path(t.spark, "capture")
+    rows = t.flows.drop("label", "attack_family", "attack_tool").withColumns({
+        "capture_id": F.col("row_id").cast("string"), "timestamp": F.when(F.col("row_id") % 89 == 0, "never").otherwise(F.col("timestamp"))})
+    line = F.to_json(F.struct(*conform(rows, CAPTURE_SCHEMA).columns))
+    lines_ = conform(rows, CAPTURE_SCHEMA).select(
+        F.when(F.col("capture_id").cast("long") % 97 == 0, F.concat(F.lit('{"capture_id":"'), "capture_id", F.lit('","timest'))).otherwise(line).alias("value"),
+        (F.col("capture_id").cast("long") % 2).alias("part"))
+    for part in (0, 1):
+        lines_.where(F.col("part") == part).select("value").write.text(f"{path}/{part}")
+    good, rejected = tables.capture_lines(t.spark, [f"{path}/0", f"{path}/1"])
+    matched = labelling.match_campaigns(good, t.campaigns).select(F.coalesce("match.label", F.lit("unmatched")).alias("outcome"), F.col("capture_id").cast("long").alias("id"))
+    aside = rejected.select(F.col("reason").alias("outcome"), F.regexp_extract("line", r'"capture_id":"(\d+)"', 1).cast("long").alias("id"))
+    return matched.unionByName(aside).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 @query("S9 J1", f"""
     WITH {SQL_MATCHED} SELECT CAST(row_id AS VARCHAR) AS capture_id, session_id, label, campaign_id FROM lab""")
 def label_capture_stream(t):

@@ -136,6 +136,11 @@ def site_attribution(scored: DataFrame, train_sites: DataFrame, first_seen: Data
             .withColumn("appeared_after_split", F.col("first_seen") >= boundary))
 
 
+def top_sites(per_site: DataFrame, n: int = 15, site: str = "site") -> DataFrame:
+    """The sites with the most alerts (a report of at most ``n`` rows)."""
+    return per_site.orderBy(F.desc("alerts"), site).limit(n)
+
+
 def coverage_summary(per_site: DataFrame) -> DataFrame:
     """Rates on covered and uncovered sites and the share of all alerts from uncovered ones."""
     def total(col: str, covered: bool) -> Column:

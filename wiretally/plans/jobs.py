@@ -60,6 +60,12 @@ def _split(benign: DataFrame, kind: str, sizes: splits.SliceSizes) -> DataFrame:
     return settle(cut, spread=True)
 
 
+def _require_apart(train: DataFrame, held: DataFrame) -> None:
+    """No request of ``held`` occurs in ``train``; only digests are compared."""
+    key = X.signature_key().alias("key")
+    membership.require_disjoint(train.select(key, F.lit("train").alias("side")).unionByName(held.select(key, F.lit("held").alias("side"))), "key", "side")
+
+
 def _role(df: DataFrame, role: str) -> DataFrame:
     return df.where(F.col("role") == role)
 
@@ -134,7 +140,8 @@ def single_source(testbed_benign: DataFrame, testbed_attacks: DataFrame, real_be
     """Real benign of one source in training, another source as the false-positive test."""
     payloads = splits.payload_split(testbed_attacks)
     real = settle(splits.benign_split(real_benign))
-    novel = membership.exclude_seen(dedup.keep_first(test_benign), _role(real, "train"))
+    novel = settle(membership.exclude_seen(dedup.keep_first(test_benign), _role(real, "train")))
+    _require_apart(_role(real, "train"), novel)
     train = membership.concat_classes(
         testbed_benign.select(*REQUEST).unionByName(_role(real, "train").select(*REQUEST)),
         _role(payloads, "fit").select(*REQUEST))
@@ -150,10 +157,19 @@ def single_source(testbed_benign: DataFrame, testbed_attacks: DataFrame, real_be
             "roc_auc": quality_.roc_auc, "pr_auc": quality_.pr_auc, "review": _reviewed(top)}
 
 
+def single_source_directions(testbed_benign: DataFrame, testbed_attacks: DataFrame, sources: dict[str, tuple[DataFrame, DataFrame]],
+                             settings: D.Settings = D.Settings()) -> dict:
+    """``single_source`` for each ordered pair of sources (benign, attacks): benign of one in training, the other one as the test."""
+    return {f"{a}_to_{b}": single_source(testbed_benign, testbed_attacks, sources[a][0], *sources[b], settings)
+            for a in sources for b in sources if a != b}
+
+
 def leave_one_out(requests: DataFrame, folds: Sequence[splits.Fold], settings: D.Settings = D.Settings(),
                   sizes: splits.FoldSizes = splits.FoldSizes()) -> dict:
     """Whole sources held out per fold: alert rate on one, recall on the other."""
     roles = settle(splits.leave_one_source_out(requests, folds, sizes))
+    side = F.when(F.col("role").startswith("heldout"), "heldout").otherwise("training")
+    membership.require_disjoint(roles.select(F.concat_ws("|", "fold", "signature_key").alias("key"), side.alias("side")), "key", "side")
     out = {}
     for fold in folds:
         mine = roles.where(F.col("fold") == fold.name).select("source_id", "row_id", "role")
@@ -332,8 +348,7 @@ def mutation_robustness(model: D.TextModel, threshold: float, testbed: DataFrame
 
 def further_domains(multi_tenant: DataFrame, filing: DataFrame, pools: DataFrame, deployed: D.TextModel,
                     deployed_thresholds: dict[float, float], extra: dict[str, DataFrame] | None = None,
-                    settings: D.Settings = D.Settings(), sizes: splits.SliceSizes = splits.SliceSizes(),
-                    stated_threshold: float = 0.0118) -> dict:
+                    settings: D.Settings = D.Settings(), sizes: splits.SliceSizes = splits.SliceSizes(), *, stated_threshold: float) -> dict:
     """A multi-tenant host (temporal split, hash control, its own rule-labelled attacks) and a
     benign-only filing server (scored by the deployed model, then in its own domain)."""
     benign = multi_tenant.where(F.col("label") == "benign")
@@ -371,7 +386,8 @@ def multi_site(benign: DataFrame, pools: DataFrame, model: D.TextModel, extra: d
     first_seen = sited.groupBy("site").agg(F.min("ts").alias("first_seen"))
     per_site = settle(metrics.site_attribution(
         late, _role(cut, "train"), first_seen, F.timestamp_micros(F.lit(int(boundary)))))
-    stratified = settle(splits.site_stratified_split(sited, sizes=sizes), spread=True)
+    stratified = settle(splits.site_stratified_split(dedup.keep_first(sited), sizes=sizes), spread=True)
+    membership.require_disjoint(stratified.select(X.signature_key().alias("key"), "role"), "key", "role")
     fit = membership.concat_classes(_role(stratified, "train"), _role(pools, "train"))
     again = D.fit_text(fit, settings)
     thresholds = D.text_thresholds(again, _role(stratified, "calib"))
@@ -379,7 +395,7 @@ def multi_site(benign: DataFrame, pools: DataFrame, model: D.TextModel, extra: d
     scored = again.score(_sets({"late_benign": _role(stratified, "test"), "in_distribution": _role(pools, "test"),
                                 "cross_tool": _role(pools, "tool_test"), **(extra or {})}))
     return {"attribution": metrics.coverage_summary(per_site).first().asDict(),
-            "top_sites": [r.asDict() for r in per_site.orderBy(F.desc("alerts"), "site").limit(15).collect()],
+            "top_sites": [r.asDict() for r in metrics.top_sites(per_site).collect()],
             "stratified": {"rates": _rates(scored, {"p_text": thresholds}),
                            "rows_from_trained_sites": covered.agg(metrics.share(F.col("known"))).first()[0]}}
 
@@ -404,6 +420,11 @@ def representation_coverage(train: DataFrame, calib: DataFrame, target: DataFram
     return {"n_target": at_target.count(), "mean_distance": mean, "by_budget": {r.budget: r.asDict() for r in rows}}
 
 
+def representation_pairs(pairs: dict[str, tuple[DataFrame, DataFrame, DataFrame, DataFrame]], settings: D.Settings = D.Settings(), **sizes) -> dict:
+    """``representation_coverage`` of several (train, calib, target, attacks): domains against each other, folds that leave a source out."""
+    return {name: representation_coverage(*frames, settings, **sizes) for name, frames in pairs.items()}
+
+
 # --- family sample ---------------------------------------------------------------------------
 
 def rebuild_family_sample(labels: DataFrame, attacks: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from wiretally.functions import clock, identity, text as X
 from wiretally.operators.dedup import first_per_key, keep_first
 from wiretally.operators.ranking import seeded_sample
 from wiretally.schema import CAPTURE_SCHEMA, MANIFEST_SCHEMA, UNIFIED_SCHEMA, conform, model_input, tag_source
+from wiretally.session import tabled
 from wiretally.sources.lines import number_rows, with_target
 
 # Columns of the honeypot export and how its header columns are called on the wire.
@@ -89,9 +90,23 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
     return raw.withColumn("ord", F.col("_metadata.file_name"))
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Capture lines, blank ones skipped, numbered."""
-    return number_rows(spark.read.schema(CAPTURE_SCHEMA).json(path)).where(F.col("timestamp").isNotNull())
+def capture_lines(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Capture lines and, beside them, the rejected ones: (file, reason, line). A line is rejected if it is no JSON object of the expected
+    types (torn lines) or has no readable timestamp; blank lines are neither. The lines are parsed once and written, so that both
+    tables, and any count of them, come from the same pass."""
+    schema = T.StructType([*CAPTURE_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    torn, undated = F.col("_corrupt_record").isNotNull(), clock.parse_iso("timestamp").isNull()
+    reason = F.when(torn, "torn").when(undated, "no timestamp")
+    line = F.coalesce("_corrupt_record", F.to_json(F.struct(*CAPTURE_SCHEMA.names)))
+    read = tabled(number_rows(raw).select("*", reason.alias("reason"), F.when(reason.isNotNull(), line).alias("line")), "captures")
+    good = read.where("reason IS NULL").drop("_corrupt_record", "reason", "line")
+    return good, read.where("reason IS NOT NULL").select("file", "reason", "line")
+
+
+def captures(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The readable capture lines, numbered; see ``capture_lines`` for those that are not."""
+    return capture_lines(spark, path)[0]
 
 
 def unified(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
