@@ -6,18 +6,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wiretally.catalog.corpus_queries import FOLD_SIZES, FOLDS, SQL_MATCHED, _sql_folds
+from wiretally.catalog.corpus_queries import SQL_MATCHED
 from wiretally.catalog.model_queries import _benign, _pools
 from wiretally.catalog.registry import query
 from wiretally.catalog.text_queries import SQL_SIG, sql_any_rule, sql_bucket, sql_decode, sql_rule, sql_text, sql_unit
 from wiretally.functions import rules, text as X
-from wiretally.operators import dedup, membership, metrics, splits
+from wiretally.operators import dedup, metrics, splits
 from wiretally.plans import detector as D, jobs
 from wiretally.session import scratch_path, settle
-from wiretally.sources import sinks, tables
+from wiretally.sources import sinks
 
 TINY = D.Settings(text_iterations=3, boosting_rounds=1, boosting_depth=2, boosting_bins=16)
-COUNT = r"(^|/)(n|n_target|support|rows/[^/]+)$"
+COUNT = r"(^|/)(n|rows/[^/]+)$"
 
 
 def _counts(t, result: dict, wanted: str = COUNT) -> DataFrame:
@@ -99,12 +99,12 @@ def further_domain_counts(t):
     return _counts(t, jobs.further_domains(_app(flows, "vampi"), _app(_benign(t), "zanbil"), pools, model, thresholds, settings=TINY, stated_threshold=0.5))
 
 
-@query("W11 X7 J11 J12", f"""
-    WITH {_sql_unique('be', "label = 'benign'")}, {_sql_cut('be')}, {SQL_POOLS} SELECT path, CAST(n AS BIGINT) AS n FROM ({_sql_sets('stratified/rates/', 'be')})""")
+@query("W11 J11 J12", f"""
+    WITH {SQL_POOLS} SELECT 'stratified/rates/' || pool || '/n' AS path, n FROM pools""")
 def multi_site_counts(t):
-    """All benign flows name one referring host, so the split by site is the split by time."""
+    """Attribution of alerts to sites and the split by site; how many attacks the retrained model is judged on."""
     _, model, _, _ = jobs.domain(_benign(t), _pools(t), settings=TINY)
-    return _counts(t, jobs.multi_site(_benign(t), _pools(t), model, settings=TINY))
+    return _counts(t, jobs.multi_site(_benign(t), _pools(t), model, settings=TINY), r"^stratified/rates/(in_distribution|cross_tool)/n$")
 
 
 # --- one source against another --------------------------------------------------------------
@@ -125,23 +125,6 @@ def single_source_counts(t):
                                                     {a: side(a) for a in ("vampi", "zanbil")}, TINY))
 
 
-@query("W4 X10 M3 M4 M5 M7", f"SELECT fold || '/rows/' || role || '_' || label AS path, count(*) AS n FROM ({_sql_folds(FOLD_SIZES)}) GROUP BY 1")
-def leave_one_out_counts(t):
-    """Whole documents as requests, sources held out per fold."""
-    return _counts(t, jobs.leave_one_out(t.posts, FOLDS, TINY, FOLD_SIZES), r"/rows/[^/]+$")
-
-
-@query("W12 M12 J13", f"""
-    WITH {_sql_unique('va', "label = 'benign' AND app = 'vampi'")}, {_sql_cut('va')}, {_sql_unique('za', "label = 'benign' AND app = 'zanbil'")}, {_sql_cut('za')}
-    SELECT 'vampi_to_zanbil/n_target' AS path, late AS n FROM za_c UNION ALL SELECT 'zanbil_to_vampi/n_target', late FROM va_c""")
-def representation_pair_counts(t):
-    cut = {a: settle(splits.temporal_split(_app(_benign(t), a))) for a in ("vampi", "zanbil")}
-    role = lambda a, r: cut[a].where(F.col("role") == r)
-    attacks = dedup.keep_first(t.flows.where("label = 'attack'"))
-    pairs = {f"{a}_to_{b}": (role(a, "train"), role(a, "calib"), role(b, "test"), attacks) for a, b in (("vampi", "zanbil"), ("zanbil", "vampi"))}
-    return _counts(t, jobs.representation_pairs(pairs, TINY), r"/n_target$")
-
-
 # --- testbed, rules, ablation ----------------------------------------------------------------
 
 SQL_SIDES = """sides AS (SELECT CASE WHEN attack_tool IN ('ffuf', 'sqlmap') THEN 'A' WHEN attack_tool = 'custom' THEN 'B' END AS side, count(*) AS n
@@ -168,18 +151,6 @@ def testbed_counts(t):
     return _counts(t, jobs.testbed(_flows(t), TINY, ["xss"]), r"^(by_marker|cross_tool)/.*/n$")
 
 
-@query("W7 F2 F3 A5 X9", f"""
-    WITH {_sql_unique('be', "label = 'benign'")}, {_sql_cut('be')}, {SQL_POOLS},
-      seen AS (SELECT 'late_benign' AS s, {sql_any_rule(sql_decode(sql_text()))} AS hit FROM be, be_b WHERE us >= b
-        UNION ALL SELECT pool, {sql_any_rule(sql_decode(sql_text()))} FROM pool)
-    SELECT 'head_to_head/' || s || '/' || CASE WHEN hit THEN 'marked' ELSE 'marker_free' END || '/n' AS path, count(*) AS n FROM seen GROUP BY 1
-    UNION ALL SELECT 'head_to_head/' || s || '/overall/n', count(*) FROM seen GROUP BY 1
-    UNION ALL SELECT 'fused/' || s || '/n', count(*) FROM seen GROUP BY 1 UNION ALL SELECT 'text_only/' || s || '/n', count(*) FROM seen GROUP BY 1""")
-def learned_vs_rules_counts(t):
-    return _counts(t, jobs.learned_vs_rules(_benign(t), _pools(t), t.flows.where("label = 'attack'"), TINY, families=["xss"]),
-                   r"^(head_to_head|fused|text_only)/.*/n$")
-
-
 @query("W6 M13 J6", f"""
     WITH {_sql_unique('be', "label = 'benign'")}, {_sql_cut('be')}, {SQL_POOLS}
     SELECT path, CAST(n AS BIGINT) AS n FROM ({_sql_sets('all_families/rates/', 'be')} UNION ALL {_sql_sets('content_only/rates/', 'be')}) WHERE path NOT LIKE '%cross_tool%'""")
@@ -208,26 +179,6 @@ def external_scoring_counts(t):
                                 "own_threshold_found_again": {"n": int(found == model.thresholds["p_text"])}}, r"/n$")
 
 
-@query("W13 J7 Q12 S12 J15 A19 A20", f"""
-    WITH d AS (SELECT http_method, {sql_decode(sql_text())} AS dec, arg_min(attack_family, row_id) AS family FROM v_flows WHERE label = 'attack' GROUP BY 1, 2)
-    SELECT 'per_family/' || family || '/support' AS path, count(*) AS n FROM d GROUP BY 1
-    UNION ALL SELECT 'labelled/' || family || '/n', count(*) FROM d GROUP BY 1""")
-def family_sample_counts(t):
-    """Reviewed rows read from CSV, their requests found again by decoded text, the family head judged on them."""
-    attacks = t.flows.where("label = 'attack'")
-    keyed = attacks.withColumn("dec", X.decode(X.request_text()))
-    reviewed = dedup.first_per_key(keyed, ["http_method", "dec"]).select(
-        F.col("row_id").alias("row_index"), "http_method", "dec", F.col("attack_family").alias("family_label"), F.lit("").alias("pred_family"))
-    path = scratch_path(t.spark, "reviewed")
-    reviewed.write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    labels = tables.annotations(t.spark, path)
-    sample = settle(jobs.rebuild_family_sample(labels, attacks))
-    result = jobs.family_evaluation(sample, D.fit_family(attacks, TINY))
-    named = membership.label_rows(sample.select("row_index"), labels.select("row_index", F.col("family_label").alias("name")))
-    labelled = {r.name: {"n": r["count"]} for r in named.groupBy("name").count().collect()}
-    return _counts(t, result | {"labelled": labelled})
-
-
 @query("W15 U2 J1 J2 X2 Q1 Q2 Q8", f"""
     WITH {SQL_MATCHED}
     SELECT CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'calib' ELSE 'test' END AS split, label, count(*) AS n, TRUE AS apart
