@@ -150,3 +150,21 @@ def test_rewrites_match_plain_python(spark):
     assert column(spark, values, mutations.double_url_encode(F.col("s"))) == [quote(quote(v, safe=""), safe="") for v in values]
     lowered = column(spark, values, F.lower(mutations.random_case(F.col("s"), seed)))
     assert lowered == [v.lower() for v in values]
+
+
+def test_vocabulary_is_the_same_for_rows_in_any_order(spark):
+    from wiretally.plans.vectors import TfIdf, term_statistics
+    texts = ["abcabc", "bcab", "", None, "abc  \tx", "zzz", "\U0001F600bca\U0001F600bca", "abcabc"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string")
+    grams = [x for x in rows.select(X.ngrams("s").alias("g")).toPandas()["g"]]
+    expected = {}
+    for row in grams:
+        for term in set(row):
+            documents, occurrences = expected.get(term, (0, 0))
+            expected[term] = (documents + 1, occurrences + list(row).count(term))
+    got = {r.term: (r.documents, r.occurrences) for r in term_statistics(rows, "s").collect()}
+    assert got == {t: c for t, c in expected.items() if c[0] >= 2}
+    models = [TfIdf("s", "v", max_terms=5).fit(d) for d in (rows, rows.orderBy(F.desc("k")).repartition(3))]
+    best = sorted(got, key=lambda t: (-got[t][1], t))[:5]
+    assert [m.counts.vocabulary for m in models] == [best, best]
+    assert TfIdf("s", "v").fit(rows.where("k = 5")) is None

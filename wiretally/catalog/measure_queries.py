@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wiretally.catalog.registry import query
-from wiretally.catalog.text_queries import (sql_any_rule, sql_bucket, sql_decode, sql_hits, sql_rule, sql_text)
+from wiretally.catalog.text_queries import (SQL_GRAMS, page_texts, sql_any_rule, sql_bucket, sql_decode, sql_hits, sql_rule, sql_text)
 from wiretally.functions import clock, hashing as H, rules, text as X
 from wiretally.operators import metrics, mutations, neighbours, quality, quantiles, ranking
 
@@ -264,10 +264,8 @@ def representation_coverage(t):
     return out.withColumns({c: r6(c) for c in ("eps", "alert_rate", "alert_rate_inside")} | {"radius": F.round("radius", 5)})
 
 
-@query("J13 M1", """
-    WITH u AS (SELECT row_id, url_path_raw || ' ' || url_query AS s FROM v_pages),
-         g AS (SELECT row_id, unnest(flatten(list_transform([3, 4, 5], lambda n:
-                 list_transform(range(1, length(s) - n + 2), lambda i: substr(s, i, n))))) AS term FROM u),
+@query("J13 M1", f"""
+    WITH {SQL_GRAMS},
          tf AS (SELECT row_id, term, count(*) AS tf FROM g GROUP BY ALL),
          tr AS (SELECT * FROM tf WHERE row_id % 2 = 0),
          df AS (SELECT term, ln((1.0 + (SELECT count(*) FROM u WHERE row_id % 2 = 0)) / (1 + count(*))) + 1 AS idf FROM tr GROUP BY term HAVING count(*) >= 2),
@@ -278,9 +276,9 @@ def representation_coverage(t):
     SELECT u.row_id AS query_id, round(coalesce(max(dot), 0), 5) AS similarity
     FROM u LEFT JOIN p ON u.row_id = p.query_id WHERE u.row_id % 2 = 1 GROUP BY 1""")
 def nearest_training_request(t):
-    """The same in the detector's own n-gram space: page addresses, odd rows against even rows."""
+    """The same in the detector's own n-gram space: whole pages, odd rows against even rows."""
     from wiretally.plans.vectors import TfIdf
-    texts = t.requests.select("row_id", F.concat_ws(" ", "url_path_raw", "url_query").alias("s"))
+    texts = page_texts(t)
     train, target = texts.where(F.col("row_id") % 2 == 0), texts.where(F.col("row_id") % 2 == 1)
     model = TfIdf("s", "v").fit(train)
     as_terms = lambda df: model.weights(model.transform(df), "v").select("row_id", "terms", "weights")

@@ -211,43 +211,67 @@ def body_entropy(t):
     return t.posts.select("row_id", F.round(shape.entropy(F.col("request_body")), 6).alias("entropy"))
 
 
-@query("P20 P21 P22 P26", f"""
-    WITH d AS (SELECT row_id, {sql_decode('url_path_raw')} AS p, {sql_decode('url_query')} AS q,
-                      {sql_decode(f"trim({SQL_UA} || ' ' || {SQL_REF})")} AS h,
-                      trim(url_path_raw || ' ' || url_query || ' ') AS raw FROM v_flows)
-    SELECT row_id, CAST(length(p) AS DOUBLE) AS path_len, CAST(length(q) AS DOUBLE) AS query_len, 0.0::DOUBLE AS body_len,
-      CAST(length({sql_decode('raw')}) AS DOUBLE) AS total_len,
-      CAST(length(q) - length(replace(q, '=', '')) AS DOUBLE) AS query_param_count,
-      round(len(regexp_extract_all(raw, '%[0-9A-Fa-f]{{2}}')) / length(raw), 6) AS pct_encoded_ratio,
-      round(list_entropy(string_split(q, '')), 6) AS query_entropy,
-      round(list_entropy(string_split(h, '')), 6) AS hdr_entropy,
-      round(len(regexp_extract_all(q, '[''"<>;{{}}()|&`]')) / length(q), 6) AS query_punct_density
-    FROM d""")
+SQL_BLANK = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
+
+
+def _sql_shape() -> str:
+    def stripped(s: str) -> str:
+        return f"regexp_replace({s}, '^{SQL_BLANK}+|{SQL_BLANK}+$', '', 'g')"
+
+    def share(s: str, pattern: str) -> str:
+        return f"CASE WHEN length({s}) > 0 THEN round(len(regexp_extract_all({s}, '{pattern}')) / length({s}), 6) ELSE 0.0::DOUBLE END"
+
+    patterns = {"nonalnum_ratio": r"[^\p{L}\p{N}]", "digit_ratio": r"\p{Nd}", "upper_ratio": r"\p{Lu}", "space_ratio": SQL_BLANK,
+                "punct_density": "[''\"<>;{}()|&`]"}
+    columns = []
+    for name, s in zip(shape.BLOCKS, "pqbh"):
+        columns += [f"CAST(length({s}) AS DOUBLE) AS {name}_len", f"round(list_entropy(string_split({s}, '')), 6) AS {name}_entropy",
+                    *[f"{share(s, pattern)} AS {name}_{stat}" for stat, pattern in patterns.items()]]
+    sources = " UNION ALL ".join(f"SELECT {key} AS row_id, url_path_raw, url_query, request_body, headers FROM {view}"
+                                 for key, view in (("row_id", "v_flows"), ("-1 - row_id", "v_pages")))
+    passes = ", ".join(f"{sql_decode('a0', n)} AS a{n}, {sql_decode('h0', n)} AS h{n}" for n in (1, 2, 3))
+    changed = lambda x: " + ".join(f"CAST({x}{n + 1} <> {x}{n} AS INT)" for n in range(3))
+    return f"""
+    WITH r AS ({sources}),
+      t AS (SELECT *, {stripped(sql_text())} AS a0, {stripped(f"{SQL_UA} || ' ' || {SQL_REF}")} AS h0 FROM r),
+      d AS (SELECT *, {passes}, {sql_decode('url_path_raw')} AS p, {sql_decode('url_query')} AS q, {sql_decode('request_body')} AS b FROM t),
+      x AS (SELECT *, h3 AS h FROM d)
+    SELECT row_id, CAST(length(a3) AS DOUBLE) AS total_len, CAST(length(q) - length(replace(q, '=', '')) AS DOUBLE) AS query_param_count,
+      CAST(len(list_filter(string_split(p, '/'), lambda x: x <> '')) AS DOUBLE) AS path_depth, CAST(len(string_split(p, '/')) AS DOUBLE) AS segment_count,
+      CAST(greatest({changed('a')}, {changed('h')}) AS DOUBLE) AS encoding_depth, {share('a0', '%[0-9A-Fa-f]{2}')} AS pct_encoded_ratio,
+      {', '.join(columns)} FROM x"""
+
+
+@query("P20 P21 P22 P26", _sql_shape())
 def shape_features(t):
-    """The numeric feature block of every flow (a selection of its 34 columns is compared)."""
-    f = shape.with_shape_features(t.flows)
-    rounded = ["pct_encoded_ratio", "query_entropy", "hdr_entropy", "query_punct_density"]
-    return f.select("row_id", "path_len", "query_len", "body_len", "total_len", "query_param_count",
-                    *[F.round(c, 6).alias(c) for c in rounded])
+    """All 34 columns of the numeric feature block, of every flow and of every page with its whole body."""
+    fields = ["row_id", "url_path_raw", "url_query", "request_body", "headers"]
+    both = t.flows.select(fields).unionByName(t.requests.withColumn("row_id", -1 - F.col("row_id")).select(fields))
+    return shape.with_shape_features(both).select("row_id", *[F.round(c, 6).alias(c) for c in shape.FEATURE_NAMES])
 
 
-@query("P27 A28", """
-    WITH u AS (SELECT row_id, url_path_raw || ' ' || url_query AS s FROM v_pages),
+#: Decoded target and whole body of every page, and the n-grams of it.
+SQL_GRAMS = f"""u AS (SELECT row_id, regexp_replace({sql_decode(sql_text())}, '{SQL_BLANK}{{2,}}', ' ', 'g') AS s FROM v_pages),
          g AS (SELECT row_id, unnest(flatten(list_transform([3, 4, 5], lambda n:
-                 list_transform(range(1, length(s) - n + 2), lambda i: substr(s, i, n))))) AS term FROM u)
+                 list_transform(range(1, length(s) - n + 2), lambda i: substr(s, i, n))))) AS term FROM u)"""
+
+
+def page_texts(t):
+    return t.requests.select("row_id", X.decode(X.request_text()).alias("s"))
+
+
+@query("P27 A28", f"""
+    WITH {SQL_GRAMS}
     SELECT term, count(DISTINCT row_id) AS documents, count(*) AS occurrences
     FROM g GROUP BY term HAVING count(DISTINCT row_id) >= 2""")
 def ngram_terms(t):
-    """Document and collection frequency of the n-grams of every page address."""
+    """Document and collection frequency of the n-grams of every page: address and whole body."""
     from wiretally.plans.vectors import term_statistics
-    texts = t.requests.select("row_id", F.concat_ws(" ", "url_path_raw", "url_query").alias("s"))
-    return term_statistics(texts, "row_id", "s", min_df=2)
+    return term_statistics(page_texts(t), "s", min_df=2)
 
 
-@query("M1", """
-    WITH u AS (SELECT row_id, url_path_raw || ' ' || url_query AS s FROM v_pages),
-         g AS (SELECT row_id, unnest(flatten(list_transform([3, 4, 5], lambda n:
-                 list_transform(range(1, length(s) - n + 2), lambda i: substr(s, i, n))))) AS term FROM u),
+@query("M1", f"""
+    WITH {SQL_GRAMS},
          tf AS (SELECT row_id, term, count(*) AS tf FROM g GROUP BY ALL),
          df AS (SELECT term, ln((1.0 + (SELECT count(*) FROM u)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term HAVING count(*) >= 2),
          w AS (SELECT row_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN df USING (term)),
@@ -257,7 +281,7 @@ def ngram_terms(t):
 def tfidf_weights(t):
     """Sublinear TF-IDF with smoothed IDF and unit rows, summarised per request."""
     from wiretally.plans.vectors import TfIdf
-    texts = t.requests.select("row_id", F.concat_ws(" ", "url_path_raw", "url_query").alias("s"))
+    texts = page_texts(t)
     model = TfIdf("s", "v").fit(texts)
     w = model.weights(model.transform(texts), "v")
     return w.where(F.size("weights") > 0).select(

@@ -130,16 +130,10 @@ def site_key(path: Column | str = "url_path_raw") -> Column:
 
 
 def ngrams(c: Column | str, sizes: Sequence[int] = (3, 4, 5)) -> Column:
-    """All character n-grams, case kept. Runs of two or more blanks count as one blank. The text
-    is cut into characters once, so the cost is linear in its length."""
-    chars = F.split(F.regexp_replace(_text(c), r"(?U)[\s\x1c-\x1f]{2,}", " "), "")
-
-    def of_size(n: int) -> Column:
-        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
-
-    return F.concat(*[of_size(n) for n in sizes])
+    """All character n-grams, case kept. Runs of two or more blanks count as one blank. A lookahead that captures n characters
+    matches at every place, so one pass of the text gives all of a size; places inside a surrogate pair are none."""
+    one_blank = F.regexp_replace(_text(c), r"(?U)[\s\x1c-\x1f]{2,}", " ")
+    return F.concat(*[F.regexp_extract_all(one_blank, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))" % n), F.lit(1)) for n in sizes])
 
 
 def family_text() -> Column:

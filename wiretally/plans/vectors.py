@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import IllegalArgumentException
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -15,15 +15,13 @@ from wiretally.functions import text as X
 _BOX = T.StructType([T.StructField("v", VectorUDT())])
 
 
-def term_statistics(df: DataFrame, row_id: str, text: str, min_df: int = 2) -> DataFrame:
-    """Document and collection frequency per n-gram. Terms are counted inside each row first, so
-    one row sends each of its terms once and the partial aggregation merges rows map-side."""
-    terms = df.select(X.ngrams(text).alias("t"))
-    per_row = terms.select("t", F.explode(F.array_distinct("t")).alias("term"))
-    # documents: one per row and distinct term; occurrences: all positions
-    documents = per_row.groupBy("term").agg(F.count("*").alias("documents"))
-    occurrences = terms.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("occurrences"))
-    return documents.where(F.col("documents") >= min_df).join(occurrences, "term")
+def term_statistics(df: DataFrame, text: str, min_df: int = 2) -> DataFrame:
+    """(term, documents, occurrences) of the n-grams in ``min_df`` rows or more. A row's n-grams are built once and sorted, so
+    that the first of equal ones stands for the row; one aggregation, merged map-side, gives both counts."""
+    grams = df.select(F.sort_array(X.ngrams(text)).alias("t"))
+    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).alias("opens")))
+    return grams.select(F.explode(marked).alias("g")).groupBy("g.term").agg(
+        F.count_if("g.opens").alias("documents"), F.count("*").alias("occurrences")).where(F.col("documents") >= min_df)
 
 
 def map_values(vector: str, fn) -> Column:
@@ -56,9 +54,11 @@ class TfIdfModel:
 
     @staticmethod
     def weights(df: DataFrame, vector: str) -> DataFrame:
-        """The vector as arrays ``terms`` (index) and ``weights``."""
+        """The vector as arrays ``terms`` (index) and ``weights``. They leave a generator of one row, below which no filter on
+        them is pushed: pushed down it would build every vector a second time."""
         v = F.unwrap_udt(vector)
-        return df.withColumns({"terms": v["indices"], "weights": v["values"]})
+        both = F.array(F.struct(v["indices"].alias("terms"), v["values"].alias("weights")))
+        return df.select("*", F.explode(both).alias("_both")).select("*", "_both.terms", "_both.weights").drop("_both")
 
     def save(self, path: str) -> None:
         PipelineModel([self.counts, *self.weigh.stages]).write().overwrite().save(path)
@@ -72,26 +72,23 @@ class TfIdfModel:
 
 @dataclass
 class TfIdf:
-    """3-5 grams, terms in two or more rows, the ``max_terms`` most frequent ones, sublinear
-    counts, smoothed IDF plus one, unit length."""
+    """3-5 grams, terms in two or more rows, the ``max_terms`` most frequent ones (ties by the term), sublinear counts,
+    smoothed IDF plus one, unit length. Equal rows give an equal vocabulary in whatever order they come."""
     text: str
     output: str
     max_terms: int = 200_000
     min_df: int = 2
 
     def fit(self, df: DataFrame) -> TfIdfModel | None:
-        """None when no term is frequent enough."""
-        grams, tf = f"_grams_{self.text}", f"_{self.output}_counts"
-        terms = df.select(X.ngrams(self.text).alias(grams))
-        try:
-            counts = CountVectorizer(inputCol=grams, outputCol=tf, vocabSize=self.max_terms, minDF=self.min_df).fit(terms)
-        except IllegalArgumentException as none:
-            if "vocabulary size" not in str(none):
-                raise
+        """None when no term is frequent enough. Counts and IDF come from one aggregation; the driver sees the vocabulary,
+        ``max_terms`` rows at most."""
+        top = term_statistics(df, self.text, self.min_df).orderBy(F.desc("occurrences"), "term").limit(self.max_terms).toArrow()
+        if not top.num_rows:
             return None
-        idf = IDF(inputCol=tf, outputCol="_idf").fit(counts.transform(terms))
-        scale = Vectors.dense([x + 1.0 for x in idf.idf.toArray()])
+        counts = CountVectorizerModel.from_vocabulary(
+            top.column("term").to_pylist(), inputCol=f"_grams_{self.text}", outputCol=f"_{self.output}_counts")
+        idf = np.log((1.0 + df.count()) / (1.0 + top.column("documents").to_numpy())) + 1.0
         weigh = PipelineModel([
-            ElementwiseProduct(inputCol=f"_{self.output}_tf", outputCol=f"_{self.output}_w", scalingVec=scale),
+            ElementwiseProduct(inputCol=f"_{self.output}_tf", outputCol=f"_{self.output}_w", scalingVec=Vectors.dense(idf)),
             Normalizer(inputCol=f"_{self.output}_w", outputCol=self.output, p=2.0)])
         return TfIdfModel(self.text, self.output, counts, weigh)
