@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -85,9 +85,13 @@ class TfIdf:
         top = term_statistics(df, self.text, self.min_df).orderBy(F.desc("occurrences"), "term").limit(self.max_terms).toArrow()
         if not top.num_rows:
             return None
-        counts = CountVectorizerModel.from_vocabulary(
-            top.column("term").to_pylist(), inputCol=f"_grams_{self.text}", outputCol=f"_{self.output}_counts")
-        idf = np.log((1.0 + df.count()) / (1.0 + top.column("documents").to_numpy())) + 1.0
+        # Fitted on the chosen terms alone: a vocabulary handed over from Python goes to the JVM string by string.
+        chosen = df.sparkSession.createDataFrame(top.select(["term"])).coalesce(1)
+        grams = f"_grams_{self.text}"
+        counts = CountVectorizer(inputCol=grams, outputCol=f"_{self.output}_counts", vocabSize=self.max_terms, minDF=1).fit(
+            chosen.select(F.array("term").alias(grams)))
+        documents = dict(zip(top.column("term").to_pylist(), top.column("documents").to_pylist(), strict=True))
+        idf = np.log((1.0 + df.count()) / (1.0 + np.array([documents[t] for t in counts.vocabulary]))) + 1.0
         weigh = PipelineModel([
             ElementwiseProduct(inputCol=f"_{self.output}_tf", outputCol=f"_{self.output}_w", scalingVec=Vectors.dense(idf)),
             Normalizer(inputCol=f"_{self.output}_w", outputCol=self.output, p=2.0)])
