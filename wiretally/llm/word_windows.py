@@ -288,6 +288,35 @@ def _repeat_rows(chunks: DataFrame, named: DataFrame, size: int, blocks: int, pa
     return _chunk_by_chunk(chunks, named, partitions).mapInArrow(run, "high long, low int, chunk long, doc long, at int")
 
 
+def _covered_words(chunk: Chunk, doc: np.ndarray, told: np.ndarray | None, size: int) -> np.ndarray:
+    """Which words of a chunk go: those of windows that come earlier in it, or in other chunks by the numbers it was told. Arrays
+    of the length of the chunk are given up as soon as they have been used."""
+    order, new = chunk.order()
+    goes = np.zeros(len(order), bool)
+    if len(order):
+        group, document = np.cumsum(new, dtype=np.int32) - 1, chunk.document[order]
+        # In the chunk: a lesser document has it, or an earlier place in the same one.
+        hit = np.append(False, document[1:] == document[:-1]) & ~new
+        of = doc[document]
+        del document
+        hit |= of > of[new][group]
+        del of
+        if told is not None:
+            place = np.empty(len(order), np.int32)
+            place[order] = group
+            elsewhere = np.zeros(int(group[-1]) + 1, bool)
+            elsewhere[place[told]] = True
+            del place
+            hit |= elsewhere[group]
+        goes[order] = hit
+        del group, hit
+    del order, new
+    starts, total = chunk.place[goes], int(chunk.begins[-1])
+    edge = np.bincount(starts, minlength=total + 1)
+    edge -= np.bincount(starts + size, minlength=total + 1)
+    return np.cumsum(edge)[:-1] > 0
+
+
 def _cut(chunks: DataFrame, covered: DataFrame, size: int, partitions: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in groups(rows, "chunk"):
@@ -296,33 +325,19 @@ def _cut(chunks: DataFrame, covered: DataFrame, size: int, partitions: int) -> D
                 continue
             docs, texts = _texts(own)
             chunk, doc = Chunk(texts, size), _numbers(docs)
-            order, new = chunk.order()
-            goes = np.zeros(len(order), bool)
-            if len(order):
-                group, of = np.cumsum(new) - 1, doc[chunk.document[order]]
-                # In the chunk: a lesser document has it, or an earlier place in the same one.
-                again = np.append(False, chunk.document[order][1:] == chunk.document[order][:-1]) & ~new
-                hit = (of > of[np.flatnonzero(new)][group]) | again
-                if told:
-                    place = np.empty(len(order), np.int64)
-                    place[order] = group
-                    elsewhere = np.zeros(int(group[-1]) + 1, bool)
-                    elsewhere[place[np.concatenate([p.column("at").flatten().to_numpy() for p in told])]] = True
-                    hit |= elsewhere[group]
-                goes[order] = hit
-            total = int(chunk.begins[-1])
-            edge = np.bincount(chunk.place[goes], minlength=total + 1) - np.bincount(chunk.place[goes] + size, minlength=total + 1)
-            removed = np.cumsum(edge)[:-1] > 0
-            n, gone, kept = np.diff(chunk.begins), [], []
-            for text, a, b in zip(texts, chunk.begins[:-1].tolist(), chunk.begins[1:].tolist(), strict=True):
-                words, out = tokens(text), removed[a:b]
-                gone.append(int(out.sum()))
-                kept.append(b" ".join(words if not gone[-1] else [words[k] for k in np.flatnonzero(~out).tolist()]))
+            told = np.concatenate([p.column("at").flatten().to_numpy() for p in told]) if told else None
+            removed, begins = _covered_words(chunk, doc, told, size), chunk.begins
+            del chunk  # its hashes are not needed for the texts
             for k in range(0, len(docs), 1000):
                 part = slice(k, k + 1000)
+                n, gone, kept = np.diff(begins[k:k + 1001]), [], []
+                for text, a, b in zip(texts[part], begins[k:k + 1000].tolist(), begins[k + 1:k + 1001].tolist(), strict=False):
+                    words, out = tokens(text), removed[a:b]
+                    gone.append(int(out.sum()))
+                    kept.append(b" ".join(words if not gone[-1] else [words[k] for k in np.flatnonzero(~out).tolist()]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[part], pa.int64()), pa.array([x.decode() for x in kept[part]], pa.string()), pa.array(n[part]),
-                     pa.array(gone[part], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept[part]], pa.string())],
+                    [pa.array(docs[part], pa.int64()), pa.array([x.decode() for x in kept], pa.string()), pa.array(n),
+                     pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())],
                     ["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
 
     return _chunk_by_chunk(chunks, covered, partitions).mapInArrow(
