@@ -31,6 +31,8 @@ CHUNK = 8 << 20
 BLOCK = 2 << 20
 #: Bytes of text compressed together.
 PIECE = 64 << 10
+#: Bytes of text whose words are hashed at a time; what a worker holds besides a chunk is some dozen times as much.
+HASHED = 256 << 10
 CELL_BITS = 26
 ROWS = 3
 LAST = (1 << 63) - 1
@@ -114,7 +116,7 @@ class Chunk:
         for k, x in enumerate(texts):
             held.append(x)
             bulk += len(x)
-            if bulk >= 1 << 20 or k == len(texts) - 1:
+            if bulk >= HASHED or k == len(texts) - 1:
                 parts.append(word_codes(held))
                 held, bulk = [], 0
         high, low, lengths = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, U64), np.empty(0, U64), np.empty(0, np.int64))
