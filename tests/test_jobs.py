@@ -8,7 +8,7 @@ from wiretally.operators import dedup, membership, splits
 from wiretally.plans import detector as D, jobs
 from wiretally.sources.sinks import metrics_frame
 
-QUICK = D.Settings(text_iterations=3, boosting_rounds=1, boosting_depth=2, boosting_bins=16)
+QUICK = D.Settings(text_iterations=3, boosting_rounds=1, boosting_leaves=4, boosting_bins=16)
 SIZES = splits.SliceSizes(200, 60, 150)
 
 

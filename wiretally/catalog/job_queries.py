@@ -16,7 +16,7 @@ from wiretally.plans import detector as D, jobs
 from wiretally.session import scratch_path, settle
 from wiretally.sources import sinks
 
-TINY = D.Settings(text_iterations=3, boosting_rounds=1, boosting_depth=2, boosting_bins=16)
+TINY = D.Settings(text_iterations=3, boosting_rounds=1, boosting_leaves=4, boosting_bins=16)
 COUNT = r"(^|/)(n|rows/[^/]+)$"
 
 

@@ -1,17 +1,18 @@
-"""Model jobs over the given tables. Iterative fits have no SQL twin; their parts do."""
+"""Model jobs over the given tables. Iterative fits have no SQL twin; their parts, and what holds at their end, do."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from wiretally.catalog.registry import query
-from wiretally.functions import text as X
+from wiretally.catalog.text_queries import SQL_SIG, sql_shape, sql_unit
+from wiretally.functions import shape, text as X
 from wiretally.operators import dedup, membership, metrics, splits
-from wiretally.plans import detector as D, jobs
+from wiretally.plans import boosting, detector as D, jobs
 from wiretally.session import settle
 from wiretally.sources.sinks import metrics_frame
 
-QUICK = D.Settings(text_iterations=15, boosting_rounds=3, boosting_depth=3, boosting_bins=32)
+QUICK = D.Settings(text_iterations=15, boosting_rounds=3, boosting_leaves=8, boosting_bins=32)
 
 
 def _pools(t) -> DataFrame:
@@ -49,6 +50,64 @@ def detector_scores(t):
     return out
 
 
+GROWTH = boosting.Growth()
+
+SQL_FIRST_SPLITS = f"""
+    WITH numbers AS ({sql_shape()}),
+      n AS (SELECT numbers.*, CAST(label = 'attack' AS INT) AS y FROM numbers JOIN v_flows USING (row_id)),
+      v AS (SELECT y, unnest([{', '.join(f"'{c}'" for c in shape.FEATURE_NAMES)}]) AS feature, unnest([{', '.join(shape.FEATURE_NAMES)}]) AS v FROM n),
+      d AS (SELECT *, sum(c) OVER (PARTITION BY feature ORDER BY v) AS upto, lead(v) OVER (PARTITION BY feature ORDER BY v) AS next,
+          count(*) OVER (PARTITION BY feature) AS many, sum(c) OVER (PARTITION BY feature) AS n, sum(pos) OVER (PARTITION BY feature ORDER BY v) AS pos_upto
+        FROM (SELECT feature, v, count(*) AS c, sum(y) AS pos FROM v GROUP BY 1, 2)),
+      ranks AS (SELECT CAST(k AS DOUBLE) / {GROWTH.bins} AS q FROM range(1, {GROWTH.bins}) t(k)),
+      cuts AS (SELECT feature, v, v / 2 + next / 2 AS cut FROM d WHERE many <= {GROWTH.bins} AND next IS NOT NULL
+        UNION SELECT feature, min(v), min(v) FROM d, ranks WHERE many > {GROWTH.bins} AND upto >= ceil(q * n) GROUP BY feature, q),
+      s AS (SELECT feature, cut, upto AS l, pos_upto AS pl, n, (SELECT sum(y) FROM n) AS pos FROM cuts JOIN d USING (feature, v)),
+      g AS (SELECT *, pos / n AS p, l * (pos / n) - pl AS gl, (n - l) * (pos / n) - (pos - pl) AS gr, l * (pos / n) * (1 - pos / n) AS hl, (n - l) * (pos / n) * (1 - pos / n) AS hr FROM s),
+      w AS (SELECT *, gl * gl / (hl + {GROWTH.l2}) + gr * gr / (hr + {GROWTH.l2}) - (gl + gr) * (gl + gr) / (hl + hr + {GROWTH.l2}) AS gain FROM g
+        WHERE least(l, n - l) >= {GROWTH.least_rows} AND least(hl, hr) >= {boosting.LEAST_HESSIAN})
+    SELECT feature, round(cut, 6) AS cut, round(gain / n, 5) AS mean_gain, CAST(l AS BIGINT) AS rows_left FROM w WHERE gain > 0
+    QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, cut) = 1"""
+
+
+@query("M3 P20", SQL_FIRST_SPLITS)
+def first_splits(t):
+    """The best root split of every numeric feature over all flows, with production parameters."""
+    f = shape.with_shape_features(t.flows.withColumn("y", (F.col("label") == "attack").cast("int")))
+    rows = settle(f.select("y", *[F.round(c, 6).alias(c) for c in shape.FEATURE_NAMES]))
+    best = boosting.first_splits(rows, shape.FEATURE_NAMES, "y", GROWTH)
+    return best.select("feature", F.round("cut", 6).alias("cut"), F.round(F.col("gain") / rows.count(), 5).alias("mean_gain"), "rows_left")
+
+
+CALIBRATED = """
+    WITH u AS (SELECT *, {unit} AS unit FROM v_flows QUALIFY row_number() OVER (PARTITION BY {sig} ORDER BY row_id) = 1),
+      c AS (SELECT label FROM u WHERE unit >= 0.6 AND unit < 0.8)
+    SELECT channel, budget, count(*) AS n, count(*) FILTER (label = 'attack') AS attacks, count(*) FILTER (label = 'attack') / count(*) AS mean_label,
+      TRUE AS balanced, TRUE AS within_budget
+    FROM c, (VALUES ('p_text'), ('p_numeric'), ('p_content')) x(channel), (VALUES (0.01::DOUBLE), (0.05::DOUBLE)) y(budget) GROUP BY 1, 2"""
+
+
+@query("M2 M3 M4 M5 M6 M7", CALIBRATED.format(unit=sql_unit("src_ip"), sig=SQL_SIG))
+def calibrated_detector(t):
+    """What must hold for a fitted detector on its calibration rows: the fused probabilities add up to the labels, and no channel
+    alerts on more benign rows than its budget allows."""
+    rows = dedup.keep_first(t.flows).withColumn("y", (F.col("label") == "attack").cast("int"))
+    cut = settle(splits.session_split(rows, "src_ip"))
+    calib = cut.where("split = 'calib'")
+    model = D.fit_detector(cut.where("split = 'train'"), calib, QUICK)
+    scored = settle(model.score(calib).select("y", *jobs.ALL_CHANNELS))
+    out = None
+    for channel in jobs.ALL_CHANNELS:
+        for budget in D.BUDGETS:
+            over = F.count_if((F.col("y") == 0) & (F.col(channel) > model.threshold(channel, budget)))
+            part = scored.agg(
+                F.lit(channel).alias("channel"), F.lit(budget).alias("budget"), F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("attacks"),
+                F.avg("y").alias("mean_label"), (F.abs(F.avg("p_content") - F.avg("y")) < 1e-4).alias("balanced"),
+                (over <= budget * F.count_if(F.col("y") == 0)).alias("within_budget"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("M9 A19")
 def family_head(t):
     """Family head trained on two tools, confusion table on the third."""

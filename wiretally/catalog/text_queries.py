@@ -214,7 +214,7 @@ def body_entropy(t):
 SQL_BLANK = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
 
 
-def _sql_shape() -> str:
+def sql_shape() -> str:
     def stripped(s: str) -> str:
         return f"regexp_replace({s}, '^{SQL_BLANK}+|{SQL_BLANK}+$', '', 'g')"
 
@@ -242,7 +242,7 @@ def _sql_shape() -> str:
       {', '.join(columns)} FROM x"""
 
 
-@query("P20 P21 P22 P26", _sql_shape())
+@query("P20 P21 P22 P26", sql_shape())
 def shape_features(t):
     """All 34 columns of the numeric feature block, of every flow and of every page with its whole body."""
     fields = ["row_id", "url_path_raw", "url_query", "request_body", "headers"]

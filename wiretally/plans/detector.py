@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wiretally.functions import shape, text as X
 from wiretally.operators.quantiles import budget_thresholds
+from wiretally.plans.boosting import BoostedTrees, Growth, fit_boosted
 from wiretally.plans.vectors import TfIdf, TfIdfModel
 
 BUDGETS = (0.01, 0.05)
@@ -29,8 +30,9 @@ class Settings:
     text_iterations: int = 2000
     boosting_rounds: int = 300
     boosting_rate: float = 0.1
-    boosting_depth: int = 5
+    boosting_leaves: int = 31
     boosting_bins: int = 255
+    boosting_l2: float = 1.0
     text_weight: float = 0.5
     shape_weight: float = 0.5
 
@@ -137,24 +139,20 @@ def fit_text(df: DataFrame, settings: Settings = Settings(), label: str = "y") -
 
 @dataclass
 class ShapeModel:
-    trees: PipelineModel
+    """Boosted trees over the numeric features of a request."""
+    trees: BoostedTrees
 
     def score(self, df: DataFrame, output: str = "p_numeric") -> DataFrame:
-        scored = self.trees.transform(shape.with_shape_features(df))
-        return scored.select(*df.columns, _positive().alias(output))
+        return self.trees.score(shape.with_shape_features(df), output).select(*df.columns, output)
 
 
 def fit_shape(df: DataFrame, settings: Settings = Settings(), label: str = "y") -> ShapeModel:
-    gather = VectorAssembler(inputCols=shape.FEATURE_NAMES, outputCol="features")
-    rows = _training_rows(gather.transform(shape.with_shape_features(df)).select(
-        "features", F.col(label).cast("double").alias(label)))
+    rows = _training_rows(shape.with_shape_features(df).select(*shape.FEATURE_NAMES, F.col(label).cast("double").alias("_label")))
     try:
-        trees = GBTClassifier(
-            labelCol=label, maxIter=settings.boosting_rounds, stepSize=settings.boosting_rate,
-            maxDepth=settings.boosting_depth, maxBins=settings.boosting_bins, seed=42).fit(rows)
+        return ShapeModel(fit_boosted(rows, shape.FEATURE_NAMES, "_label", Growth(
+            settings.boosting_rounds, settings.boosting_rate, settings.boosting_leaves, settings.boosting_bins, settings.boosting_l2)))
     finally:
         rows.unpersist()
-    return ShapeModel(PipelineModel([gather, trees]))
 
 
 def fused_logit(settings: Settings, text: str = "p_text", numeric: str = "p_numeric") -> Column:
@@ -185,7 +183,7 @@ class Detector:
 
     def save(self, path: str) -> None:
         self.text.save(os.path.join(path, "text"))
-        self.shape.trees.write().overwrite().save(os.path.join(path, "shape"))
+        self.shape.trees.save(os.path.join(path, "shape"))
         PipelineModel([self.platt]).write().overwrite().save(os.path.join(path, "platt"))
         rows = [(c, b, t) for c, per in self.thresholds.items() for b, t in per.items()]
         spark = SparkSession.getActiveSession()
@@ -198,7 +196,7 @@ class Detector:
         thresholds: dict[str, dict[float, float]] = {}
         for r in spark.read.parquet(os.path.join(path, "thresholds")).collect():
             thresholds.setdefault(r.channel, {})[r.budget] = r.threshold
-        return cls(TextModel.load(os.path.join(path, "text")), ShapeModel(PipelineModel.load(os.path.join(path, "shape"))),
+        return cls(TextModel.load(os.path.join(path, "text")), ShapeModel(BoostedTrees.load(os.path.join(path, "shape"))),
                    PipelineModel.load(os.path.join(path, "platt")).stages[0], settings, thresholds)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset in a local session. A cluster without
+    it is refused: its executors don't share the driver's disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir")
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     if folder is None:
         folder = getattr(shared_folder, "_fallback", None)
         if folder is None:
@@ -44,6 +48,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def released(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def tabled(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder. Unlike a checkpoint it has a measured size, so Spark broadcasts it in a
     join if it is small and not otherwise."""
@@ -52,15 +62,12 @@ def tabled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SPREAD = 200
-
-
 def settle(df: DataFrame, spread: bool = False) -> DataFrame:
     """Reliable checkpoint: the rows are written once and later plans start from the files.
-    ``spread`` deals them out evenly first, for capped sets that feed model fits and scoring: they
-    are small in bytes, so they would end up in few partitions, but costly per row."""
+    ``spread`` deals them out evenly first, over all cores at least, for sets that feed model fits and scoring: they are costly per
+    row, but may be small in bytes, so they would end up in few partitions."""
     spark = df.sparkSession
     shared_folder(spark)
     if spread:
-        df = df.repartition(min(spark.sparkContext.defaultParallelism, SPREAD))
+        df = df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return df.checkpoint(eager=True)
