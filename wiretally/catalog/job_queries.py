@@ -11,10 +11,10 @@ from wiretally.catalog.model_queries import _benign, _pools
 from wiretally.catalog.registry import query
 from wiretally.catalog.text_queries import SQL_SIG, sql_any_rule, sql_bucket, sql_decode, sql_rule, sql_text, sql_unit
 from wiretally.functions import rules, text as X
-from wiretally.operators import dedup, metrics, splits
+from wiretally.operators import dedup, membership, metrics, splits
 from wiretally.plans import detector as D, jobs
 from wiretally.session import scratch_path, settle
-from wiretally.sources import sinks
+from wiretally.sources import sinks, tables
 
 TINY = D.Settings(text_iterations=3, boosting_rounds=1, boosting_leaves=4, boosting_bins=16)
 COUNT = r"(^|/)(n|rows/[^/]+)$"
@@ -159,6 +159,40 @@ def ablation_counts(t):
     return _counts(t, jobs.ablation(_benign(t), _pools(t), t.flows, TINY), r"rates/(late_benign|in_distribution)/n$")
 
 
+# --- pairs, reviewed rows --------------------------------------------------------------------
+
+@query("W12 M12 J13", f"""
+    WITH {_sql_unique('va', "label = 'benign' AND app = 'vampi'")}, {_sql_cut('va')}, {_sql_unique('za', "label = 'benign' AND app = 'zanbil'")}, {_sql_cut('za')}
+    SELECT 'vampi_to_zanbil/n_target' AS path, late AS n FROM za_c UNION ALL SELECT 'zanbil_to_vampi/n_target', late FROM va_c""")
+def representation_pair_counts(t):
+    """How near another application's late benign requests lie to those a model was trained on, in both directions."""
+    cut = {a: settle(splits.temporal_split(_app(_benign(t), a))) for a in ("vampi", "zanbil")}
+    role = lambda a, r: cut[a].where(F.col("role") == r)
+    attacks = dedup.keep_first(t.flows.where("label = 'attack'"))
+    pairs = {f"{a}_to_{b}": (role(a, "train"), role(a, "calib"), role(b, "test"), attacks) for a, b in (("vampi", "zanbil"), ("zanbil", "vampi"))}
+    return _counts(t, jobs.representation_pairs(pairs, TINY), r"/n_target$")
+
+
+@query("W13 J7 Q12 S12 J15 A19 A20", f"""
+    WITH d AS (SELECT http_method, {sql_decode(sql_text())} AS dec, arg_min(attack_family, row_id) AS family FROM v_flows WHERE label = 'attack' GROUP BY 1, 2)
+    SELECT 'per_family/' || family || '/support' AS path, count(*) AS n FROM d GROUP BY 1
+    UNION ALL SELECT 'labelled/' || family || '/n', count(*) FROM d GROUP BY 1""")
+def family_sample_counts(t):
+    """Reviewed rows read from CSV, their requests found again by decoded text, the family head judged on them."""
+    attacks = t.flows.where("label = 'attack'")
+    keyed = attacks.withColumn("dec", X.decode(X.request_text()))
+    reviewed = dedup.first_per_key(keyed, ["http_method", "dec"]).select(
+        F.col("row_id").alias("row_index"), "http_method", "dec", F.col("attack_family").alias("family_label"), F.lit("").alias("pred_family"))
+    path = scratch_path(t.spark, "reviewed")
+    reviewed.write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    labels = tables.annotations(t.spark, path)
+    sample = settle(jobs.rebuild_family_sample(labels, attacks))
+    result = jobs.family_evaluation(sample, D.fit_family(attacks, TINY))
+    named = membership.label_rows(sample.select("row_index"), labels.select("row_index", F.col("family_label").alias("name")))
+    labelled = {r.name: {"n": r["count"]} for r in named.groupBy("name").count().collect()}
+    return _counts(t, result | {"labelled": labelled}, r"(^|/)(n|support)$")
+
+
 # --- stored models, samples, corpus ----------------------------------------------------------
 
 @query("W2 K7 M7 M14", """
