@@ -1,7 +1,10 @@
 """What keeps steps in proportion to the input: even partitions before costly steps, bounded pieces in tasks, tables read once."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from wiretally.operators import neighbours
 from wiretally.plans import detector as D, jobs
 
 
@@ -20,3 +23,37 @@ def test_sets_are_dealt_out_before_they_are_scored(spark):
     sets = jobs._sets({"a": row, "b": None, "c": row})
     assert sets.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert {r.evaluation_set: r["count"] for r in sets.groupBy("evaluation_set").count().collect()} == {"a": 400, "c": 400}
+
+
+def test_copies_of_queries_leave_in_bounded_pieces(spark):
+    """Rows without clusters: every query goes to every block, yet no batch holds all copies."""
+    rng = np.random.default_rng(7)
+    seen = {}
+
+    class Frame:
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            seen["run"] = run
+
+        def select(self, *names):
+            return self
+
+        def limit(self, n):
+            return self
+
+        def withColumn(self, name, value):
+            return self
+
+    n = 64 * neighbours.RINGS
+    cells = neighbours.Cells(np.repeat(np.arange(64), neighbours.RINGS), np.tile(np.arange(neighbours.RINGS), 64), np.zeros(n), np.full(n, np.pi), np.full(n, 1))
+    pivots = pa.table({"v": [[1.0, 0.0]] * 64})
+    kind = neighbours.Kind(["v"], lambda rows, p: rng.uniform(-1, 1, (rows.num_rows, 64)), None, None)
+    neighbours._visits(Frame(), kind, pivots, cells, False)
+    batch = pa.RecordBatch.from_pydict({"query_id": pa.array(range(20), pa.int64()), "v": [[1.0, 0.0]] * 20,
+                                        "home": pa.array([-1] * 20, pa.int64()), "similarity": [-2.0] * 20})
+    pieces = list(seen["run"](iter([batch])))
+    assert sum(p.num_rows for p in pieces) == 20 * n
+    assert max(p.num_rows for p in pieces) <= neighbours.VISITS
+    pairs = {(q, b) for p in pieces for q, b in zip(p.column("query_id").to_pylist(), p.column("block").to_pylist(), strict=True)}
+    assert len(pairs) == 20 * n
