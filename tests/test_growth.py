@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from wiretally.operators import neighbours
+from wiretally.operators import neighbours, quality
 from wiretally.plans import detector as D, jobs
 
 
@@ -57,3 +57,24 @@ def test_copies_of_queries_leave_in_bounded_pieces(spark):
     assert max(p.num_rows for p in pieces) <= neighbours.VISITS
     pairs = {(q, b) for p in pieces for q, b in zip(p.column("query_id").to_pylist(), p.column("block").to_pylist(), strict=True)}
     assert len(pairs) == 20 * n
+
+
+def test_purity_reads_its_rows_once(spark):
+    """The rows to be matched are the end of a long plan: it runs once, and only source and time go on."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(
+        [("10.0.0.1", f"2024-01-01T00:00:{s:02d}.000Z", "benign", "body") for s in range(40)] + [("10.0.0.2", None, "benign", "body"), (None, "2024-01-01T00:00:05.000Z", "attack", "")],
+        "src_ip string, timestamp string, label string, request_body string")
+    campaigns = spark.createDataFrame(
+        [(o, f"c{o}", "vampi", label, None, None, "10.0.0.1", a, b) for o, label, a, b in [
+            ("1", "attack", "2024-01-01T00:00:10.000Z", "2024-01-01T00:00:19.000Z"), ("2", "benign", "2024-01-01T00:00:00.000Z", "2024-01-01T00:00:39.000Z")]],
+        "ord string, campaign_id string, app string, label string, attack_family string, attack_tool string, src_ip string, start_ts string, end_ts string")
+    once = rows.mapInArrow(counted, rows.schema)
+    assert [tuple(r) for r in quality.benign_purity(once, campaigns).collect()] == [("benign_purity", False, 10.0)]
+    assert read.value == 42
