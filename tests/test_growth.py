@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from wiretally.functions import shape
 from wiretally.operators import neighbours, quality
 from wiretally.plans import detector as D, jobs
 
@@ -59,6 +61,23 @@ def test_copies_of_queries_leave_in_bounded_pieces(spark):
     assert len(pairs) == 20 * n
 
 
+def test_entropy_counts_bounded_pieces(spark, monkeypatch):
+    held = []
+    counted = shape._entropies
+    monkeypatch.setattr(shape, "CHARACTERS", 10)
+    monkeypatch.setattr(shape, "_entropies", lambda texts, lengths: held.append(int(lengths.sum())) or counted(texts, lengths))
+    texts = ["", "aab", None, "abcdefghij", "x" * 25 + "y" * 25, "é\U0001F600é", "", "ab"]
+
+    def plain(s):
+        s = s or ""
+        return abs(-sum(s.count(c) / len(s) * np.log2(s.count(c) / len(s)) for c in set(s)))
+
+    found = shape.entropy.func(pa.array(texts)).to_pylist()
+    assert found == pytest.approx([plain(s) for s in texts])
+    assert max(held) <= 10
+    assert shape.entropy.func(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_purity_reads_its_rows_once(spark):
     """The rows to be matched are the end of a long plan: it runs once, and only source and time go on."""
     read = spark.sparkContext.accumulator(0)
