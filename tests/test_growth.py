@@ -97,3 +97,19 @@ def test_purity_reads_its_rows_once(spark):
     once = rows.mapInArrow(counted, rows.schema)
     assert [tuple(r) for r in quality.benign_purity(once, campaigns).collect()] == [("benign_purity", False, 10.0)]
     assert read.value == 42
+
+
+def test_corpus_reads_its_campaigns_once(small):
+    """However many captures there are: campaigns may be the end of a long plan."""
+    read = small.spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    bare = small.flows.drop("label", "attack_family", "attack_tool")
+    captures = [bare.where(F.col("row_id") % 2 == k) for k in (0, 1)]
+    corpus, _ = jobs.build_corpus(captures, small.campaigns.mapInArrow(counted, small.campaigns.schema), True)
+    assert corpus.count() > 0
+    assert read.value == small.campaigns.count()
