@@ -36,26 +36,32 @@ SEGMENT_IDS = 1 << 18
 SEGMENT = "shard int, segment long, first_id long, n_ids long, payload binary"
 
 
+def _runs(narrow: np.ndarray, count: int) -> np.ndarray:
+    """Where in each row ``count`` narrow ids begin, for its first BLOCK places."""
+    span = 1
+    while span * 2 <= count:
+        narrow, span = narrow[:, :-span] & narrow[:, span:], span * 2
+    return narrow[:, :BLOCK] & narrow[:, count - span:count - span + BLOCK]
+
+
 def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of all blocks, and where each block's words begin; no id is above ESCAPE."""
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     rows = np.zeros((blocks, BLOCK + COUNTS[0]), np.uint16)  # an unfilled last word is filled up with zeros
     for k in range(blocks):
         rows[k, :min(BLOCK, n - k * BLOCK)] = ids[k * BLOCK:(k + 1) * BLOCK]
-    kind = np.full((blocks, BLOCK), len(COUNTS) - 1, np.int8)
-    wide = np.zeros((blocks, rows.shape[1] + 1), np.int16)
+    kind = np.full((blocks, BLOCK), len(COUNTS) - 1, np.uint8)
     for s in reversed(range(len(COUNTS) - 1)):  # ends with the selector that takes most ids
-        np.cumsum(rows >> WIDTHS[s] > 0, axis=1, out=wide[:, 1:])
-        kind[wide[:, COUNTS[s]:COUNTS[s] + BLOCK] == wide[:, :BLOCK]] = s
-    take, starts, first = np.array(COUNTS)[kind], [], []
+        np.copyto(kind, np.uint8(s), where=_runs(rows < 1 << WIDTHS[s], COUNTS[s]))
+    take, starts, first = np.array(COUNTS, np.uint8)[kind], [], []
     for k in range(blocks):
         first.append(len(starts))
-        step, at, base, end = take[k].tolist(), 0, k * rows.shape[1], min(BLOCK, n - k * BLOCK)
+        step, at, base, end = take[k].tobytes(), 0, k * rows.shape[1], min(BLOCK, n - k * BLOCK)
         while at < end:
             starts.append(base + at)
             at += step[at]
     starts = np.array(starts, np.int64)
-    flat, kind = rows.ravel(), kind[starts // rows.shape[1], starts % rows.shape[1]] if blocks else np.empty(0, np.int8)
+    flat, kind = rows.ravel(), kind[starts // rows.shape[1], starts % rows.shape[1]] if blocks else np.empty(0, np.uint8)
     words = kind.astype(np.uint64)
     for s in range(len(COUNTS)):
         own = np.flatnonzero(kind == s)
@@ -66,19 +72,19 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.array(first, np.int64)
 
 
-def unpack_block(words: np.ndarray, n: int) -> np.ndarray:
-    """The first ``n`` ids of a block's words, escapes still standing as ESCAPE."""
+def unpack_blocks(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` ids of all blocks, whose words begin at ``first``; escapes still stand as ESCAPE."""
     kind = (words & np.uint64(15)).astype(np.int64)
-    counts = np.array(COUNTS)[kind]
-    ends = np.cumsum(counts)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+    counts, block = np.array(COUNTS)[kind], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
+    begins = np.cumsum(counts) - counts
+    rows = np.zeros((len(first), BLOCK + COUNTS[0]), np.uint32)
+    places, flat = begins - begins[first][block] + block * rows.shape[1], rows.ravel()
     for s in range(len(COUNTS)):
         own = np.flatnonzero(kind == s)
-        if len(own):
-            shifts = np.uint64(4) + np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(WIDTHS[s])
-            values = (words[own, None] >> shifts[None, :]) & np.uint64((1 << WIDTHS[s]) - 1)
-            out[(ends[own] - COUNTS[s])[:, None] + np.arange(COUNTS[s])[None, :]] = values
-    return out[:n]
+        at, held, low = places[own], words[own], np.uint64((1 << WIDTHS[s]) - 1)
+        for k in range(COUNTS[s] if len(own) else 0):
+            flat[at + k] = held >> np.uint64(4 + k * WIDTHS[s]) & low
+    return rows[:, :BLOCK].ravel()[:n]
 
 
 def encode_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -108,10 +114,9 @@ def decode_segment(payload: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
     doc_ids, null, lengths = take("<i8", docs).tolist(), take("u1", docs), take("<u4", docs)
     blocks = -(-n // BLOCK)
-    first, _ = np.append(take("<u4", blocks), n_words), take("<u4", blocks)
+    first, _ = take("<u4", blocks).astype(np.int64), take("<u4", blocks)
     words, escapes = take("<u8", n_words), take("<u4", n_escapes)
-    flat = np.concatenate([unpack_block(words[first[k]:first[k + 1]], min(BLOCK, n - k * BLOCK)) for k in range(blocks)]
-                          or [np.empty(0, np.uint32)])
+    flat = unpack_blocks(words, first, n)
     flat[flat == ESCAPE] = escapes
     ends = np.cumsum(lengths.astype(np.int64))
     return [None if z else d for d, z in zip(doc_ids, null, strict=True)], np.split(flat.astype("<u4"), ends[:-1]) if docs else []

@@ -7,6 +7,8 @@ import os
 import numpy as np
 
 END_ID = 2
+#: ASCII marks that make a unit of their own behind letters.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -17,9 +19,9 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of whole texts. The vocabulary drops white space and never joins characters across it, so a text's ids are
     those of its blank-separated words in order; each word is encoded once and remembered (up to ``limit`` words, then all
-    are forgotten). Letters are one unit of the vocabulary and so are the marks behind them, so a word's closing full
-    stops and commas are coded apart, and words of letters alone are coded many in one call: each ends in a token that
-    closes a word."""
+    are forgotten). Letters are one unit of the vocabulary, in either case, and so are the marks behind them, so a word's
+    closing ASCII marks are coded apart, and words of letters alone are coded many in one call, A-Z and a-z as one: each
+    ends in a token that closes a word."""
 
     limit = 1_200_000
     _made: dict[str, Encoder] = {}
@@ -49,17 +51,18 @@ class Encoder:
             known.clear()
         letters, marked, rest = {}, [], []
         for w in words:
-            text = w.decode("utf-8", "replace")
-            if text.isalpha():
-                letters[w] = text
-            elif w[-1] in b".," and (stem := text.rstrip(".,")).isalpha():
-                key = stem.encode()
-                marked.append((w, key, w[len(key):]))
+            stem = w.rstrip(MARKS)
+            key = stem.lower()  # A-Z only
+            if key not in letters:
+                text = key.decode("utf-8", "replace")
+                if not text.isalpha() or "İ" in text:  # small, it is a letter and a mark
+                    rest.append(w)
+                    continue
                 if key not in known:
-                    letters[key] = stem
-            else:
-                rest.append(w)
-        rest.extend({marks for *_, marks in marked}.difference(known, rest))
+                    letters[key] = text
+            if key != w:
+                marked.append((w, key, w[len(stem):]))
+        rest.extend({marks for *_, marks in marked if marks}.difference(known, rest))
         if letters and self.closes.any():
             ids = np.frombuffer(self._encode([" ".join(letters.values())])[0], "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
@@ -70,8 +73,8 @@ class Encoder:
                     at = end
         rest.extend(w for w in letters if w not in known)
         known.update(zip(rest, self._encode([w.decode("utf-8", "replace") for w in rest]), strict=True))
-        for w, stem, marks in marked:
-            known[w] = known[stem] + known[marks]
+        for w, key, marks in marked:
+            known[w] = known[key] + known[marks] if marks else known[key]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers, with END_ID at the end."""
