@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from wiretally.llm import partenum
+from wiretally.llm.common import shingle_hashes, tokens
 from wiretally.llm.token_files import BLOCK, ESCAPE, pack_blocks, unpack_blocks
 from wiretally.llm.tokenizer import END_ID, Encoder, default_tokenizer
 
@@ -32,3 +34,42 @@ def test_words_by_stem_and_marks_have_the_tokenizers_ids(text):
 def test_blocks_decode_together(n):
     ids = np.random.default_rng(n).choice([0, 1, 3, 200, 4000, ESCAPE], n, p=[.5, .2, .1, .1, .05, .05])
     assert unpack_blocks(*pack_blocks(ids), n).tolist() == ids.tolist()
+
+
+def test_sets_that_just_miss_the_threshold_are_told_apart_without_their_elements(spark):
+    rng, base = np.random.default_rng(5), np.arange(147)
+    sets = {k: np.sort(partenum.mixed(np.append(rng.choice(base, 137, replace=False), rng.integers(1000, 10**9, 10)).astype(np.uint64))) for k in range(200)}
+    sets[200] = sets[0].copy()
+    sets[200][5] += np.uint64(1)
+    elements = spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "set_key long, elements binary")
+    parities = partenum._parities(elements, (85, 100))
+    members = spark.createDataFrame([(7, k, len(x), k) for k, x in sets.items()], "signature long, set_key long, n long, c long")
+    found = {tuple(r) for r in partenum._unexplained(members, parities, (85, 100)).collect()}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (294 - both)}
+    assert (0, 200) in alike <= found and len(found) < 200  # of 20 100 pairs
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)] + [(0, 200)], "u long, v long")
+    assert {(0, 200)} <= {tuple(r) for r in partenum._likely(pairs, parities, (85, 100)).collect()} <= found
+
+
+def test_small_and_large_groups_lose_no_similar_pair(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = {k: np.unique(partenum.mixed(rng.integers(0, 9, rng.integers(1, 40)).astype(np.uint64))) for k in range(90)}
+    elements = spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "set_key long, elements binary")
+    members = spark.createDataFrame([(s, k, len(x), k % 80) for k, x in sets.items() for s in (1, 2) if s == 1 or k % 3 == 0], "signature long, set_key long, n long, c long")
+    alike = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and a % 80 != b % 80 and 10 * len(np.intersect1d(x, y)) >= 7 * len(np.union1d(x, y))}
+    for rows in (2048, 20):
+        monkeypatch.setattr(partenum, "BLOCK_ROWS", rows)
+        found = {tuple(r) for r in partenum._unexplained(members, partenum._parities(elements, (7, 10)), (7, 10)).collect()}
+        assert alike and alike <= found
+
+
+@pytest.mark.parametrize("size", [1, 2, 4])
+def test_shingle_sets_of_many_texts_together(size):
+    texts = [b"", b"a", b"a b", b"A a a A a", b"", b"a b c d", b"b a b a b a b", b" x\ty ", b"a b c d e f g a b c d"]
+    sets = partenum.Sets(texts, size)
+    plain = [shingle_hashes(tokens(x.lower()), size) for x in texts]
+    assert [x.tolist() for x in sets.parts()] == [x.tolist() for x in plain] and sets.sizes.tolist() == [len(x) for x in plain]
+    assert sets.keys().tolist() == [partenum.Sets([x], size).keys()[0] for x in texts]
+    together, apart = ([(int(c), int(r)) for codes, rows in s.signatures(partenum.Bands((7, 10))) for c, r in zip(codes, rows + k, strict=True)]
+                       for s, k in ((sets, 0), (partenum.Sets(texts[5:6], size), 5)))
+    assert sorted(x for x in together if x[1] == 5) == sorted(apart) and {r for _, r in together} == {k for k, x in enumerate(plain) if len(x)}

@@ -24,15 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import U64, batches, mixed, shingle_hashes, text_bytes, tokens, written
+from wiretally.llm.common import U64, batches, mixed, text_bytes, tokens, window_hashes, word_hashes, written
 from wiretally.llm.components import components
 
 SETS = "doc_id long, n_shingles long, set_key long"
 LEAST_HELD = 2
 #: Further stars, each with other centres, before sets of different components are compared with each other.
 STAR_ROUNDS = 4
+#: Further stars end as soon as less than one in so many of their pairs is a link.
+FEW_TIES = 50
 #: Sets of a signature that are compared with each other, or with as many others, in one task.
 BLOCK_ROWS = 2048
+#: Parity bits for each element that a set may have of its own beside an equally large similar one; with few of them, many pairs
+#: of a family that are just not similar enough look alike.
+PARITY_BITS = 24
+#: Words of 64 bits to which parities are folded for a first look at all pairs.
+SHORT_WORDS = 2
+#: Up to so many sets all pairs are looked at in full.
+SMALL = 48
 
 
 class Bands:
@@ -55,37 +64,66 @@ class Bands:
         return differ + 1 + spare, spare
 
 
-def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of a set of 64-bit hashes in its two bands."""
-    if not len(elements):
-        return np.empty(0, U64)
-    place, own, found = mixed(elements ^ U64(1)), bands.interval(len(elements)), []
-    content = mixed(place)
-    for band in (own, own + 1):
-        parts, spare = bands.parts(band)
-        part = (place % U64(parts)).astype(np.int64)
-        held = np.bincount(part, minlength=parts)
-        sums = np.zeros(parts, U64)
-        np.add.at(sums, part, content)
-        keep = held >= LEAST_HELD if (held < LEAST_HELD).sum() <= spare else np.ones(parts, bool)
+class Sets:
+    """Shingle sets of some texts, one behind the other: sorted distinct ``elements``, ``sizes`` and ``begins``."""
+
+    def __init__(self, texts: list[bytes], size: int):
+        words = [tokens(x.lower()) for x in texts]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        windows = np.where(lengths > size, lengths - size + 1, np.minimum(lengths, 1))
+        hashes, ends, places = word_hashes([w for x in words for w in x]), np.cumsum(lengths), np.cumsum(windows)
+        begins, rows = ends - lengths, np.repeat(np.arange(len(words)), windows)
+        wide = window_hashes(np.append(hashes, np.zeros(size, U64)), size)
+        found = wide[begins[rows] + np.arange(len(rows)) - (places - windows)[rows]]
+        for k in np.flatnonzero((lengths > 0) & (lengths < size)).tolist():
+            found[places[k] - 1] = window_hashes(hashes[begins[k]:ends[k]], int(lengths[k]))[0]
+        for a, b in zip((places - windows).tolist(), places.tolist(), strict=True):
+            found[a:b].sort()
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (rows[1:] != rows[:-1])
+        self.elements, self.rows = found[new], rows[new]
+        self.sizes = np.bincount(self.rows, minlength=len(words))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def keys(self) -> np.ndarray:
+        """One 64-bit key per set."""
         with np.errstate(over="ignore"):
-            code = mixed(sums + mixed(np.arange(parts, dtype=U64) + U64(band << 40)))
-        found.append(code[keep])
-    return np.concatenate(found)
-
-
-def set_key(elements: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(mixed(np.array([mixed(elements).sum() + U64(len(elements))], U64)).view(np.int64)[0])
+            sums = np.append(U64(0), np.cumsum(mixed(self.elements)))
+            return mixed(sums[self.begins + self.sizes] - sums[self.begins] + self.sizes.astype(U64)).view(np.int64)
+
+    def parts(self) -> list[np.ndarray]:
+        return np.split(self.elements, self.begins[1:]) if len(self.begins) else []
+
+    def signatures(self, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(signature, row of its set) of the sets in each of their two bands; an empty set has none."""
+        held_by = np.flatnonzero(self.sizes)
+        if not len(held_by):
+            return
+        rows = np.repeat(np.arange(len(held_by)), self.sizes[held_by])
+        own = np.array([bands.interval(n) for n in self.sizes[held_by].tolist()], np.int64)
+        place = mixed(self.elements ^ U64(1))
+        content = mixed(place)
+        for band in (own, own + 1):
+            parts, spare = np.array([bands.parts(k) for k in band.tolist()], np.int64).T
+            begins = np.cumsum(parts) - parts
+            slot = (place % parts.astype(U64)[rows]).astype(np.int64) + begins[rows]
+            held = np.bincount(slot, minlength=int(parts.sum()))
+            sums = np.zeros(len(held), U64)
+            with np.errstate(over="ignore"):
+                np.add.at(sums, slot, content)
+                of = np.repeat(np.arange(len(parts)), parts)
+                number = (np.arange(len(of)) - begins[of]).astype(U64) + (band.astype(U64) << U64(40))[of]
+                code = mixed(sums + mixed(number))
+            thin = held < LEAST_HELD
+            keep = ~thin | (np.add.reduceat(thin, begins, dtype=np.int64) > spare)[of]
+            yield code[keep], held_by[of[keep]]
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 512):
-            sets = [shingle_hashes(tokens(x.lower()), size) for x in text_bytes(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())],
-                ["doc_id", "n_shingles", "set_key"])
+        for batch in batches(rows, 128):
+            sets = Sets(text_bytes(batch), size)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.sizes, pa.int64()), pa.array(sets.keys(), pa.int64())], ["doc_id", "n_shingles", "set_key"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
@@ -95,11 +133,10 @@ def _spread(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
         for batch in batches(rows, 128):
-            sets = [s for s in (shingle_hashes(tokens(x.lower()), size) for x in text_bytes(batch)) if len(s)]
-            if sets:
-                found = [signatures(s, bands) for s in sets]
-                keys = np.repeat(np.array([set_key(s) for s in sets], np.int64), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys)], ["signature", "set_key"])
+            sets = Sets(text_bytes(batch), size)
+            keys = sets.keys()
+            for found, of in sets.signatures(bands):
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(keys[of])], ["signature", "set_key"])
 
     return docs.select("text").mapInArrow(run, "signature long, set_key long")
 
@@ -127,8 +164,25 @@ def _stars(spread: DataFrame) -> DataFrame:
     return spread.repartition(n, "signature").sortWithinPartitions("signature", "set_key").mapInArrow(run, "signature long, first long, other long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough, by their elements."""
+def _likely(pairs: DataFrame, parities: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose parities differ in no more bits than similar sets may."""
+    num, den = threshold
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, 1024):
+            hit = []
+            for a, b, m, n in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "m", "n")), strict=True):
+                least = min(len(a), len(b)) // 8
+                hit.append(int(np.bitwise_count(_folded(a, least) ^ _folded(b, least)).sum()) <= (den - num) * (m + n) // (den + num))
+            yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
+
+    u = parities.select(F.col("set_key").alias("u"), F.col("n").alias("m"), F.col("parity").alias("a"))
+    v = parities.select(F.col("set_key").alias("v"), "n", F.col("parity").alias("b"))
+    return pairs.select("u", "v").join(u, "u").join(v, "v").select("u", "v", "m", "n", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, parities: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough, by their elements. Those go out only for pairs that parities don't tell apart."""
     num, den = threshold
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +195,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                 hit.append(both * den >= num * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
-    a, b = sets.select(F.col("set_key").alias("u"), F.col("elements").alias("a")), sets.select(F.col("set_key").alias("v"), F.col("elements").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    likely = written(_likely(pairs, parities, threshold), "likely")
+    a, b = (sets.select(F.col("set_key").alias(c), F.col("elements").alias(d)).join(likely, c) for c, d in (("u", "a"), ("v", "b")))
+    return a.join(b, ["u", "v"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def _fits(a: str, b: str, threshold: tuple[int, int]):
@@ -153,11 +208,11 @@ def _fits(a: str, b: str, threshold: tuple[int, int]):
 def _elements(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """(set_key, elements): the sorted hashes of the sets named in ``sets``, from the text of one of their documents."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 256):
-            found = [shingle_hashes(tokens(x.lower()), size) for x in text_bytes(batch)]
-            keys = [set_key(x) for x in found]
-            own = [k == x for k, x in zip(keys, batch.column("set_key").to_pylist(), strict=True)]  # a repeated doc_id may bring other texts
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
+        for batch in batches(rows, 128):
+            found = Sets(text_bytes(batch), size)
+            keys = found.keys()
+            own = keys == batch.column("set_key").to_numpy()  # a repeated doc_id may bring other texts
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in found.parts()], pa.binary())],
                                              ["set_key", "elements"]).filter(pa.array(own, pa.bool_()))
 
     named = sets.select("set_key", F.col("doc_id").alias("named"))
@@ -175,8 +230,12 @@ def _mixed_members(stars: DataFrame, shared: DataFrame, sizes: DataFrame, label:
     u, v = at.select(F.col("set_key").alias("first"), F.col("c").alias("cu")), at.select(F.col("set_key").alias("other"), F.col("c").alias("cv"))
     crossing = written(shared.select(F.col("u").alias("first"), F.col("v").alias("other")).join(u, "first").join(v, "other").where("cu <> cv"), "crossing")
     theirs = stars.join(stars.join(crossing, ["first", "other"]).select("signature").distinct(), "signature")
-    return written(theirs.select("signature", F.col("other").alias("set_key")).union(
-        theirs.select("signature", F.col("first").alias("set_key")).distinct()).join(at, "set_key").select("signature", "set_key", "n", "c"), "members")
+    found = written(theirs.select("signature", F.col("other").alias("set_key")).union(theirs.select("signature", F.col("first").alias("set_key")).distinct()), "meeting")
+    # Signatures with the same sets say the same: one of them stays.
+    code = F.xxhash64("set_key")
+    same = found.groupBy("signature").agg(F.count("*").alias("m"), F.bit_xor(code).alias("x"), F.min(code).alias("l"), F.max(code).alias("g"))
+    one = same.groupBy("m", "x", "l", "g").agg(F.min("signature").alias("signature")).select("signature")
+    return written(found.join(one, "signature").join(at, "set_key").select("signature", "set_key", "n", "c"), "members")
 
 
 def _still_mixed(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -192,33 +251,54 @@ def _star_pairs(members: DataFrame, turn: int, threshold: tuple[int, int]) -> Da
         F.least("set_key", "o.set_key").alias("u"), F.greatest("set_key", "o.set_key").alias("v")).distinct()
 
 
-def _unexplained(members: DataFrame, elements: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _unexplained(members: DataFrame, parities: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs (u, v) of sets that share a signature and lie in different components, as far as they may be similar.
 
     A signature's members are dealt into blocks of BLOCK_ROWS, and each pair of blocks is compared in a task of its own by
     parities (see there), which tell most pairs apart without their elements."""
     count = members.groupBy("signature").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    dealt = members.join(count, "signature").join(_parities(elements, threshold), "set_key").withColumns(
+    dealt = members.join(count, "signature").join(parities.select("set_key", "parity"), "set_key").withColumns(
         {"own": F.pmod(F.xxhash64("set_key"), blocks), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     return dealt.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "n", "c", "parity").groupBy(
         "signature", "i", "j").applyInArrow(_near_by_parity(threshold), "u long, v long").distinct()
 
 
 def _parities(elements: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(set_key, parity): bit b tells whether an odd number of elements falls on b. Two sets differ in at least as many
+    """(set_key, n, parity): bit b tells whether an odd number of elements falls on b. Two sets differ in at least as many
     elements as their parities differ in bits; a longer parity folds to a shorter one."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 256):
-            made = []
+            made, sizes = [], []
             for x in batch.column("elements").to_pylist():
                 x = np.frombuffer(x, U64)
-                bits = max(64, 1 << (len(x) * 4 * (threshold[1] - threshold[0]) // threshold[1]).bit_length())
+                sizes.append(len(x))
+                bits = max(128 * SHORT_WORDS, 1 << (len(x) * PARITY_BITS * (threshold[1] - threshold[0]) // threshold[1]).bit_length())
                 odd = np.bincount((mixed(x ^ U64(0x5BD1E995)) % U64(bits)).astype(np.int64), minlength=bits) & 1
                 made.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(made, pa.binary())], ["set_key", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], ["set_key", "n", "parity"])
+
+    return elements.mapInArrow(run, "set_key long, n long, parity binary")
 
-    return elements.mapInArrow(run, "set_key long, parity binary")
+
+def _folded(parity: bytes, least: int) -> np.ndarray:
+    """A parity cut to ``least`` words."""
+    words = np.frombuffer(parity, U64)
+    while len(words) > least:
+        words = words[:len(words) // 2] ^ words[len(words) // 2:]
+    return words
+
+
+def _at_first_sight(parity: np.ndarray, n: np.ndarray, num: int, den: int):
+    """A test of all pairs of some rows with others by one product of folded parities: odd[a] + odd[b] - 2 both may be at most
+    (den - num) / (den + num) * (n[a] + n[b]). Sums are rounded; a pair that just misses it passes."""
+    short = np.bitwise_xor.reduce(parity.reshape(len(parity), -1, SHORT_WORDS), axis=1)
+    short = np.unpackbits(short.view(np.uint8), axis=1).astype(np.float32)
+    may, one = (den - num) * n.astype(np.float64) - (den + num) * short.sum(1), np.ones(len(n))
+    above = np.column_stack((2 * (den + num) * short, may, one)).astype(np.float32)
+    below = np.column_stack((short, one, may)).astype(np.float32)
+    slack = np.float32(-1 - np.abs(may).max() * 1e-5)
+    return lambda some, others: above[some] @ below[others].T >= slack
 
 
 def _near_by_parity(threshold: tuple[int, int]):
@@ -230,23 +310,21 @@ def _near_by_parity(threshold: tuple[int, int]):
         own, key, n, c = (table.column(x).to_numpy() for x in ("own", "set_key", "n", "c"))
         raw = table.column("parity").to_pylist()
         least = min(map(len, raw)) // 8
-
-        def folded(x: bytes) -> np.ndarray:
-            words = np.frombuffer(x, U64)
-            while len(words) > least:
-                words = words[:len(words) // 2] ^ words[len(words) // 2:]
-            return words
-
-        parity = np.stack([folded(x) for x in raw])
-        right = np.flatnonzero(own == j)
-        us, vs = [], []
-        for a in np.flatnonzero(own == i):
-            b = right[key[right] > key[a]] if i == j else right
-            b = b[(c[b] != c[a]) & (np.minimum(n[b], n[a]) * den >= np.maximum(n[b], n[a]) * num)]
-            if len(b):
-                b = b[np.bitwise_count(parity[b] ^ parity[a]).sum(1) <= (den - num) * (n[b] + n[a]) // (den + num)]
-                us.append(np.minimum(key[a], key[b]))
-                vs.append(np.maximum(key[a], key[b]))
+        parity = np.stack([_folded(x, least) for x in raw])
+        may_be = _at_first_sight(parity, n, num, den) if len(raw) > SMALL else None
+        left, right, us, vs = np.flatnonzero(own == i), np.flatnonzero(own == j), [], []
+        for at in range(0, len(left), 512):
+            some = left[at:at + 512]
+            apart = c[some][:, None] != c[right]
+            a, b = np.nonzero(apart if may_be is None else apart & may_be(some, right))
+            a, b = some[a], right[b]
+            fits = np.minimum(n[b], n[a]) * den >= np.maximum(n[b], n[a]) * num
+            if i == j:
+                fits &= key[b] > key[a]
+            a, b = a[fits], b[fits]
+            near = np.bitwise_count(parity[b] ^ parity[a]).sum(1) <= (den - num) * (n[b] + n[a]) // (den + num)
+            us.append(np.minimum(key[a], key[b])[near])
+            vs.append(np.maximum(key[a], key[b])[near])
         empty = [np.empty(0, np.int64)]
         return pa.table({"u": np.concatenate(us or empty), "v": np.concatenate(vs or empty)})
 
@@ -267,6 +345,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     met = stars.select(F.col("first").alias("set_key")).union(stars.select(F.col("other").alias("set_key"))).distinct()
     sizes = written(sizes.join(met, "set_key"), "met")  # only sets that share a signature with another one
     elements = written(_elements(docs, sizes, size), "elements")
+    parities = written(_parities(elements, threshold).dropDuplicates(["set_key"]), "parities")
 
     def sized(pairs: DataFrame) -> DataFrame:
         a = sizes.select(F.col("set_key").alias("u"), F.col("n").alias("nu"))
@@ -276,20 +355,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     # Each set with the star's centre it shares most signatures with: enough to tie most groups together.
     shared = written(stars.groupBy("first", "other").agg(F.count("*").alias("n")).select(F.col("first").alias("u"), F.col("other").alias("v"), "n"), "shared")
     best = written(sized(shared.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")), "best")
-    links = written(_verified(best, elements, threshold), "links")
+    links = written(_verified(best, elements, parities, threshold), "links")
     label, tried = written(components(links), "label"), best
-    members = None
-    for turn in range(STAR_ROUNDS + 1):
+    members, turn = None, 0
+    while turn <= STAR_ROUNDS:
         members = _mixed_members(stars, shared, sizes, label) if members is None else _still_mixed(members, label)
         if members.isEmpty():
             break
-        pairs = (_star_pairs(members, turn, threshold) if turn < STAR_ROUNDS else _unexplained(members, elements, threshold))
+        pairs = (_star_pairs(members, turn, threshold) if turn < STAR_ROUNDS else _unexplained(members, parities, threshold))
         pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "open")
-        more = written(_verified(pairs, elements, threshold), "links")
-        tried = tried.union(pairs)
-        if not more.isEmpty():
+        more = written(_verified(pairs, elements, parities, threshold), "links")
+        tried, ties = tried.union(pairs), more.count()
+        if ties:
             links = links.union(more)
             label = written(components(links), "label")
+        # Stars that tie few of their pairs would tie ever fewer: then the rest is compared at once.
+        turn = turn + 1 if turn >= STAR_ROUNDS or ties * FEW_TIES >= pairs.count() else STAR_ROUNDS
     by_set = meta.where("n_shingles > 0").join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("component", "set_key"))
     least = by_set.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return (by_set.join(least, "root").select("doc_id", "n_shingles", "component_id")
