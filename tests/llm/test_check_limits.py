@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from wiretally.llm import partenum
+from wiretally.llm import partenum, suffix_dedup
 from wiretally.llm.common import shingle_hashes, tokens
 from wiretally.llm.token_files import BLOCK, ESCAPE, pack_blocks, unpack_blocks
 from wiretally.llm.tokenizer import END_ID, Encoder, default_tokenizer
@@ -73,3 +73,19 @@ def test_shingle_sets_of_many_texts_together(size):
     together, apart = ([(int(c), int(r)) for codes, rows in s.signatures(partenum.Bands((7, 10))) for c, r in zip(codes, rows + k, strict=True)]
                        for s, k in ((sets, 0), (partenum.Sets(texts[5:6], size), 5)))
     assert sorted(x for x in together if x[1] == 5) == sorted(apart) and {r for _, r in together} == {k for k, x in enumerate(plain) if len(x)}
+
+
+def test_texts_move_once_to_find_the_first_of_equal_ones(spark, monkeypatch):
+    plans, plain = {}, suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and plain(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = "".join(map(str, range(60)))
+        docs = spark.createDataFrame([(1, text), (2, text), (2, text), (1, text), (3, "x" + text), (4, None), (None, text)], "doc_id long, text string")
+        found = suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    n = len(text)
+    assert sorted(map(tuple, found), key=str) == sorted([(1, 0), (1, 0), (2, n), (2, n), (3, n), (4, 0), (None, n)], key=str)
+    assert plans["firsts"].count("Exchange hashpartitioning") == 2  # the texts and the least doc_ids, each once

@@ -316,8 +316,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(LAST)), "_key": F.sha2(F.coalesce("text", F.lit("")), 256)})
     own = own.withColumn("_row", F.xxhash64("_doc", "_key"))
     least = written(own.groupBy("_key").agg(F.min("_doc").alias("_least")), "texts")
-    firsts = own.join(least, "_key").where("_doc = _least").select(F.col("_row").alias("row"), F.col("_doc").alias("doc"), "text")
-    firsts = written(firsts.dropDuplicates(["row"]), "firsts")
+    # Of equal rows one stays; the join has dealt them out by the same columns, so the texts move once.
+    firsts = own.join(least, "_key").where("_doc = _least").dropDuplicates(["_doc", "_key"])
+    firsts = written(firsts.select(F.col("_row").alias("row"), F.col("_doc").alias("doc"), "text"), "firsts")
     spans = covered_spans(firsts).withColumnRenamed("row", "_row")
     joined = own.join(least, "_key").join(spans, "_row", "left")
     names = docs.columns
