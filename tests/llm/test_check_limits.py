@@ -63,6 +63,30 @@ def test_small_and_large_groups_lose_no_similar_pair(spark, monkeypatch):
         assert alike and alike <= found
 
 
+def test_sets_that_share_many_signatures_meet_once(spark, monkeypatch):
+    rng, tables, plain = np.random.default_rng(7), {}, partenum.written
+    monkeypatch.setattr(partenum, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    sets = {k: np.sort(partenum.mixed(np.append(np.arange(95), rng.integers(1000, 10**9, 5)).astype(np.uint64))) for k in range(30)}
+    parities = partenum._parities(spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "set_key long, elements binary"), (85, 100))
+    # Signatures 0 to 39 are all sets' but one's, 40 is that of three sets with a least member of their own.
+    rows = [(s, k, 100, k) for s in range(40) for k in sets if k != s + 1] + [(40, k, 100, k) for k in (11, 17, 29)]
+    members = spark.createDataFrame(rows, "signature long, set_key long, n long, c long")
+    found = {tuple(r) for r in partenum._unexplained(members, parities, (85, 100)).collect()}
+    assert found == {(a, b) for a in sets for b in sets if a < b}
+    assert tables["groups"].count() == 30 + 3  # not one row for each of the 1 174 memberships
+
+
+def test_only_texts_whose_elements_are_wanted_move(spark):
+    docs = spark.createDataFrame([(k, str(k)) for k in range(-2000, 2000)] + [(None, "none"), (None, "no"), (7, "again")], "doc_id long, text string")
+    for wanted in ([3, -5, 7, None], [1], []):
+        named = spark.createDataFrame([(k,) for k in wanted], "named long")
+        found = partenum._marked(docs, named).collect()
+        of = [r for r in found if r.doc_id in wanted]
+        assert sorted(map(tuple, of), key=str) == sorted((tuple(r) for r in docs.collect() if r.doc_id in wanted), key=str)
+        assert len(found) - len(of) < 5 and (wanted or not found)
+    assert "BroadcastHashJoin" in partenum._marked(docs, named)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("size", [1, 2, 4])
 def test_shingle_sets_of_many_texts_together(size):
     texts = [b"", b"a", b"a b", b"A a a A a", b"", b"a b c d", b"b a b a b a b", b" x\ty ", b"a b c d e f g a b c d"]

@@ -33,7 +33,7 @@ LEAST_HELD = 2
 STAR_ROUNDS = 4
 #: Further stars end as soon as less than one in so many of their pairs is a link.
 FEW_TIES = 50
-#: Sets of a signature that are compared with each other, or with as many others, in one task.
+#: Sets of a group that are compared with each other, or with as many others, in one task.
 BLOCK_ROWS = 2048
 #: Parity bits for each element that a set may have of its own beside an equally large similar one; with few of them, many pairs
 #: of a family that are just not similar enough look alike.
@@ -42,6 +42,8 @@ PARITY_BITS = 24
 SHORT_WORDS = 2
 #: Up to so many sets all pairs are looked at in full.
 SMALL = 48
+#: Bits by which documents are told whose elements are wanted.
+MARKS = 1 << 24
 
 
 class Bands:
@@ -205,6 +207,15 @@ def _fits(a: str, b: str, threshold: tuple[int, int]):
     return F.expr(f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num}")
 
 
+def _marked(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ``named``, and some others, so that most texts that no join needs don't move for it. The bits
+    of MARKS places, 64 to a row, are sent to all tasks: a table of bounded size, whatever the number of documents."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) as int))")
+    marks = written(named.groupBy(F.floor(place("named") / 64).alias("word")).agg(F.bit_or(bit("named")).alias("bits")), "marks")
+    return docs.join(F.broadcast(marks), (F.floor(place("doc_id") / 64) == F.col("word")) & (F.col("bits").bitwiseAND(bit("doc_id")) != 0), "left_semi")
+
+
 def _elements(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """(set_key, elements): the sorted hashes of the sets named in ``sets``, from the text of one of their documents."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +227,8 @@ def _elements(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
                                              ["set_key", "elements"]).filter(pa.array(own, pa.bool_()))
 
     named = sets.select("set_key", F.col("doc_id").alias("named"))
-    return docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("named"))).select("set_key", "text").mapInArrow(run, "set_key long, elements binary")
+    return _marked(docs.select("doc_id", "text"), named).join(named, F.col("doc_id").eqNullSafe(F.col("named"))).select("set_key", "text").mapInArrow(
+        run, "set_key long, elements binary")
 
 
 def _labelled(sets: DataFrame, label: DataFrame) -> DataFrame:
@@ -254,14 +266,17 @@ def _star_pairs(members: DataFrame, turn: int, threshold: tuple[int, int]) -> Da
 def _unexplained(members: DataFrame, parities: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs (u, v) of sets that share a signature and lie in different components, as far as they may be similar.
 
-    A signature's members are dealt into blocks of BLOCK_ROWS, and each pair of blocks is compared in a task of its own by
-    parities (see there), which tell most pairs apart without their elements."""
-    count = members.groupBy("signature").agg(F.count("*").alias("m"))
+    Signatures with the same least member are one group, so sets that are alike meet once for each such member, not once
+    for each of the many signatures that they share. A group's members are dealt into blocks of BLOCK_ROWS, and each pair
+    of blocks is compared in a task of its own by parities (see there), which tell most pairs apart without their elements."""
+    least = members.groupBy("signature").agg(F.min("set_key").alias("least"))
+    groups = written(members.join(least, "signature").select("least", "set_key", "n", "c").distinct(), "groups")
+    count = groups.groupBy("least").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    dealt = members.join(count, "signature").join(parities.select("set_key", "parity"), "set_key").withColumns(
+    dealt = groups.join(count, "least").join(parities.select("set_key", "parity"), "set_key").withColumns(
         {"own": F.pmod(F.xxhash64("set_key"), blocks), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    return dealt.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "n", "c", "parity").groupBy(
-        "signature", "i", "j").applyInArrow(_near_by_parity(threshold), "u long, v long").distinct()
+    return dealt.select("least", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "n", "c", "parity").groupBy(
+        "least", "i", "j").applyInArrow(_near_by_parity(threshold), "u long, v long").distinct()
 
 
 def _parities(elements: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -302,7 +317,7 @@ def _at_first_sight(parity: np.ndarray, n: np.ndarray, num: int, den: int):
 
 
 def _near_by_parity(threshold: tuple[int, int]):
-    """For one block pair of a signature: pairs across components that size and parity allow to be similar enough."""
+    """For one block pair of a group: pairs across components that size and parity allow to be similar enough."""
     num, den = threshold
 
     def run(table: pa.Table) -> pa.Table:
