@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wiretally.llm import partenum, suffix_dedup
 from wiretally.llm.common import shingle_hashes, tokens
@@ -113,3 +116,29 @@ def test_texts_move_once_to_find_the_first_of_equal_ones(spark, monkeypatch):
     n = len(text)
     assert sorted(map(tuple, found), key=str) == sorted([(1, 0), (1, 0), (2, n), (2, n), (3, n), (4, 0), (None, n)], key=str)
     assert plans["firsts"].count("Exchange hashpartitioning") == 2  # the texts and the least doc_ids, each once
+
+
+def test_surroundings_of_all_places_go_once_the_distinct_ones_are_written(spark, monkeypatch):
+    tables, plain = {}, suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    text = "".join(map(str, range(100)))
+    docs = spark.createDataFrame([(1, text), (2, "a" + text[:120]), (3, text[60:] + "b"), (4, "short"), (5, None)], "doc_id long, text string")
+    found = suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, found)) == [(1, 0), (2, 120), (3, len(text) - 60), (4, 0), (5, 0)]
+    there = {k: os.path.exists(x.written_to.removeprefix("file://")) for k, x in tables.items()}
+    assert {k for k, x in there.items() if x} == {"texts", "others", "heavy", "found"}
+
+
+def test_anchors_are_not_looked_for_twice(spark):
+    rng = np.random.default_rng(8)
+    texts = {k: bytes(rng.integers(97, 99 + k, 400).astype(np.uint8)) for k in range(5)}
+    rows = spark.createDataFrame([(k, k, x.decode()) for k, x in texts.items()], "row long, doc long, text string")
+    packed = suffix_dedup._anchor_rows(rows).groupBy("row").agg(F.collect_list("place").alias("places"))
+    parts = suffix_dedup._surrounding_rows(rows.join(packed, "row")).collect()
+    expected = [(k, f, l - f + 1, x[f:l + suffix_dedup.LENGTH]) for k, x in texts.items() for f, l in zip(*(y.tolist() for y in suffix_dedup.anchors(x)[2:]), strict=True)]
+    assert sorted((r.row, r.first, r.starts, bytes(r.bytes)) for r in parts) == sorted(expected)
+    by_bytes = {}
+    for r in parts:
+        place = next(p for p, f in zip(*(y.tolist() for y in suffix_dedup.anchors(texts[r.row])[::2]), strict=True) if f == r.first)
+        by_bytes.setdefault(texts[r.row][place:place + suffix_dedup.ANCHOR], set()).add(r.anchor)
+    assert all(len(x) == 1 for x in by_bytes.values()) and len({y for x in by_bytes.values() for y in x}) == len(by_bytes)

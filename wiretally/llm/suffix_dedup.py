@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import U64, batches, mixed, text_bytes, written
+from wiretally.llm.common import U64, batches, dropped, mixed, text_bytes, written
 
 LENGTH = 50
 ANCHOR = 20
@@ -132,15 +132,18 @@ def repeated_starts(parts: list[bytes], owned: list[int], docs: np.ndarray) -> l
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """(anchor, row, place) of all anchors. ``place`` also holds, in 5 bits each, how far before it the first of its strings
+    starts, and how many more follow, so that anchors need not be looked for again."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 128):
             found = [anchors(x) for x in text_bytes(batch)]
             sizes = [len(x[0]) for x in found]
+            place, first, last = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in (0, 2, 3))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([x[1] for x in found]).view(np.int64)), pa.array(np.repeat(np.array(batch.column("row").to_pylist(), np.int64), sizes)),
-                 pa.array(np.concatenate([x[0] for x in found]).astype(np.int32))], ["anchor", "row", "place"])
+                 pa.array((place * 32 + place - first) * 32 + last - first)], ["anchor", "row", "place"])
 
-    return docs.select("row", "text").mapInArrow(run, "anchor long, row long, place int")
+    return docs.select("row", "text").mapInArrow(run, "anchor long, row long, place long")
 
 
 def _shared(spread: DataFrame) -> DataFrame:
@@ -171,7 +174,14 @@ def _shared(spread: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2])], ["row", "place"])
 
     n = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(n, "anchor").sortWithinPartitions("anchor", "row").mapInArrow(run, "row long, place int")
+    return spread.repartition(n, "anchor").sortWithinPartitions("anchor", "row").mapInArrow(run, "row long, place long")
+
+
+def _codes(text: bytes, places: np.ndarray) -> np.ndarray:
+    """A hash of the ANCHOR bytes at each place."""
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), ANCHOR)[places]
+    a, b, c = (np.ascontiguousarray(windows[:, k:k + 8]).view(U64).ravel() for k in (0, 8, ANCHOR - 8))
+    return mixed(mixed(mixed(a) ^ b) ^ c).view(np.int64)
 
 
 def _surrounding_rows(docs: DataFrame) -> DataFrame:
@@ -179,14 +189,18 @@ def _surrounding_rows(docs: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 64):
             out = ([], [], [], [], [], [])
-            for row, doc, x, wanted in zip(batch.column("row").to_pylist(), batch.column("doc").to_pylist(), text_bytes(batch),
+            for row, doc, x, packed in zip(batch.column("row").to_pylist(), batch.column("doc").to_pylist(), text_bytes(batch),
                                            batch.column("places").to_pylist(), strict=True):
-                places, codes, first, last = anchors(x)
-                for k in np.flatnonzero(np.isin(places, wanted)).tolist():
-                    for column, value in zip(out, (int(codes[k].view(np.int64)), row, doc, int(first[k]), int(last[k] - first[k]) + 1,
-                                                   x[first[k]:last[k] + LENGTH]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())],
+                packed = np.array(packed, np.int64)
+                place, starts = packed >> 10, (packed & 31) + 1
+                first = place - (packed >> 5 & 31)
+                out[0].append(_codes(x, place))
+                out[1].append(np.full(len(place), row))
+                out[2].append(np.full(len(place), doc))
+                out[3].append(first)
+                out[4].append(starts)
+                out[5].extend(x[a:b] for a, b in zip(first.tolist(), (first + starts - 1 + LENGTH).tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())],
                                              ["anchor", "row", "doc", "first", "starts", "bytes"])
 
     return docs.select("row", "doc", "text", "places").mapInArrow(
@@ -266,6 +280,7 @@ def covered_spans(rows: DataFrame) -> DataFrame:
     shared = written(_shared(_anchor_rows(rows)), "shared")
     wanted = shared.groupBy("row").agg(F.collect_list("place").alias("places"))  # bounded by a text's length
     parts = written(_surrounding_rows(rows.join(wanted, "row")), "surroundings")
+    dropped(shared)
     # Equal surroundings are one; all but the least document's are covered throughout.
     key = ["anchor", F.xxhash64("bytes").alias("code"), F.length("bytes").alias("size"), "starts"]
     least = parts.groupBy(*key).agg(F.min(F.struct("doc", "row", "first")).alias("least"), F.first("bytes").alias("bytes"))
@@ -276,12 +291,14 @@ def covered_spans(rows: DataFrame) -> DataFrame:
         least.select("anchor", "code", "size", "starts", "least"), ["anchor", "code", "size", "starts"]).where(
         "row != least.row or first != least.first").select("row", "first", "starts", F.expr("doc > least.doc").alias("greater"),
                                                            F.col("least.row").alias("of_row"), F.col("least.first").alias("of_first")), "others")
+    dropped(parts)  # nothing reads the surroundings of every place any more
     copies = others.where("greater").select("row", "first", (F.col("first") + F.col("starts") - 1 + LENGTH).alias("end"))
     heavy = written(least.groupBy("anchor").agg(F.sum("size").alias("of_anchor")).where(F.col("of_anchor") > ANCHOR_BYTES), "heavy").select("anchor")
     distinct = least.select("anchor", "least.row", "least.doc", "least.first", "starts", "bytes")
     found = written(_sorted_shards(distinct.join(heavy, "anchor", "left_anti")), "found")
     if not heavy.isEmpty():
         found = found.union(written(_hashed_strings(written(distinct.join(heavy, "anchor", "left_semi"), "frequent")), "found"))
+    dropped(least)
     again = found.select(F.col("row").alias("of_row"), F.col("part").alias("of_first"), F.col("first").alias("a"), F.col("end").alias("b")).join(
         others.where("not greater"), ["of_row", "of_first"]).select(
         "row", (F.col("first") + F.col("a") - F.col("of_first")).alias("first"), (F.col("first") + F.col("b") - F.col("of_first")).alias("end"))
@@ -320,6 +337,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     firsts = own.join(least, "_key").where("_doc = _least").dropDuplicates(["_doc", "_key"])
     firsts = written(firsts.select(F.col("_row").alias("row"), F.col("_doc").alias("doc"), "text"), "firsts")
     spans = covered_spans(firsts).withColumnRenamed("row", "_row")
+    dropped(firsts)
     joined = own.join(least, "_key").join(spans, "_row", "left")
     names = docs.columns
     schema = docs.limit(0).withColumns({"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"),
