@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wiretally.llm import partenum, suffix_dedup
-from wiretally.llm.common import shingle_hashes, tokens
+from wiretally.llm.common import shingle_hashes, shuffles_freed, tokens, written
 from wiretally.llm.token_files import BLOCK, ESCAPE, pack_blocks, unpack_blocks
 from wiretally.llm.tokenizer import END_ID, Encoder, default_tokenizer
 
@@ -142,3 +142,30 @@ def test_anchors_are_not_looked_for_twice(spark):
         place = next(p for p, f in zip(*(y.tolist() for y in suffix_dedup.anchors(texts[r.row])[::2]), strict=True) if f == r.first)
         by_bytes.setdefault(texts[r.row][place:place + suffix_dedup.ANCHOR], set()).add(r.anchor)
     assert all(len(x) == 1 for x in by_bytes.values()) and len({y for x in by_bytes.values() for y in x}) == len(by_bytes)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """Shuffles of many steps must not add up on disk until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    rows = spark.range(1000).repartition(3, "id").mapInArrow(lambda batches: batches, "id long")
+    with shuffles_freed(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = tracker.shuffleStatuses().size()
+    assert written(rows, "rows").count() == 1000
+    assert tracker.shuffleStatuses().size() <= held + 1  # the count's own
+
+
+def test_a_batch_of_texts_has_the_anchors_of_each_text():
+    rng = np.random.default_rng(11)
+    for _ in range(50):
+        texts = [bytes(rng.integers(97, 97 + rng.integers(1, 5), rng.integers(0, 200)).astype(np.uint8)) for _ in range(rng.integers(0, 6))]
+        of, *found = suffix_dedup.anchors_of(texts)
+        for k, x in enumerate(texts):
+            places, _, first, last = one = suffix_dedup.anchors(x)
+            assert all(a[of == k].tolist() == b.tolist() for a, b in zip(found, one, strict=True))
+            starts = [s for a, b in zip(first.tolist(), last.tolist(), strict=True) for s in range(a, b + 1)]
+            assert starts == list(range(len(x) - suffix_dedup.LENGTH + 1))  # each string has one anchor, which lies in it
+            assert all(b <= p <= a + suffix_dedup.WINDOW - 1 for p, a, b in zip(places.tolist(), first.tolist(), last.tolist(), strict=True))

@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,39 +33,58 @@ LENGTH = 50
 ANCHOR = 20
 WINDOW = LENGTH - ANCHOR + 1
 #: Bytes of surroundings that a task sorts at once.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+#: Bytes of texts in which anchors are looked for at once; few enough for a processor's cache.
+TOGETHER_BYTES = 64 << 10
 #: Bytes of distinct surroundings from which on an anchor is not sorted in one task.
 ANCHOR_BYTES = 256 << 10
 LAST = (1 << 63) - 1
+#: Three ranks below this fit one 64-bit number, as those of a shard do.
+PACKED = 1 << 21
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of the anchors of a text, their hashes, and the first and last start of the strings that each belongs to: those
     of LENGTH bytes in which it is the first place of the least hash."""
-    n = len(text) - ANCHOR + 1
-    if n < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return anchors_of([text])[1:]
+
+
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of some texts, looked for in all of them at once; before it the number of the text of each anchor."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    begins = np.append(0, ends[:-1])[:len(texts)]
+    whole = b"".join(texts)
+    if len(whole) < LENGTH:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+    word = np.lib.stride_tricks.sliding_window_view(np.frombuffer(whole, np.uint8), 8).copy().view(U64).ravel()
+    n = len(whole) - ANCHOR + 1
     with np.errstate(over="ignore"):
-        code, width, done, built = mixed(np.frombuffer(text, np.uint8).astype(U64) + U64(1)), 1, 0, None
-        while width <= ANCHOR:  # hashes of 1, 2, 4, ... bytes, joined to the wanted length
-            if ANCHOR & width:
-                built = code[:n] if built is None else mixed(built * U64(3) + code[done:done + n])
-                done += width
-            code = mixed(code[:-width] * U64(3) + code[width:]) if len(code) > width else code[:0]
-            width *= 2
-    least, span = built, 1
-    while span * 2 <= WINDOW:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    least = np.minimum(least[:len(built) - WINDOW + 1], least[WINDOW - span:WINDOW - span + len(built) - WINDOW + 1])
-    # The first place of the least hash in each window: the next place from the window's start that holds it.
-    owner, unset = np.arange(len(least)), np.flatnonzero(least != built[:len(least)])
-    for k in range(1, WINDOW):
-        hit = built[unset + k] == least[unset]
-        owner[unset[hit]] = unset[hit] + k
-        unset = unset[~hit]
-    places, first = np.unique(owner, return_index=True)
-    return places, built[places], first, np.append(first[1:], len(owner)) - 1
+        built = mixed(mixed(word[:n] + word[8:8 + n] * U64(0x9E3779B97F4A7C15)) ^ word[ANCHOR - 8:ANCHOR - 8 + n])
+    # The first place of the least hash in windows of 1, 2, 4, ... places, and of WINDOW at last.
+    least, ahead, span = built, np.zeros(n, np.uint8), 1
+    while span < WINDOW:
+        step = min(span, WINDOW - span)
+        less = least[step:] < least[:-step]
+        least, ahead = np.minimum(least[step:], least[:-step]), np.where(less, ahead[step:] + np.uint8(step), ahead[:-step])
+        span += step
+    text = np.repeat(np.arange(len(texts)), ends - begins)[:len(least)]
+    start = np.flatnonzero(np.arange(len(least)) + LENGTH <= ends[text])  # the strings that lie in one text
+    owner = start + ahead[start]
+    new = np.append(True, owner[1:] != owner[:-1])[:len(owner)]
+    first, last, place = start[new], start[np.append(new[1:], True)[:len(new)]], owner[new]
+    of = text[first]
+    return of, place - begins[of], built[place], first - begins[of], last - begins[of]
+
+
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Dense ranks, from 1, of rows by their keys. Three keys below PACKED are sorted as one number."""
+    if len(keys) == 3 and all(len(k) and k.max() < PACKED for k in keys):
+        keys = (keys[0] << 42 | keys[1] << 21 | keys[2],)
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.append(1, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))[:len(order)]
+    return rank
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -73,22 +94,16 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     word = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n + 80].copy().view(">u8").ravel().astype(U64)
     sample = np.arange(n + 3)[np.arange(n + 3) % 3 != 0]
 
-    def names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        order = np.lexsort((c, b, a))
-        a, b, c = a[order], b[order], c[order]
-        rank = np.empty(len(a), np.int64)
-        rank[order] = np.cumsum(np.append(1, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))[:len(a)]
-        return rank
-
     name = np.zeros(n + 60, np.int64)
-    name[sample] = names(word[sample], word[sample + 8], word[sample + 16])  # triples of symbols
+    symbol = _ranks(word[:n + 60])
+    name[sample] = _ranks(*(symbol[sample + k] for k in (0, 8, 16)))  # triples of symbols
     rank = np.zeros(n + 60, np.int64)
-    rank[sample] = names(name[sample], name[sample + 24], name[sample + 48])  # triples of names
+    rank[sample] = _ranks(*(name[sample + k] for k in (0, 24, 48)))  # triples of names
     zero, one, two = (np.arange(k, n, 3) for k in range(3))
     order01 = np.concatenate((zero, one))
-    order01 = order01[np.lexsort((rank[order01 + 1], padded[order01]))]
+    order01 = order01[np.argsort(padded[order01].astype(np.int64) << 40 | rank[order01 + 1])]
     order02 = np.concatenate((zero, two))
-    order02 = order02[np.lexsort((rank[order02 + 2], padded[order02 + 1], padded[order02]))]
+    order02 = order02[np.argsort(padded[order02].astype(np.int64) << 48 | padded[order02 + 1].astype(np.int64) << 40 | rank[order02 + 2])]
     taken = np.concatenate((one, two))
     taken = taken[np.argsort(rank[taken], kind="stable")]
     # Merge: a suffix's place is how many of each class come before it.
@@ -103,14 +118,14 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     return np.argsort(place, kind="stable")
 
 
-def repeated_starts(parts: list[bytes], owned: list[int], docs: np.ndarray) -> list[np.ndarray]:
+def repeated_starts(parts: list[bytes], owned: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
     """For each part (the first ``owned`` places of which are starts) the starts whose LENGTH bytes also start in a part of
     a lesser document."""
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
     begins = np.cumsum(lengths) - lengths
     part = np.repeat(np.arange(len(parts)), lengths)
-    own = np.arange(len(text)) - begins[part] < np.array(owned)[part]
+    own = np.arange(len(text)) - begins[part] < owned[part]
     order = suffix_order(text)
     order = order[own[order]]
     padded = np.concatenate((text, np.zeros(64, np.uint8)))
@@ -126,28 +141,39 @@ def repeated_starts(parts: list[bytes], owned: list[int], docs: np.ndarray) -> l
     doc = docs[part[order]]
     least = np.minimum.reduceat(doc, np.flatnonzero(np.append(True, ~same)))[run]
     hit = np.sort(order[doc > least])
-    for k in np.unique(part[hit]):
-        found[k] = hit[part[hit] == k] - begins[k]
+    cuts = np.flatnonzero(np.diff(part[hit])) + 1
+    for at in np.split(hit, cuts) if len(hit) else []:
+        k = part[at[0]]
+        found[k] = at - begins[k]
     return found
 
 
+def _together(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in turn, as many at once as have TOGETHER_BYTES, with the number of the first."""
+    begin, size = 0, 0
+    for k, x in enumerate(texts):
+        size += len(x)
+        if size >= TOGETHER_BYTES or k == len(texts) - 1:
+            yield begin, texts[begin:k + 1]
+            begin, size = k + 1, 0
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
     """(anchor, row, place) of all anchors. ``place`` also holds, in 5 bits each, how far before it the first of its strings
     starts, and how many more follow, so that anchors need not be looked for again."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 128):
-            found = [anchors(x) for x in text_bytes(batch)]
-            sizes = [len(x[0]) for x in found]
-            place, first, last = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in (0, 2, 3))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x[1] for x in found]).view(np.int64)), pa.array(np.repeat(np.array(batch.column("row").to_pylist(), np.int64), sizes)),
-                 pa.array((place * 32 + place - first) * 32 + last - first)], ["anchor", "row", "place"])
+            row = batch.column("row").to_numpy()
+            for a, texts in _together(text_bytes(batch)):
+                of, place, code, first, last = anchors_of(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(code.view(np.int64)), pa.array(row[a + of]), pa.array((place * 32 + place - first) * 32 + last - first)], ["anchor", "row", "place"])
 
     return docs.select("row", "text").mapInArrow(run, "anchor long, row long, place long")
 
 
 def _shared(spread: DataFrame) -> DataFrame:
-    """(row, place) of the anchors that two rows or more have. Rows come sorted; one anchor is held at a time, and of that
+    """(row, place) of the anchors that two rows or more have. Rows come sorted by anchor; one anchor is held at a time, and of that
     only what may yet turn out to be a single row's."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -162,11 +188,9 @@ def _shared(spread: DataFrame) -> DataFrame:
             keep = np.repeat(many, np.diff(np.append(new, len(a))))
             cut = new[-1]
             if many[-1]:  # known to be shared: give it out now, keep two rows to recognise the rest by
-                out, held = keep, (a[cut:][[0, -1]], r[cut:][[0, -1]], p[cut:][[0, -1]])
-                out = keep.copy()
-                out[cut], out[-1] = False, False
-                if len(a) - cut == 2:
-                    out[cut:] = False
+                two = [cut + int(r[cut:].argmin()), cut + int(r[cut:].argmax())]
+                out, held = keep, (a[two], r[two], p[two])
+                out[two] = False
             else:
                 out, held = keep & (np.arange(len(a)) < cut), (a[cut:], r[cut:], p[cut:])
             yield pa.RecordBatch.from_arrays([pa.array(r[out]), pa.array(p[out])], ["row", "place"])
@@ -174,7 +198,7 @@ def _shared(spread: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2])], ["row", "place"])
 
     n = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(n, "anchor").sortWithinPartitions("anchor", "row").mapInArrow(run, "row long, place long")
+    return spread.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "row long, place long")
 
 
 def _codes(text: bytes, places: np.ndarray) -> np.ndarray:
@@ -210,38 +234,41 @@ def _surrounding_rows(docs: DataFrame) -> DataFrame:
 SPAN = "row long, first long, end long, part long"
 
 
-def _spans(row: list, first: list, end: list, part: list) -> pa.RecordBatch:
+def _spans(row: np.ndarray, first: np.ndarray, end: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (row, first, end, part)], ["row", "first", "end", "part"])
 
 
 def _sorted_shards(parts: DataFrame) -> DataFrame:
     """Covered spans (row, first, end) of distinct surroundings, sorted shard by shard; part: where those begin."""
-    def judge(rows: list[dict]) -> pa.RecordBatch:
-        out = ([], [], [], [])
-        found = repeated_starts([r["bytes"] for r in rows], [r["starts"] for r in rows], np.array([r["doc"] for r in rows]))
-        for r, at in zip(rows, found, strict=True):
-            if len(at):
-                cuts = np.flatnonzero(np.diff(at) > LENGTH)
-                for a, b in zip(at[np.append(0, cuts + 1)].tolist(), at[np.append(cuts, len(at) - 1)].tolist(), strict=True):
-                    for column, value in zip(out, (r["row"], r["first"] + a, r["first"] + b + LENGTH, r["first"]), strict=True):
-                        column.append(value)
-        return _spans(*out)
+    def judge(held: list[pa.Table]) -> pa.RecordBatch:
+        whole = pa.concat_tables(held)
+        row, doc, first, starts = (whole.column(c).to_numpy() for c in ("row", "doc", "first", "starts"))
+        found = repeated_starts(whole.column("bytes").to_pylist(), starts, doc)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        at, of = np.concatenate(found), np.repeat(np.arange(len(found)), sizes)
+        new = np.append(True, (of[1:] != of[:-1]) | (np.diff(at) > LENGTH))[:len(at)]
+        a, b, of = at[new], at[np.append(new[1:], True)[:len(at)]], of[new]
+        return _spans(row[of], first[of] + a, first[of] + b + LENGTH, first[of])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group, size = [], [], 0
-        for batch in rows:
-            for r in batch.to_pylist():
-                if group and group[-1]["anchor"] != r["anchor"]:
-                    if len(group) > 1:
-                        held += group
-                        size += sum(len(x["bytes"]) for x in group)
-                    group = []
-                    if size >= SHARD_BYTES:
-                        yield judge(held)
-                        held, size = [], 0
-                group.append(r)
-        if len(group) > 1:
-            held += group
+        held, size, rest = [], 0, []
+        for batch in chain(rows, (None,)):
+            some = [*rest, *([] if batch is None else [pa.Table.from_batches([batch])])]
+            if not some:
+                continue
+            some = pa.concat_tables(some)
+            anchor = some.column("anchor").to_numpy()
+            new = np.append(True, anchor[1:] != anchor[:-1])[:len(anchor)]
+            cut = len(anchor) if batch is None else int(np.flatnonzero(new)[-1]) if len(anchor) else 0
+            rest, alone = [some.slice(cut)], new & np.append(new[1:], True)[:len(new)]
+            some = some.slice(0, cut).filter(pa.array(~alone[:cut]))
+            more = pc.sum(pc.binary_length(some.column("bytes"))).as_py() or 0
+            if held and (size + more > SHARD_BYTES):
+                yield judge(held)
+                held, size = [], 0
+            if some.num_rows:
+                held.append(some)
+                size += more
         if held:
             yield judge(held)
 
