@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +146,31 @@ def test_anchors_are_not_looked_for_twice(spark):
     assert all(len(x) == 1 for x in by_bytes.values()) and len({y for x in by_bytes.values() for y in x}) == len(by_bytes)
 
 
+def test_a_group_of_large_sets_is_compared_in_bounded_memory():
+    """Sets of one family, none but two similar enough: first looks tell them apart, and pairs are never held all at once."""
+    rng, size = np.random.default_rng(9), 500
+    base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+    sets = []
+    for _ in range(1200):
+        x, change = base.copy(), rng.choice(size, rng.integers(150, 400), replace=False)
+        x[change] = rng.integers(0, 1 << 63, len(change))
+        sets.append(x)
+    sets[7] = np.append(sets[3][:-40], rng.integers(0, 1 << 63, 40).astype(np.uint64))
+    bits, made = 4096, []
+    for x in sets:
+        odd = np.bincount((partenum.mixed(x ^ np.uint64(0x5BD1E995)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+        made.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    n = len(sets)
+    group = pa.table({"i": [0] * n, "j": [0] * n, "own": [0] * n, "set_key": range(n), "n": [size] * n, "c": range(n), "parity": pa.array(made, pa.binary())})
+    tracemalloc.start()
+    try:
+        found = partenum._near_by_parity((4, 5))(group)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+    assert list(zip(found.column("u").to_pylist(), found.column("v").to_pylist(), strict=True)) == [(3, 7)]
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     """Shuffles of many steps must not add up on disk until the driver collects its garbage."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

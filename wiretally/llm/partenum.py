@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import U64, batches, mixed, text_bytes, tokens, window_hashes, word_hashes, written
+from wiretally.llm.common import U64, batches, dropped, mixed, text_bytes, tokens, window_hashes, word_hashes, written
 from wiretally.llm.components import components
 
 SETS = "doc_id long, n_shingles long, set_key long"
@@ -38,8 +38,13 @@ BLOCK_ROWS = 2048
 #: Parity bits for each element that a set may have of its own beside an equally large similar one; with few of them, many pairs
 #: of a family that are just not similar enough look alike.
 PARITY_BITS = 24
-#: Words of 64 bits to which parities are folded for a first look at all pairs.
+#: Words of 64 bits to which parities are folded at least for a first look at all pairs, and bits of them for each element in which
+#: similar sets may differ.
 SHORT_WORDS = 2
+SHORT_BITS = 4
+#: Words of folded parities that a side of a tile of pairs has at most at a first look, and words of parities at the second.
+TILE_WORDS = 1 << 15
+PIECE_WORDS = 1 << 18
 #: Up to so many sets all pairs are looked at in full.
 SMALL = 48
 #: Bits by which documents are told whose elements are wanted.
@@ -198,6 +203,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, parities: DataFrame, threshold:
             yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
     likely = written(_likely(pairs, parities, threshold), "likely")
+    sets = _marked(sets, likely.select(F.explode(F.array("u", "v")).alias("named")), "set_key")
     a, b = (sets.select(F.col("set_key").alias(c), F.col("elements").alias(d)).join(likely, c) for c, d in (("u", "a"), ("v", "b")))
     return a.join(b, ["u", "v"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
@@ -207,13 +213,13 @@ def _fits(a: str, b: str, threshold: tuple[int, int]):
     return F.expr(f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num}")
 
 
-def _marked(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows whose doc_id is in ``named``, and some others, so that most texts that no join needs don't move for it. The bits
+def _marked(rows: DataFrame, named: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose ``key`` is in ``named``, and some others, so that most rows that no join needs don't move for it. The bits
     of MARKS places, 64 to a row, are sent to all tasks: a table of bounded size, whatever the number of documents."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
     bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) as int))")
     marks = written(named.groupBy(F.floor(place("named") / 64).alias("word")).agg(F.bit_or(bit("named")).alias("bits")), "marks")
-    return docs.join(F.broadcast(marks), (F.floor(place("doc_id") / 64) == F.col("word")) & (F.col("bits").bitwiseAND(bit("doc_id")) != 0), "left_semi")
+    return rows.join(F.broadcast(marks), (F.floor(place(key) / 64) == F.col("word")) & (F.col("bits").bitwiseAND(bit(key)) != 0), "left_semi")
 
 
 def _elements(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
@@ -305,15 +311,28 @@ def _folded(parity: bytes, least: int) -> np.ndarray:
 
 
 def _at_first_sight(parity: np.ndarray, n: np.ndarray, num: int, den: int):
-    """A test of all pairs of some rows with others by one product of folded parities: odd[a] + odd[b] - 2 both may be at most
-    (den - num) / (den + num) * (n[a] + n[b]). Sums are rounded; a pair that just misses it passes."""
-    short = np.bitwise_xor.reduce(parity.reshape(len(parity), -1, SHORT_WORDS), axis=1)
-    short = np.unpackbits(short.view(np.uint8), axis=1).astype(np.float32)
-    may, one = (den - num) * n.astype(np.float64) - (den + num) * short.sum(1), np.ones(len(n))
-    above = np.column_stack((2 * (den + num) * short, may, one)).astype(np.float32)
-    below = np.column_stack((short, one, may)).astype(np.float32)
-    slack = np.float32(-1 - np.abs(may).max() * 1e-5)
-    return lambda some, others: above[some] @ below[others].T >= slack
+    """A test of all pairs of some rows with others by one product of folded parities. Those are so long that sets with nothing in
+    common differ in more bits than the largest similar ones may, (den - num) / (den + num) * (n[a] + n[b])."""
+    may = (den - num) / (den + num) * n
+    wanted = max(SHORT_WORDS, int(SHORT_BITS * 2 * may.max()) // 64 + 1)
+    words = min(1 << (wanted - 1).bit_length(), parity.shape[1])
+    short = np.bitwise_xor.reduce(parity.reshape(len(parity), -1, words), axis=1)
+    slack = (may + 0.25 - np.bitwise_count(short).sum(1)).astype(np.float32)
+    bits = lambda rows: np.unpackbits(short[rows].view(np.uint8), axis=1).astype(np.float32)
+    return (lambda some, others: slack[some][:, None] + slack[others] >= -2 * (bits(some) @ bits(others).T)), words
+
+
+def _tiles(left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of ``left`` and ``right`` in tiles of at most ``most`` rows a side, 16 to 512."""
+    side = min(max(most, 16), 512)
+    for x in range(0, len(left), side):
+        for y in range(0, len(right), side):
+            yield left[x:x + side], right[y:y + side]
+
+
+def _pieces(a: np.ndarray, b: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, len(a), max(most, 1)):
+        yield a[at:at + max(most, 1)], b[at:at + max(most, 1)]
 
 
 def _near_by_parity(threshold: tuple[int, int]):
@@ -326,20 +345,20 @@ def _near_by_parity(threshold: tuple[int, int]):
         raw = table.column("parity").to_pylist()
         least = min(map(len, raw)) // 8
         parity = np.stack([_folded(x, least) for x in raw])
-        may_be = _at_first_sight(parity, n, num, den) if len(raw) > SMALL else None
+        may_be, words = _at_first_sight(parity, n, num, den) if len(raw) > SMALL else (None, SHORT_WORDS)
         left, right, us, vs = np.flatnonzero(own == i), np.flatnonzero(own == j), [], []
-        for at in range(0, len(left), 512):
-            some = left[at:at + 512]
-            apart = c[some][:, None] != c[right]
-            a, b = np.nonzero(apart if may_be is None else apart & may_be(some, right))
-            a, b = some[a], right[b]
+        for some, others in _tiles(left, right, TILE_WORDS // words):
+            apart = c[some][:, None] != c[others]
+            a, b = np.nonzero(apart if may_be is None else apart & may_be(some, others))
+            a, b = some[a], others[b]
             fits = np.minimum(n[b], n[a]) * den >= np.maximum(n[b], n[a]) * num
             if i == j:
                 fits &= key[b] > key[a]
             a, b = a[fits], b[fits]
-            near = np.bitwise_count(parity[b] ^ parity[a]).sum(1) <= (den - num) * (n[b] + n[a]) // (den + num)
-            us.append(np.minimum(key[a], key[b])[near])
-            vs.append(np.maximum(key[a], key[b])[near])
+            for a, b in _pieces(a, b, PIECE_WORDS // least):
+                near = np.bitwise_count(parity[b] ^ parity[a]).sum(1) <= (den - num) * (n[b] + n[a]) // (den + num)
+                us.append(np.minimum(key[a], key[b])[near])
+                vs.append(np.maximum(key[a], key[b])[near])
         empty = [np.empty(0, np.int64)]
         return pa.table({"u": np.concatenate(us or empty), "v": np.concatenate(vs or empty)})
 
@@ -386,6 +405,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
             label = written(components(links), "label")
         # Stars that tie few of their pairs would tie ever fewer: then the rest is compared at once.
         turn = turn + 1 if turn >= STAR_ROUNDS or ties * FEW_TIES >= pairs.count() else STAR_ROUNDS
+    for table in (stars, sizes, elements, parities, shared):
+        dropped(table)  # the rest reads the sets and their components only
     by_set = meta.where("n_shingles > 0").join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("component", "set_key"))
     least = by_set.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return (by_set.join(least, "root").select("doc_id", "n_shingles", "component_id")
