@@ -289,3 +289,22 @@ def test_a_hundred_thousand_campaigns_of_one_source_in_one_day(spark):
     # At a second s the open campaigns are those that began in the two seconds before: the first of them is 2 s - 3.
     assert matched.where("match.ord = lpad(greatest(2 * row_id - 3, 0), 6, '0')").count() == 50_000
     assert labelling._plan(flows.withColumn("_at", F.lit(1)), campaigns.withColumn("_start", F.lit(1)), 10 ** 12, 20_000).first().pieces == 8
+
+
+def test_attack_pools_give_every_attack_a_role(spark, tmp_path):
+    """More training payloads than the cap of 60 that once dropped the rest; a cap is still kept where one is asked for."""
+    from wiretally.catalog.corpus_queries import attack_pools
+    from wiretally.catalog.views import Tables
+    spark.createDataFrame([(i, f"text {i // 2 if i < 10 else i}", "en", "src0") for i in range(300)],
+                          "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i < 280)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.sql("SELECT id AS event_id, timestamp'2024-01-01' AS ts, id AS user_id, 'view' AS event_type, '{\"k\":\"1\"}' AS props FROM range(90)").write.parquet(
+        f"{tmp_path}/events.parquet")
+    found = {r.row_id: r.role for r in attack_pools(Tables(spark, str(tmp_path))).collect()}
+    attacks = [i for i in range(300) if i < 280 or i % 5 == 0]
+    assert {i for i in found if i >= 0} == {i for i in attacks if i >= 10 or i % 2 == 0}
+    assert sum(found[i] == "train" for i in found if i >= 0) > 60
+    assert {i for i in found if i < 0} == {-1 - i for i in range(0, 90, 3)}
+    rows = Tables(spark, str(tmp_path)).posts.where("label = 'attack'")
+    some = {r.row_id: r.role for r in splits.attack_pools(rows, train_cap=20, test_cap=None).collect()}
+    assert list(some.values()).count("train") >= 20 and {i for i, r in some.items() if r == "test"} >= {i for i, r in found.items() if r == "test"}

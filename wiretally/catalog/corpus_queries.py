@@ -305,15 +305,14 @@ def benign_hash_split(t):
 
 @query("X12 T3", f"""
     WITH a AS (SELECT row_id, {SQL_SIG} AS sig FROM v_docs WHERE label = 'attack'),
-      h AS (SELECT *, {sql_bucket('sig', 10)} < 7 AS tr FROM a),
-      r AS (SELECT *, row_number() OVER (PARTITION BY tr ORDER BY {sql_place('sig')}) AS rn FROM h)
-    SELECT row_id, CASE WHEN tr THEN 'train' ELSE 'test' END AS role FROM r WHERE NOT tr OR rn <= 60
+      h AS (SELECT *, {sql_bucket('sig', 10)} < 7 AS tr FROM a)
+    SELECT row_id, CASE WHEN tr THEN 'train' ELSE 'test' END AS role FROM h
     UNION ALL SELECT -1 - row_id, CASE WHEN attack_tool = 'custom' THEN 'tool_test' ELSE 'train' END FROM v_flows WHERE label = 'attack'""")
 def attack_pools(t):
     """Hashed pools of unique attack texts plus a second source with one tool held out."""
     main = dedup.keep_first(t.posts.where(F.col("label") == "attack"))
     other = t.flows.where(F.col("label") == "attack").withColumn("row_id", -1 - F.col("row_id"))
-    return splits.attack_pools(main, other, train_cap=60).select("row_id", "role")
+    return splits.attack_pools(main, other, train_cap=None).select("row_id", "role")
 
 
 @query("X3 A6", f"""
