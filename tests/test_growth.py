@@ -113,3 +113,40 @@ def test_corpus_reads_its_campaigns_once(small):
     corpus, _ = jobs.build_corpus(captures, small.campaigns.mapInArrow(counted, small.campaigns.schema), True)
     assert corpus.count() > 0
     assert read.value == small.campaigns.count()
+
+
+def test_texts_give_the_same_neighbours_as_their_vectors(spark, monkeypatch):
+    """The operator moves texts where it is told how to read them; also in several blocks, with repeats, nulls and texts without terms."""
+    from wiretally.plans.vectors import TfIdf
+    for name, few in (("BLOCK_ROWS", 8), ("PRODUCTS", 50), ("HELD", 60), ("TOGETHER", 7)):
+        monkeypatch.setattr(neighbours, name, few)
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcd e\u00e9"), rng.integers(0, 30))) for _ in range(120)] + ["", None, "ab", "zzzzzz"] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, s string")
+    train, target = rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1 OR s IS NULL")
+    model = TfIdf("s", "v").fit(train)
+    as_terms = lambda df: model.weights(model.transform(df), "v").where("s IS NOT NULL").select("row_id", "terms", "weights")
+    by_vectors = neighbours.nearest_sparse(as_terms(target), as_terms(train), "row_id")
+    by_texts = neighbours.nearest_sparse(target, train, "row_id", ["s"], model.reader(), "length(s) <= 20", "length(s) > 2")
+    found, expected = ({r.query_id: r.similarity for r in df.collect()} for df in (by_texts, by_vectors))
+    assert len(expected) == target.where("s IS NOT NULL").count()
+    assert found == pytest.approx(expected)
+
+
+def test_products_of_postings_are_held_in_bounded_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    held, dense = [], np.where(rng.random((90, 40)) < 0.4, rng.normal(size=(90, 40)), 0.0)
+    dense[3] = 0
+
+    def sparse(m):
+        rows, terms = np.nonzero(m)
+        return np.bincount(rows, minlength=len(m)), terms, m[rows, terms]
+
+    counted = np.bincount
+    monkeypatch.setattr(neighbours, "PRODUCTS", 100)
+    few = neighbours._Postings(*sparse(dense[:20]))
+    monkeypatch.setattr(neighbours.np, "bincount", lambda x, *a, **k: held.append(len(x)) or counted(x, *a, **k))
+    found = few.dots(*sparse(dense[20:]))
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
+    assert found == pytest.approx(unit(dense[20:]) @ unit(dense[:20]).T)
+    assert max(held[2:]) <= 100  # after the counts of the rows themselves
