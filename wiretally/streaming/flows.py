@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wiretally.functions import text as X
 from wiretally.operators import labelling
 from wiretally.schema import CAPTURE_SCHEMA, SIGNATURE_FIELDS
-from wiretally.session import scratch_path
+from wiretally.session import scratch_path, spread_out
 
 
 def capture_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -26,7 +26,7 @@ def label_batches(stream: DataFrame, campaigns: Callable[[], DataFrame], out: st
     Read the result with :func:`committed`."""
     def save(batch: DataFrame, number: int) -> None:
         labelled = labelling.label_flows(batch, campaigns())
-        rows = labelled if score is None else score(labelled)
+        rows = labelled if score is None else score(spread_out(labelled))  # scoring costs far more per row than the shuffle
         (rows.select(*columns) if columns else rows).write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
